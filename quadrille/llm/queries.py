@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, line_dedup, mixing, simhash
+from quadrille.llm import exact_dedup, language, line_dedup, mixing, packing, quality, simhash, toxicity
 from quadrille.llm.common import checkpointed, table
 
 
@@ -13,10 +13,32 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op2_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, table(spark, sf_dir, "labels"), grades=4, max_rows=40_000, fold=1, folds=3).drop("text")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), max_rows=40_000, fold=1, folds=3).drop("text")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, max_docs=3_000, fold=0, folds=5).drop("text", "lang")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(checkpointed(docs), F.array("source"), F.col("words"), weights=(5, 2, 1), most=3)
@@ -31,7 +53,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity_severity": op2_toxicity_severity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
