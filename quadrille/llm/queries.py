@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, language, line_dedup, mixing, packing, quality, simhash, toxicity
+from quadrille.llm import ann, exact_dedup, html_text, language, line_dedup, mixing, packing, quality, simhash, toxicity
 from quadrille.llm.common import checkpointed, table
 
 
@@ -27,6 +27,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), max_rows=40_000, fold=1, folds=3).drop("text")
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_pages=5).drop("html")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_max_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.line_dedup(docs, min_chars=40, min_docs=5)
@@ -56,9 +64,11 @@ QUERIES = {
     "op2_toxicity_severity": op2_toxicity_severity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_html_main_text": op5_html_main_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
+    "op9_max_inner_product": op9_max_inner_product,
     "op10_line_dedup": op10_line_dedup,
 }
 
