@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest id; five-word shingles."""
-    found = simhash.near_dedup(docs, shingle=5, max_bits=4)
+    """One document of each component of near duplicates, the one with the smallest id; five-word shingles, 0.8."""
+    found = simhash.near_dedup(docs, shingle=5, similarity=0.8)
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,40 +21,68 @@ LEAF_PAIRS = 64
 FRONTIER = 500_000
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of the shingles of ``shingle`` words; 0 for a text without words.
+#: Minima of a text's sketch, and how many of them make a routing key.
+MINIMA, KEYS, KEY_MINIMA = 128, 8, 3
+_ODD = (np.random.default_rng(7).integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of ``shingle`` words, repeats included, in blocks; nothing for a text without words.
 
     A-Z are lower-cased and words are runs of anything but ASCII white space, which is what ``bytes`` methods do.
-    A text of fewer words is one shingle.  A bit is set if more than half the shingle hashes have it.
+    A text of fewer words is one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     tail = ends[min(shingle, len(words)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    total, block = np.zeros(64, dtype=np.int64), 1 << 16
+    digest, block = xxhash.xxh64_intdigest, 1 << 16
     for at in range(0, n, block):
         spans = zip(starts[at : min(n, at + block)].tolist(), tail[at : at + block].tolist())
-        h = np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash: a bit is set if more than half the shingle hashes have it; 0 for a text without words."""
+    return sketch(text, shingle, False)[0]
+
+
+def sketch(text: str | None, shingle: int, minima: bool = True) -> tuple[int, bytes]:
+    """Fingerprint, and the least of the shingle hashes under each of ``MINIMA`` permutations as 32-bit numbers.
+
+    Two texts agree in a minimum with a probability that is the Jaccard similarity of their shingle sets.
+    """
+    total, n = np.zeros(64, dtype=np.int64), 0
+    least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+        if minima:
+            low = ((h >> np.uint64(32)) ^ h).astype(np.uint32)
+            for at in range(0, len(low), 4096):
+                x = low[at : at + 4096, None] * _ODD
+                least = np.minimum(least, (x ^ (x >> np.uint32(15))).min(axis=0))
+    fp = int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+    return fp, least.tobytes() if minima else b""
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """Rows ``(doc_id, fp)``; fp is the fingerprint's 64 bits as a signed long.  Whole texts; null text has no words."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4,
+                 minima: bool = False) -> DataFrame:
+    """Rows ``(doc_id, fp, minima)``; fp is the fingerprint's 64 bits as a signed long, minima empty unless asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            got = [sketch(t.as_py(), shingle, minima) for t in batch.column(1)]
+            fps = np.array([f for f, _ in got], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m for _, m in got], pa.binary())],
+                                             names=["doc_id", "fp", "minima"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, minima binary")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -91,23 +120,20 @@ class _Forest:
             self.parent = _find(self.parent)
 
 
-def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int, pairs: tuple | None = None) -> np.ndarray:
+def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int, alike: Callable | None = None) -> np.ndarray:
     """Index pairs that join all values of one group within ``max_bits`` differing bits of each other.
 
     ``values`` (uint64) are sorted within runs of equal ``groups``; every run is the root of a binary trie whose
     nodes are ranges of the sorted array.  Pairs of nodes are walked together from (root, root), the bits in which
     their prefixes differ add up, and a pair over ``max_bits`` is dropped.  Links inside one tree of the forest
     built so far are not returned: a pair whose leaves are all in one tree is dropped too, so a ball of n near
-    copies gives n - 1 links, not n * n / 2.  ``pairs``: node ranges (lo, hi, lo, hi) to start from instead.
+    copies gives n - 1 links, not n * n / 2.  ``alike``: says of index arrays which of their pairs are to be linked, of those within the budget.
     """
     n = len(values)
     forest = _Forest(n)
-    if pairs is None:
-        starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if n else np.zeros(0, np.int64)
-        ends = np.concatenate((starts[1:], [n])) if n else starts
-        pairs = starts, ends, starts, ends
-    a0, a1, b0, b1 = (np.asarray(x, dtype=np.int64) for x in pairs)
-    stack = [(63, a0, a1, b0, b1, np.zeros(len(a0), dtype=np.int8))]
+    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if n else np.zeros(0, np.int64)
+    ends = np.concatenate((starts[1:], [n])) if n else starts
+    stack = [(63, starts, ends, starts, ends, np.zeros(len(starts), dtype=np.int8))]
     while stack:
         bit, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > FRONTIER:
@@ -124,7 +150,7 @@ def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int, pairs: tup
         a0, a1, b0, b1, err, same = (x[open_] for x in (a0, a1, b0, b1, err, same))
         leaf = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
         if leaf.any():
-            _compare(values, forest, a0[leaf], a1[leaf], b0[leaf], b1[leaf], max_bits)
+            _compare(values, forest, a0[leaf], a1[leaf], b0[leaf], b1[leaf], max_bits, alike)
         a0, a1, b0, b1, err, same = (x[~leaf] for x in (a0, a1, b0, b1, err, same))
         if not len(a0):
             continue
@@ -151,18 +177,22 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
         hi[open_[on]], lo[open_[~on]] = mid[on], mid[~on] + 1
 
 
-def _compare(values, forest, a0, a1, b0, b1, max_bits) -> None:
+def _compare(values, forest, a0, a1, b0, b1, max_bits, alike) -> None:
     """All leaf pairs of the node pairs, in slices."""
     na, nb = a1 - a0, b1 - b0
     size = na * nb
-    for s in _slices(size, 2_000_000):
+    for s in _slices(size, 2_000_000 if alike is None else 20_000):
         each = size[s]
         at = np.repeat(np.arange(len(each)), each)
         k = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
         i, j = a0[s][at] + k // nb[s][at], b0[s][at] + k % nb[s][at]
         close = np.bitwise_count(values[i] ^ values[j]) <= max_bits
-        close &= i != j
-        forest.add(i[close], j[close])
+        close &= forest.parent[i] != forest.parent[j]
+        i, j = i[close], j[close]
+        if alike is not None and len(i):
+            same = alike(i, j)
+            i, j = i[same], j[same]
+        forest.add(i, j)
 
 
 def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
@@ -180,74 +210,121 @@ def near_links(nodes: DataFrame, max_bits: int = 4, group_rows: int = 2_000_000)
     """Rows ``(u, v)`` of node ids that connect all nodes within ``max_bits`` bits; ``nodes`` has node and fp, fps distinct.
 
     Of ``max_bits + 1`` blocks of the 64 bits, two such fingerprints agree in one at least, so each fingerprint
-    goes to one group per block, rotated so that the block leads and is the root of the group's trie.  Groups are
-    joined in batches of about a million rows.  A group of over ``group_rows`` rows is dealt into chunks and its
-    pairs of chunks are joined apart, so that memory stays bounded and no pair is lost.
+    goes to one group per block, rotated so that the block leads and is the root of the group's trie.
     """
     blocks = _blocks(64, max_bits + 1)
-    fp = F.col("fp")
-    keyed = nodes.select("node", "fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1).cast("long").alias("key"))
-        for i, (shift, width) in enumerate(blocks)])).alias("g")).select("node", "fp", "g.block", "g.key")
+    keyed = nodes.select("node", "fp", F.lit(None).cast("binary").alias("minima"), F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("block"),
+                 F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1).cast("long").alias("key"))
+        for i, (shift, width) in enumerate(blocks)])).alias("g")).select("node", "fp", "minima", "g.block", "g.key")
+    return _joined(keyed, max_bits, [s + w for s, w in blocks], None, group_rows)
+
+
+def alike_links(nodes: DataFrame, similarity: float, group_rows: int = 200_000) -> DataFrame:
+    """Rows ``(u, v)`` that connect the nodes whose shingle sets have about this Jaccard similarity or more.
+
+    Fingerprints of such texts differ in too many bits for blocks to be selective: about 10 of 64 at 0.8.  So texts
+    meet in groups by ``KEYS`` keys of ``KEY_MINIMA`` minima each, which finds 0.8 with 99.7 percent.  Keys that one
+    node has alone are dropped before anything else travels.  A group's trie join has a budget that a pair of this
+    similarity exceeds with under one percent, and links what also agrees in that share of all minima, less two
+    hundredths for their spread.
+    """
+    shares = 2 * similarity / (1 + similarity)
+    turn = math.acos(shares) / math.pi
+    budget = math.ceil(64 * turn + 2.5 * math.sqrt(64 * turn * (1 - turn)))
+    bytes_ = 4 * KEY_MINIMA
+    keys = nodes.select("node", F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("block"), F.xxhash64(F.substring("minima", 1 + i * bytes_, bytes_)).alias("key"))
+        for i in range(KEYS)])).alias("g")).select("node", "g.block", "g.key")
+    shared = keys.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1").select("block", "key")
+    met = keys.join(shared, ["block", "key"])
+    keyed = met.join(nodes.select("node", "fp", "minima"), "node").select("node", "fp", "minima", "block", "key")
+    return _joined(keyed, budget, [0] * KEYS, similarity - 0.02, group_rows)
+
+
+def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | None, group_rows: int) -> DataFrame:
+    """Trie joins of all groups, in batches of many groups.
+
+    A group of over ``group_rows`` rows is dealt into chunks and its pairs of chunks are joined apart, so that memory
+    stays bounded and no pair is lost.
+    """
+    keyed = keyed if share is None else checkpointed(keyed)
     sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
-    large = {(r["block"], r["key"]): -(-r["n"] // group_rows) for r in sizes.limit(100_000).collect()}
-    if large:
-        chunks = F.create_map(*[x for (b, k), n in large.items() for x in (F.lit(f"{b}/{k}"), F.lit(int(n)))])
-        n = F.coalesce(chunks[F.concat_ws("/", "block", "key")], F.lit(1))
-        c = F.pmod(F.xxhash64("fp"), n).cast("int")
-        each = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(c, o).alias("lo"), F.greatest(c, o).alias("hi")))
-        keyed = keyed.withColumn("p", F.explode(each)).withColumn("part", F.col("p.lo") * 100_000 + F.col("p.hi")).drop("p")
+    chunks = sizes.select("block", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
+    if chunks.isEmpty():
+        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
     else:
-        keyed = keyed.withColumn("part", F.lit(0))
+        keyed = keyed.join(chunks, ["block", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        keyed = keyed.withColumn("c", F.pmod(F.xxhash64("fp", "node"), F.col("chunks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        keyed = keyed.withColumn("o", other).withColumn("part", F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
+            held.append(batch)
             rows += batch.num_rows
-            if rows >= 1_000_000:
-                x = np.concatenate(held, axis=1)
-                same = (x[2:] == x[2:, -1:]).all(axis=0)
-                cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if rows >= min(1_000_000, group_rows):
+                whole = pa.Table.from_batches(held).combine_chunks()
+                same = np.ones(rows, dtype=bool)
+                for name in ("block", "key", "part"):
+                    x = whole.column(name).to_numpy()
+                    same &= x == x[-1]
+                cut = rows - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
-                    yield links(x[:, :cut])
-                held, rows = [x[:, cut:]], x.shape[1] - cut
+                    yield links(whole.slice(0, cut))
+                    held, rows = whole.slice(cut).to_batches(), rows - cut
         if rows:
-            yield links(np.concatenate(held, axis=1))
+            yield links(pa.Table.from_batches(held))
 
-    def links(x: np.ndarray) -> pa.RecordBatch:
-        node, value, block = x[0], x[1].view(np.uint64), x[2]
-        shift = np.array([(s + w) % 64 for s, w in blocks], dtype=np.uint64)[block]
+    def links(x: pa.Table) -> pa.RecordBatch:
+        node, value, block = x.column("node").to_numpy(), x.column("fp").to_numpy().view(np.uint64), x.column("block").to_numpy()
+        shift = np.array([t % 64 for t in turns], dtype=np.uint64)[block]
         turned = np.where(shift == 0, value, (value >> shift) | (value << ((np.uint64(64) - shift) & np.uint64(63))))
-        change = np.concatenate(([True], (x[2:, 1:] != x[2:, :-1]).any(axis=0)))
+        change = np.zeros(len(node), dtype=bool)
+        for name in ("block", "key", "part"):
+            c = x.column(name).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
         group = np.cumsum(change)
         order = np.lexsort((turned, group))
-        got = trie_links(turned[order], group[order], max_bits)
+        alike = None
+        if share is not None:
+            least = np.frombuffer(b"".join(x.column("minima").to_pylist()), dtype=np.uint32).reshape(len(node), MINIMA)[order]
+            alike = lambda i, j: (least[i] == least[j]).mean(axis=1) >= share
+        got = trie_links(turned[order], group[order], max_bits, alike)
         return pa.RecordBatch.from_arrays([pa.array(node[order][got[:, 0]]), pa.array(node[order][got[:, 1]])], names=["u", "v"])
 
     dealt = keyed.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part")
-    return dealt.select("node", "fp", F.col("block").cast("long"), "key", F.col("part").cast("long")).mapInArrow(run, "u long, v long")
+    return dealt.select("node", "fp", "minima", "block", "key", "part").mapInArrow(run, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, max_bits: int = 4,
+               similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked; components are taken over all
-    links.  Equal fingerprints are one node, so copies are never paired.  Rows with a null id stay, with a null
+    Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked (:func:`near_links`); with a
+    ``similarity``, instead those whose shingle sets are that similar (:func:`alike_links`).  Components are taken
+    over all links.  Equal fingerprints (and minima) are one node, so copies are never paired.  Rows with a null id stay, with a null
     component_id, and link nothing.  Rows that repeat an id belong to the component of each of their fingerprints.
     Null and empty texts have fingerprint zero.  Other columns are ignored.  An empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, id_column, text_column, shingle))
-    nodes = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    links = near_links(nodes, max_bits)
+    prints = checkpointed(fingerprints(docs, id_column, text_column, shingle, similarity is not None).withColumn(
+        "same", F.when(F.length("minima") > 0, F.xxhash64("fp", "minima")).otherwise(F.col("fp"))))
+    known = prints.filter("doc_id is not null").groupBy("same")
+    if similarity is None:
+        nodes = known.agg(F.min("doc_id").alias("node")).withColumn("fp", F.col("same"))
+        links = near_links(nodes, max_bits)
+    else:
+        nodes = known.agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("minima").alias("minima"))
+        links = alike_links(nodes, similarity)
     # one id under two fingerprints joins them: the fingerprints' own nodes are then linked
-    twice = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b and doc_id is not null")
-    extra = prints.join(twice.select("doc_id"), "doc_id").join(nodes, "fp").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
+    twice = prints.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a <> b and doc_id is not null")
+    extra = prints.join(twice.select("doc_id"), "doc_id").join(nodes.select("same", "node"), "same").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
     found = connected_components(links.union(extra))
-    comp = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(comp, "fp", "left")
+    comp = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    out = prints.select("doc_id", "fp", "same").join(comp, "same", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
