@@ -48,7 +48,7 @@ class Engine:
         return next_page(self, self.plan(text), budget)
 
     def run_to_completion(self, text: str, budget: Budget, most: int = 10_000) -> tuple[list[dict], int]:
-        """All solutions by pages, and the number of continuations it took."""
+        """All solutions by pages, as canonical text, and the number of continuations it took."""
         rows: list[dict] = []
         for n in range(most):
             page = self.page(text, budget)
@@ -59,5 +59,13 @@ class Engine:
         raise RuntimeError(f"not done after {most} pages")
 
 
+    def terms(self, text: str) -> DataFrame:
+        """All solutions, every cell as canonical text, which is how pages give them."""
+        query = self.plan(text)
+        rel = self.relation(query.op)
+        return rel.df.select(*[rel.canonical(n).alias(n) for n in query.names])
+
+
 def solutions(rel: Relation, names: list[str]) -> DataFrame:
-    return rel.df.select(*[R.col(n).alias(n) for n in names])
+    """The named variables: native literals as they are, all other terms as canonical text."""
+    return rel.df.select(*[(R.col(n) if rel.forms[n].kind == "literal" else rel.canonical(n)).alias(n) for n in names])

@@ -53,6 +53,8 @@ class Budget:
 
 @dataclass
 class Page:
+    """``rows`` have canonical text for every term and None for unbound variables."""
+
     rows: list[dict]
     next: str | None
     names: list[str]
@@ -89,29 +91,29 @@ def _filtered(op: Any, filters: tuple) -> Any:
     return A.Filter(tuple(dict.fromkeys(filters)), op) if filters else op
 
 
-def _branches(op: Any) -> list[Branch]:
+def split_branches(op: Any) -> list[Branch]:
     match op:
         case A.Bgp(patterns):
             return [Branch(tuple(Step("inner", A.Bgp((p,))) for p in patterns))]
         case A.Table():
             return [Branch(() if op == A.UNIT else (Step("inner", op),))]
         case A.Union(a, b):
-            return _branches(a) + _branches(b)
+            return split_branches(a) + split_branches(b)
         case A.Filter(conditions, c):
-            return [replace(x, filters=x.filters + conditions) for x in _branches(c)]
+            return [replace(x, filters=x.filters + conditions) for x in split_branches(c)]
         case A.Extend(v, e, c) if not _has_group(c):
-            return [replace(x, steps=x.steps + (Step("bind", e, var=v),)) for x in _branches(c)]
+            return [replace(x, steps=x.steps + (Step("bind", e, var=v),)) for x in split_branches(c)]
         case A.Join(a, b):
-            right = _branches(b)
+            right = split_branches(b)
             # a filter may leave its group only if nothing outside changes what it sees
             for x in right:
                 inside = A.certain(Branch(x.steps).op())
                 if not all(A.expression_vars(f) <= inside for f in x.filters) or any(s.kind == "bind" for s in x.steps):
                     right = [Branch((Step("inner", b),))]
                     break
-            return [Branch(x.steps + y.steps, x.filters + y.filters) for x in _branches(a) for y in right]
+            return [Branch(x.steps + y.steps, x.filters + y.filters) for x in split_branches(a) for y in right]
         case A.LeftJoin(a, b, c):
-            left = _branches(a)
+            left = split_branches(a)
             if any(x.filters for x in left):
                 left = [Branch((Step("inner", a),))]
             return [replace(x, steps=x.steps + (Step("optional", b, c),)) for x in left]
@@ -126,7 +128,7 @@ def _has_group(op: Any) -> bool:
 
 def branches(op: Any) -> list[Branch] | None:
     """Branches of a query's pattern; None if a variable that steps share may be unbound, so that steps have no order."""
-    out = _branches(op)
+    out = split_branches(op)
     for b in out:
         sure: set[str] = set()
         seen: set[str] = set()
@@ -216,7 +218,6 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     """Solutions among the first ``limit`` nodes of the order; nodes are solutions, or with ``scans`` every step's matches."""
     frames: list[DataFrame] = []
     steps = max([len(b.steps) for b in all_] + [1])
-    forms: dict[str, set[T.Form]] = {}
     built = []
     for at, b in enumerate(all_):
         prefixes = _prefixes(engine, b)
@@ -242,9 +243,6 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
             else:
                 rel.df = rel.df.withColumn("ok", F.lit(False))
             built.append((at, i, rel))
-            for n in names:
-                if n in rel.vars:
-                    forms.setdefault(n, set()).add(rel.forms[n])
     for at, i, rel in built:
         terms = F.create_map(*[x for n in sorted(rel.vars) for x in (F.lit(n), rel.canonical(n))]) if rel.vars else (
             F.create_map().cast("map<string,string>"))
@@ -255,7 +253,7 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
         for n in names:
             if n not in rel.vars:
                 continue
-            cols.append((R.col(n) if len(forms[n]) == 1 else rel.canonical(n)).alias("o:" + n))
+            cols.append(rel.canonical(n).alias("o:" + n))
         frames.append(rel.df.select(*cols))
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     by: list[Column] = [F.col("b").asc(), *[F.col(f"`{_key(k)}`").asc_nulls_first() for k in range(steps)]]
@@ -353,7 +351,7 @@ def next_page(engine: Engine, query: Query, budget: Budget) -> Page:
 
 def _output(rel: Relation, names: list[str]) -> DataFrame:
     rel = project(rel, tuple(names))
-    return rel.df.select(*[R.col(n).alias(n) for n in names])
+    return rel.df.select(*[rel.canonical(n).alias(n) for n in names])
 
 
 def _by_offset(engine: Engine, query: Query, limit: int) -> Page:
