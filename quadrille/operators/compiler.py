@@ -51,7 +51,7 @@ class Compiler:
                     return self._service(b, self.compile(a))
                 return R.join(self.compile(a), self.compile(b))
             case A.LeftJoin(a, b, c):
-                condition = None if c is None else lambda env: F.coalesce(E.ebv(E.evaluate(c, env)), F.lit(False))
+                condition = None if c is None else lambda env: E.ebv(E.evaluate(c, env))
                 return R.left_join(self.compile(a), self.compile(b), condition)
             case A.Union(a, b):
                 return R.union(self.compile(a), self.compile(b))
@@ -94,7 +94,8 @@ class Compiler:
                 inner = c.args[0] if negated else c
                 rel = self._exists(rel, inner.pattern, inner.negated != negated)
             else:
-                rel = rel.filter(F.coalesce(E.ebv(E.evaluate(c, rel.env())), F.lit(False)))
+                # null, an error, is not true; left bare so that Catalyst can push the test into the scan
+                rel = rel.filter(E.ebv(E.evaluate(c, rel.env())))
         return rel
 
     def _exists(self, rel: Relation, pattern: Any, negated: bool) -> Relation:
@@ -106,7 +107,7 @@ class Compiler:
         def test(env: E.Env) -> Column:
             out = F.lit(True)
             for c in conditions:
-                out = out & F.coalesce(E.ebv(E.evaluate(c, env)), F.lit(False))
+                out = out & E.ebv(E.evaluate(c, env))
             return out
 
         return R.semi_join(rel, self.compile(pattern), negated, test if conditions else None)
