@@ -239,7 +239,8 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
 
     Counts meet as one row a task and subtree.  The template is broadcast if a count shows ``broadcast_rows`` hashes at
     most; else each page gets its own template hashes by shuffled joins.  A url without host shares the empty host.
-    Repeated rows give the same text; an empty table gives an empty result.
+    Repeated rows give the same text; an empty table gives an empty result.  Further columns stay; text and n_chars
+    replace columns of those names, and names that begin with two underscores are kept for inner use.
     """
     rows = pages.withColumn("__page", F.xxhash64(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))))
 
@@ -259,7 +260,8 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
     held = pages.sparkSession.sparkContext.broadcast(np.sort(found) if small else np.zeros(0, np.int64))
     if not small:
         own = seen.join(template, "h").groupBy("page").agg(F.collect_set("h").alias("__own"))
-        rows = rows.join(own, rows["__page"] == own["page"], "left").drop("page")
+        own = own.withColumnRenamed("page", "__of")
+        rows = rows.join(own, F.col("__page") == F.col("__of"), "left").drop("__of")
     else:
         rows = rows.withColumn("__own", F.lit(None).cast("array<long>"))
     state: dict[str, set[int]] = {}

@@ -175,7 +175,8 @@ def predict(docs: DataFrame, model: Ppm, text: Column) -> Column:
 def identify(docs: DataFrame, max_docs: int = 3_000, fold: int | None = 0, folds: int = 5) -> DataFrame:
     """``docs`` with new columns held_out, lang_pred and score; only the text decides a prediction.
 
-    Null ids are not held out and never learnt from.  An empty table gives an empty result.
+    Null ids are not held out and never learnt from.  An empty table gives an empty result.  Further columns stay; the new ones replace
+    columns of their names.
     """
     model = fit(docs, max_docs, fold=fold, folds=folds)
     held = F.coalesce(remainder("doc_id", folds) == (folds if fold is None else fold), F.lit(False))

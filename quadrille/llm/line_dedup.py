@@ -54,8 +54,8 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the lines that the bitmaps drop, with new columns n_lines (before) and n_dropped.
 
-    Other lines stay, joined by a newline; null text becomes empty.  Columns of ``docs`` keep their names; it
-    must not have n_lines or n_dropped itself.  The bitmaps are hashed per task, so texts are shuffled, not sorted.
+    Other lines stay, joined by a newline; null text becomes empty.  Further columns stay; the new ones replace
+    columns of their names, and names that begin with two underscores are kept for inner use.  The bitmaps are hashed per task, so texts are shuffled, not sorted.
     """
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"),
                            F.col("dropped").alias("__dropped")).hint("shuffle_hash")

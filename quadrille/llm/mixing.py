@@ -97,11 +97,13 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     pattern is not sorted as a whole: sums by the top ``bits`` of the hash find the bucket in which the quota runs
     out, and only that bucket is ranked, by hash and id.  Null sizes and ids: size null is 0; a null id hashes like
     any other.  Rows that repeat id and pattern take the same fate up to the cut and may differ there.  Empty
-    tables give empty results.  No sum of sizes: targets and taken are 0.
+    tables give empty results.  No sum of sizes: targets and taken are 0.  Further columns stay; the new ones replace
+    columns of their names, and names that begin with two underscores are kept for inner use.
     """
     names = F.array_sort(F.array_distinct(F.filter(F.coalesce(sources, F.array().cast("array<string>")), lambda s: s.isNotNull())))
     order = F.xxhash64(F.lit(seed), F.col(id_column))
     base = docs.withColumns({"size": F.coalesce(size.cast("long"), F.lit(0)), "pattern": names, "__order": order})
+    base = base.drop("source_size", "target", "taken")
     base = base.withColumn("__bucket", F.shiftrightunsigned("__order", 64 - bits))
     light = checkpointed(base.select(F.col(id_column).alias("__id"), "pattern", "size", "__order", "__bucket"))
     sums = checkpointed(light.groupBy("pattern", "__bucket").agg(F.sum("size").alias("words")))

@@ -131,7 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, fold: i
     """``docs`` with new columns held_out, score and predicted; only the text decides the score.
 
     No labels at all, or a class of fewer than two: every score is the share of label 1, 0.5 without labels.  Null
-    ids are not held out.  Repeated rows score alike; an empty table gives an empty result.
+    ids are not held out.  Repeated rows score alike; an empty table gives an empty result.  Further columns stay; the new ones replace
+    columns of their names.
     """
     model = fit(docs, labels, max_rows, fold, folds)
     held = F.coalesce(remainder("doc_id", folds) == (folds if fold is None else fold), F.lit(False))

@@ -54,7 +54,8 @@ class Ordinal:
 
     def over(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold j: logistic of the margin less the threshold."""
-        return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.cuts[None, :], -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(margin[:, None] - self.cuts[None, :], -500, 500)))
+        return np.where(np.isinf(self.cuts), self.cuts < 0, p)
 
     def margin(self, text: str | None) -> float:
         """Sum over the features of weight * log2(1 + occurrences)."""
@@ -168,7 +169,8 @@ def severity(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int
     """``docs`` with new columns held_out, severity (0 to ``grades`` - 1), score (0 to 1) and predicted (score >= 0.5).
 
     Null and empty texts have no features: their severity is what the thresholds alone give.  Without labels, or
-    without toxic ones, every severity is 0.  Null ids are not held out.  An empty table gives an empty result.
+    without toxic ones, every severity is 0.  Null ids are not held out.  An empty table gives an empty result.  Further columns stay; the new ones replace
+    columns of their names.
     """
     model = fit(docs, labels, grades, max_rows, fold=fold, folds=folds)
     held = F.coalesce(remainder("doc_id", folds) == (folds if fold is None else fold), F.lit(False))
