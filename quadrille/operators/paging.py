@@ -53,11 +53,15 @@ class Budget:
 
 @dataclass
 class Page:
-    """``rows`` have canonical text for every term and None for unbound variables."""
+    """``rows`` have canonical text for every term and None for unbound variables.
+
+    ``progress`` is the share of the outermost step's matches that are used up, where the query has such steps.
+    """
 
     rows: list[dict]
     next: str | None
     names: list[str]
+    progress: float | None = None
 
 
 @dataclass(frozen=True)
@@ -272,8 +276,8 @@ def _table(terms: dict[str, str | None], names: set[str]) -> Any:
     return A.Table(tuple(bound), (tuple(T.python_term(terms[n]) for n in bound),)) if bound else A.UNIT
 
 
-def _rest(engine: Engine, all_: list[Branch], node: _Node) -> list[Any]:
-    """Operators that together give what comes after ``node``, in order."""
+def _rest(engine: Engine, all_: list[Branch], node: _Node) -> tuple[list[Any], float | None]:
+    """Operators that together give what comes after ``node``, in order; and how far the outermost step is."""
     b = all_[node.branch]
     out: list[Any] = []
     before: dict[int, set[str]] = {}
@@ -304,7 +308,8 @@ def _rest(engine: Engine, all_: list[Branch], node: _Node) -> list[Any]:
         remaining = A.Slice(done, None, A.Project(tuple(sorted(A.visible(s.op))), inner))
         start = A.join_all([_table(node.terms, before[i]), remaining])
         out.append(_filtered(reduce(_attach, b.steps[i + 1 :], start), b.filters))
-    return out + [x.op() for x in all_[node.branch + 1 :]]
+    share = counts[-1][0] / counts[-1][1] if counts and counts[-1][1] else None
+    return out + [x.op() for x in all_[node.branch + 1 :]], None if share is None else (node.branch + share) / len(all_)
 
 
 def _positions(engine: Engine, counted: list) -> list[tuple[int, int]]:
@@ -342,11 +347,11 @@ def next_page(engine: Engine, query: Query, budget: Budget) -> Page:
     if scans and budget.max_results is not None and len(rows) > budget.max_results:
         rows, node = _first(engine, all_, names, budget.max_results, False)
     if node is None:
-        return Page(rows, None, names)
-    rest = _rest(engine, all_, node)
+        return Page(rows, None, names, 1.0)
+    rest, progress = _rest(engine, all_, node)
     if not rest:
-        return Page(rows, None, names)
-    return Page(rows, text_of(A.Project(tuple(names), A.union_all(rest))), names)
+        return Page(rows, None, names, 1.0)
+    return Page(rows, text_of(A.Project(tuple(names), A.union_all(rest))), names, progress)
 
 
 def _output(rel: Relation, names: list[str]) -> DataFrame:
@@ -385,7 +390,7 @@ def _counted(engine: Engine, query: Query, scans: int, extends: list, group: A.G
     rows, node = _first(engine, all_, needed, scans, True)
     add = {name: sum(1 for r in rows if a.arg is None or r[a.arg.name] is not None) for name, a in group.aggregates}
     number = lambda n: A.Literal(str(n), A.XSD + "integer")
-    rest = [] if node is None else _rest(engine, all_, node)
+    rest = [] if node is None else _rest(engine, all_, node)[0]
     put = (lambda x: number(add[x.name]) if isinstance(x, A.Var) and x.name in add else x) if not rest else (
         lambda x: A.Call("+", (x, number(add[x.name]))) if isinstance(x, A.Var) and x.name in add else x)
     final = [(v, rewrite.fold_sums(A.rebuild(e, put))) for v, e in extends]

@@ -9,9 +9,11 @@ import pytest
 
 from quadrille.endpoint import DESCRIPTION, Endpoint, serve
 from quadrille.engine import Engine
+from quadrille.operators.compiler import Services
 from quadrille.operators.paging import Budget
 from quadrille.sources.dataset import Registry, from_lines, read_quads, write_quads
 from quadrille.sources.relational import RelationalDataset
+from quadrille.sources.remote import RemoteService
 from quadrille.sources.results import from_json, to_json
 from quadrille.streaming.statements import match_stream, read_stream
 from tests.fixtures import graphs, nine, statements
@@ -96,6 +98,9 @@ def test_endpoint(spark):
     assert len(from_json(get("whole", query="SELECT * { ?s ?p ?o }"))[1]) == 9
     assert len(from_json(get("walks", query="SELECT * { ?s ?p ?o }", attempts=7))[1]) == 7
     assert get("pages") == DESCRIPTION
+    remote = Engine(graphs(spark), Services({f"{root}/pages": RemoteService(spark, f"{root}/pages")}))
+    far = remote.execute(f"SELECT * {{ GRAPH <http://Carol> {{ ?p <http://address> ?c }} SERVICE <{root}/pages> {{ ?p <http://own> ?a }} }}")
+    assert far.count() == 3  # over two pages of the server
     with pytest.raises(urllib.error.HTTPError):
         get("pages", query="SELECT")
     server.shutdown()
