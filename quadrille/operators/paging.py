@@ -204,7 +204,7 @@ def _prefixes(engine: Engine, b: Branch) -> list[tuple[int, Relation]]:
 
 @dataclass
 class _Node:
-    """Where a page ended: branch, step, canonical text of every variable, and the steps' keys."""
+    """Where a page ended: branch, step, canonical text of every bound variable, and the steps' keys."""
 
     branch: int
     step: int
@@ -248,8 +248,8 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
                 rel.df = rel.df.withColumn("ok", F.lit(False))
             built.append((at, i, rel))
     for at, i, rel in built:
-        terms = F.create_map(*[x for n in sorted(rel.vars) for x in (F.lit(n), rel.canonical(n))]) if rel.vars else (
-            F.create_map().cast("map<string,string>"))
+        binds = [s.var for s in all_[at].steps if s.kind == "bind" and s.var in rel.vars]
+        terms = F.create_map(*[x for n in binds for x in (F.lit(n), rel.canonical(n))]) if binds else F.create_map()
         cols = [F.lit(at).alias("b"), F.lit(i).alias("i"), "ok", terms.cast("map<string,string>").alias("terms")]
         for k in range(steps):
             has = _key(k) in rel.df.columns
@@ -267,7 +267,20 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     if not more:
         return rows, None
     r = got[limit - 1]
-    return rows, _Node(r["b"], r["i"], dict(r["terms"] or {}), {k: r[_key(k)] for k in range(steps)})
+    keys = {k: r[_key(k)] for k in range(steps)}
+    return rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)
+
+
+def _terms(b: Branch, keys: dict[int, list[str] | None]) -> dict[str, str | None]:
+    """What the steps have bound, read back from their keys."""
+    out: dict[str, str | None] = {}
+    seen: set[str] = set()
+    for i, s in enumerate(b.steps):
+        names = {s.var} if s.kind == "bind" else A.visible(s.op)
+        if s.kind != "bind":
+            out.update(zip(sorted(names - seen), keys.get(i) or []))
+        seen |= names
+    return out
 
 
 def _table(terms: dict[str, str | None], names: set[str]) -> Any:

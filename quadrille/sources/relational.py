@@ -181,12 +181,27 @@ class RelationalDataset(Dataset):
         return Relation(df.select(*[c.alias(R.physical(n)) for n, (c, _) in bound.items()]), {n: f for n, (_, f) in bound.items()}, set(bound))
 
     def _any_predicate(self, name: str, p: A.Pattern) -> Relation:
-        """Every predicate of the table, exploded from one scan."""
+        """Every predicate of the table from one scan, each row once a predicate.
+
+        Rows are multiplied by a number alone, and what a statement says is looked up by it, so that text which nobody
+        asks for is never built.
+        """
         subject, form = self.subject(name)
-        pairs = [F.struct(F.lit(f"<{k}>").alias("p"), (F.lit(f"<{self._class(name)}>") if c is None else T.canonical(F.col(c), f)).alias("o"))
-                 for k, (c, f) in self.objects(name).items()]
-        df = self.frame(name).select(T.canonical(subject, form).alias("s"), F.explode(F.array(*pairs)).alias("po"))
-        df = df.select(F.lit(f"<{self.base}graph/{name}>").alias("g"), "s", "po.p", "po.o").filter("o is not null")
+        objects = list(self.objects(name).items())
+        at = F.col("`at:`")
+
+        def by_number(values: list[Column]) -> Column:
+            out = F.when(at == 0, values[0])
+            for i, v in enumerate(values[1:], 1):
+                out = out.when(at == i, v)
+            return out
+
+        there = by_number([F.lit(True) if c is None else F.col(c).isNotNull() for _, (c, _) in objects])
+        says = by_number([F.lit(f"<{self._class(name)}>") if c is None else T.canonical(F.col(c), f) for _, (c, f) in objects])
+        rows = self.frame(name).withColumn("s:key", T.canonical(subject, form))
+        rows = rows.withColumn("at:", F.explode(F.lit(list(range(len(objects)))))).filter(there)
+        df = rows.select(F.lit(f"<{self.base}graph/{name}>").alias("g"), F.col("`s:key`").alias("s"),
+                         by_number([F.lit(f"<{k}>") for k, _ in objects]).alias("p"), says.alias("o"))
         from quadrille.sources.dataset import QuadDataset
 
         return QuadDataset(df).scan(p)
