@@ -46,6 +46,8 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     firsts = ranged.groupBy("h", "doc_id").agg(F.min("pos").alias("first"))
     common = (firsts.groupBy("h").agg(F.count("*").alias("holders"), F.max("doc_id").alias("owner"))
               .filter(F.col("holders") >= min_docs).select("h", "owner"))
+    # of its own, so that the join reads two plain shuffles and Spark can split the one with a hot key
+    common = checkpointed(common)
     lost = keyed.join(common, "h").filter("doc_id <> owner")
     at = lost.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     return at.select("doc_id", "digest", _runs(F.col("at")).alias("dropped"))
