@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import remainder
+from quadrille.llm.common import checkpointed, remainder
 
 TOKEN = re.compile(r"[^\W_]+", re.UNICODE)
 
@@ -63,7 +64,23 @@ class Ordinal:
         return float(sum(self.weights[i] * np.log2(1 + n) for i, n in sorted(found.items())))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix as rows, columns and values of what is not zero."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * w[self.col], minlength=self.shape[0])
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=self.value * r[self.row], minlength=self.shape[1])
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int, ridge: float = 0.3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link (proportional odds) model, by ridge-penalised gradient steps.
 
     Every grade's threshold is scored by the same weights; thresholds are a first one plus positive increments, so
@@ -77,13 +94,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.3, s
     for step in range(1, steps + 1):
         gaps = np.exp(theta[k + 1 :])
         cuts = theta[k] + np.concatenate(([0.0], np.cumsum(gaps)))
-        p = 1 / (1 + np.exp(-np.clip((x @ theta[:k])[:, None] - cuts[None, :], -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(theta[:k])[:, None] - cuts[None, :], -500, 500)))
         full = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
         mass = np.maximum(full[np.arange(n), y] - full[np.arange(n), y + 1], 1e-12)
         slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
         hi, lo = slope[np.arange(n), y] / mass, slope[np.arange(n), y + 1] / mass  # d log mass by each threshold's logit
         g = np.zeros_like(theta)
-        g[:k] = -(x.T @ (hi - lo)) / n + ridge * theta[:k] / n
+        g[:k] = -x.transposed_times(hi - lo) / n + ridge * theta[:k] / n
         by_cut = np.zeros(grades + 1)
         np.add.at(by_cut, y, hi)
         np.add.at(by_cut, y + 1, -lo)
@@ -95,14 +112,20 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.3, s
     return theta[:k], theta[k] + np.concatenate(([0.0], np.cumsum(np.exp(theta[k + 1 :]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_000, max_words: int = 400,
+def _mark(text: str | None) -> int:
+    """The least hash of a text's five-word shingles, which near copies mostly share and other texts do not."""
+    w = tokens(text)
+    return min((zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), default=0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_000, max_words: int = 2_000,
         fold: int | None = 1, folds: int = 3, label: str = "toxic") -> Ordinal:
     """Learnt from about ``max_rows`` labelled rows at most, never from the rows of the held-out fold.
 
     Features are words and beginnings of words: at most ``max_words`` that toxic texts hold over four times as often
     as clean ones, the surest first, by a z score of the log odds ratio, counted in Spark over the sample.  ``labels[label]`` is 0 or a grade.  Where it
     is only 0 and 1, a toxic row's grade is 1 to ``grades`` - 1, the number of its words that have a feature, so a text that
-    piles up insults ranks over one that has a single one.  Clean rows are grade 0.
+    piles up insults ranks over one that has a single one.  Clean rows are grade 0.  Near copies in the sample count once.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", F.greatest(F.lit(0), F.least(F.lit(grades - 1), F.col(label))).cast("int").alias("__y"))
@@ -112,6 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "__y")
 
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return texts.map(_mark).astype("int64")
+
+    # copies of one text are one witness: else every word of a much copied toxic text would look toxic
+    rows = checkpointed(rows.withColumn("mark", mark("text")).dropDuplicates(["mark", "__y"]).drop("mark"))
+
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[tuple[str, int], int] = {}
@@ -145,9 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_
         return pd.Series(out)
 
     got = rows.select("__y", features("text").alias("x")).collect()  # at most max_rows short rows
-    x, y = np.zeros((len(got), len(words)), dtype=np.float32), np.array([r["__y"] for r in got], dtype=int)
-    for i, r in enumerate(got):
-        x[i, [int(v) for v in r["x"][1::2]]] = r["x"][2::2]
+    y = np.array([r["__y"] for r in got], dtype=int)
+    held_ = [np.array([i] * (len(r["x"]) // 2), dtype=np.int64) for i, r in enumerate(got)]
+    x = Sparse(np.concatenate(held_), np.concatenate([np.array(r["x"][1::2], dtype=np.int64) for r in got]),
+               np.concatenate([np.array(r["x"][2::2]) for r in got]), (len(got), len(words)))
     if y.max(initial=0) <= 1:
         y = np.where(y > 0, np.clip([int(r["x"][0]) for r in got], 1, grades - 1), 0)
     weights, cuts = fit_ordinal(x, y, grades)

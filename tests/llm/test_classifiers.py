@@ -119,7 +119,8 @@ def test_ordinal_shares_weights_and_orders_thresholds():
     x = rng.integers(0, 2, size=(3000, 3)).astype(float)
     latent = x @ np.array([2.0, 1.0, 0.0]) + rng.logistic(size=3000)
     y = np.digitize(latent, [0.5, 2.0, 3.5])
-    w, cuts = toxicity.fit_ordinal(x, y, 4)
+    row, col = np.nonzero(x)
+    w, cuts = toxicity.fit_ordinal(toxicity.Sparse(row, col, x[row, col], x.shape), y, 4)
     assert w == pytest.approx([2.0, 1.0, 0.0], abs=0.3) and cuts == pytest.approx([0.5, 2.0, 3.5], abs=0.3) and (np.diff(cuts) > 0).all()
 
 
@@ -128,8 +129,8 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["severity"] for r in toxicity.severity(docs, none).collect()} == {0.0}
     assert toxicity.severity(docs.limit(0), none).count() == 0
-    good = [(i, f"a plain text about word{i % 7} and more", 0) for i in range(300)]
-    bad = [(1000 + i, f"a plain idiot text about word{i % 7} " + "scum " * (i % 3), 1) for i in range(300)]
+    good = [(i, f"a plain text number{i} about word{i % 7} and more", 0) for i in range(300)]
+    bad = [(1000 + i, f"a plain idiot text number{i} about word{i % 7} " + "scum " * (i % 3), 1) for i in range(300)]
     df = spark.createDataFrame(good + bad, "doc_id long, text string, toxic int")
     got = {r["doc_id"]: r for r in toxicity.severity(df.drop("toxic"), df.select("doc_id", "toxic"), fold=None).collect()}
     assert all(got[i]["predicted"] == t for i, _, t in good + bad)
