@@ -33,7 +33,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--executions", "-n", type=int, default=1, help="repetitions of the query")
     p.add_argument("--attempts", "-a", type=int, default=10_000, help="walks")
     p.add_argument("--sub-walks", type=int, default=5, help="walks for each value of a distinct count")
-    p.add_argument("--method", choices=["crawd", "chao_lee"], default="crawd")
+    p.add_argument("--method", choices=["weighted", "chao_lee"], default="weighted")
     p.add_argument("--seed", type=int, default=1)
     p.add_argument("--no-seed", action="store_true")
     p.add_argument("--port", type=int, default=3330)

@@ -132,11 +132,11 @@ def _aggregate(engine: Any, text: str) -> tuple[str, A.Aggregate, Any]:
     return name or inner.aggregates[0][0], inner.aggregates[0][1], inner.child
 
 
-def estimate(engine: Any, text: str, n: int, seed: int = 0, method: str = "crawd", sub_walks: int = 5) -> DataFrame:
+def estimate(engine: Any, text: str, n: int, seed: int = 0, method: str = "weighted", sub_walks: int = 5) -> DataFrame:
     """One row with the estimate of a query's COUNT under the name that the query gives it, a double.
 
     ``COUNT(*)`` and ``COUNT(?v)``: the mean of one over the walks' probabilities, failed walks as 0 (Wander Join).
-    ``COUNT(DISTINCT ...)`` by ``crawd``: each walk's one over probability is divided by an estimate of how many solutions
+    ``COUNT(DISTINCT ...)`` by ``weighted``: each walk's one over probability is divided by an estimate of how many solutions
     share its values, from the walk itself and ``sub_walks`` more that start from those values.  By ``chao_lee``: the
     number of values seen, over the share of all solutions that they are estimated to hold.
     """
@@ -150,11 +150,11 @@ def estimate(engine: Any, text: str, n: int, seed: int = 0, method: str = "crawd
     weight = F.when(won, 1 / F.col(PROBABILITY)).otherwise(0.0)
     if not a.distinct:
         return walks.df.agg((F.sum(weight) / F.count(F.lit(1))).alias(name))
-    if method not in ("crawd", "chao_lee"):
+    if method not in ("weighted", "chao_lee"):
         raise ValueError(f"unknown method {method}")
     found = Relation(walks.df.withColumn("w:weight", weight), walks.forms, walks.certain, [WALK, PROBABILITY, "w:weight"])
     sizes = _shares(found, targets, op, compiler, sub_walks, seed)
-    if method == "crawd":
+    if method == "weighted":
         total = found.df.agg(F.count(F.lit(1)).alias("n"))
         parts = sizes.agg(F.coalesce(F.sum(F.col("w:weight") / F.col("w:size")), F.lit(0.0)).alias("s"))
         return total.crossJoin(parts).select((F.col("s") / F.col("n")).alias(name))

@@ -217,7 +217,7 @@ def wander_join_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("n", 6).alias("n"))
 
 
-def crawd_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighted_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.estimate(engine(spark, sf_dir), f"{PREFIXES} SELECT (COUNT(DISTINCT ?n) AS ?d) {{ {JOINED} }}", 5_000, seed=1)
 
 
@@ -243,7 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _paged(q, b) for name, q, b, _ in PAGED},
     "sample_walks": sample_walks,
     "wander_join_count": wander_join_count,
-    "crawd_count_distinct": crawd_count_distinct,
+    "weighted_count_distinct": weighted_count_distinct,
     "chao_lee_count_distinct": chao_lee_count_distinct,
     "graph_summary": graph_summary,
     "source_selection": source_selection,
