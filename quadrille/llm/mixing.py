@@ -40,6 +40,10 @@ def route(capacity: list[int], member: list[list[int]], quota: list[float], most
     nodes joined by the patterns they share.
     """
     flow = [{s: 0.0 for s in m} for m in member]
+    holds: list[list[int]] = [[] for _ in quota]
+    for p, m in enumerate(member):
+        for s in m:
+            holds[s].append(p)
     for s in range(len(quota)):
         need = quota[s]
         while need > 1e-6:
@@ -52,14 +56,14 @@ def route(capacity: list[int], member: list[list[int]], quota: list[float], most
                 if at in done or d >= best[0]:
                     continue
                 done.add(at)
-                for p, m in enumerate(member):
-                    if at not in flow[p] or not capacity[p]:
+                for p in holds[at]:
+                    if not capacity[p]:
                         continue
                     used = sum(flow[p].values())
                     level = int(used / capacity[p] + 1e-9)
                     if level < most and d + level < best[0]:
                         best = (d + level, p, at)
-                    for other in m:
+                    for other in member[p]:
                         if other != at and flow[p][other] > 1e-9 and d < dist.get(other, float("inf")):
                             dist[other], via[other] = d, (p, at)
                             heapq.heappush(heap, (d, other))
