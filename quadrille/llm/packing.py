@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,40 +15,116 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import checkpointed
 
-#: Words whose ids a worker remembers before it starts over.
-CACHE_WORDS = 300_000
+#: Words, and parts of words, whose ids a worker remembers at most, in each of two generations: some 170 bytes each.
+CACHE_WORDS, CACHE_PARTS = 300_000, 200_000
+#: Texts looked up together, in characters.
+BLOCK_CHARS = 2_000_000
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+_STOPS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _parts(w: str) -> list[str] | None:
+    """A word as the pre-tokenizer splits it after lower-casing, or None if that is not plain."""
+    core = w.rstrip(_STOPS)
+    if core.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):  # most words are letters, and perhaps stops
+        return [core.lower(), w[len(core) :]] if len(core) < len(w) else [core.lower()]
+    return _PARTS.findall(w.lower()) if "<|" not in w and _PLAIN.fullmatch(w) else None
 
 
 class WordIds:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, through a cache of words.
+    """Token ids of texts, as little-endian unsigned 32-bit bytes, through caches of words and of their parts.
 
     Holds for tokenizers whose pre-tokenizer never crosses a space or newline and whose normaliser drops them, so
-    that a text's ids are those of its space-separated words in order.  That is checked on a probe when built.
+    that a text's ids are those of its space-separated words in order; and which lower-case words and split plain
+    Latin ones into letters, single digits and the rest, so that those share the ids of their parts.  Both are
+    checked on a probe; where only the first holds, words are encoded whole.  Caches change no result.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        probe = "One  two's\nthree, 4 fünf <|x|>\n\n"
-        if self.of(probe) != self._raw([probe])[0]:
-            raise ValueError(f"{path} does not tokenize word by word")
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.cache]
-        if new:
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        probe = "One  two's\nthree, 4567 fünf ÉTÉ'LL--x_y <|x|> a.b\n\n日本 ²x \u0301\n"
+        self.split = True
+        if self.of([probe]) != [self._ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
+            self.cache, self.old, self.split = {}, {}, False
+            if self.of([probe]) != [self._ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
+                raise ValueError(f"{path} does not tokenize word by word")
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def _encode(self, words: list[str], parts: bool = False) -> list[bytes]:
+        """Ids of each word.  ``parts`` are encoded many at once, as each ends with a token that says so."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            block = words[at : at + 4096]
+            if parts:
+                ids = np.asarray(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, dtype="<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) == len(block) and cuts[-1] == 4 * len(ids):
+                    raw, start = ids.tobytes(), 0
+                    for end in cuts.tolist():
+                        out.append(raw[start:end])
+                        start = end
+                    continue
+            out += [self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in block]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        whole, plain, split = [], [], []
+        cache, old = self.cache, self.old
+        for w in words:
+            known = old.get(w)
+            if known is not None:
+                cache[w] = known
+                continue
+            parts = _parts(w) if self.split else None
+            if parts is None:
+                whole.append(w)
+            else:
+                plain.append(w)
+                split.append(parts)
+        cache.update(zip(whole, self._encode(whole)))
+        needed = set().union(*split)
+        missing = needed.difference(self.parts)
+        if len(self.parts) + len(missing) > CACHE_PARTS:
+            self.parts, self.old_parts, missing = {}, self.parts, needed
+        self.parts.update((p, self.old_parts[p]) for p in missing if p in self.old_parts)
+        unknown = list(missing.difference(self.parts))
+        self.parts.update(zip(unknown, self._encode(unknown, True)))
+        ids = self.parts
+        for w, parts in zip(plain, split):
+            cache[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            block, size = [], 0
+            while at < len(texts) and (size < BLOCK_CHARS or not block):
+                block.append(texts[at].replace("\n", " ").split(" "))
+                size += len(texts[at])
+                at += 1
+            words = set().union(*block)
+            new = words.difference(self.cache)
             if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache = {"": b""}
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                self.cache.update(zip(part, self._raw(part)))
-        return b"".join(map(self.cache.__getitem__, words))
+                self.cache, self.old, new = {}, self.cache, words
+            if new:
+                self._learn(new)
+            get = self.cache.__getitem__
+            out += [b"".join(map(get, w)) for w in block]
+        return out
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -73,8 +150,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         words = _words(tokenizer)
         for batch in batches:
             names, cols = [f.split()[0] for f in kind.split(", ")], [[] for _ in range(6 if with_ids else 5)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.of(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), words.of(texts)):
+                ids += end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     row = (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").tolist() if with_ids else None)

@@ -24,10 +24,11 @@ def test_word_ids_are_the_tokenizers():
     words = packing.WordIds(PATH)
     want = [np.asarray(raw.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert words.of(texts) == want
-    packing.CACHE_WORDS, before = 10, packing.CACHE_WORDS
+    before = packing.CACHE_WORDS, packing.CACHE_PARTS
+    packing.CACHE_WORDS, packing.CACHE_PARTS = 10, 5
     small = packing.WordIds(PATH)
     assert small.of(texts) == want and [small.of([t])[0] for t in texts] == want
-    packing.CACHE_WORDS = before
+    packing.CACHE_WORDS, packing.CACHE_PARTS = before
 
 
 def test_packing_round_trip(spark):
