@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed
 
 CENTERS = 16  # four bits
-SCAN_ROWS = 4_096  # rows of a list scanned at once
+SCAN_ROWS = 4_096  # codes scanned at once
+EXACT_PAIRS = 100_000  # pairs of query and row scored at once
 
 
 @dataclass
@@ -126,46 +127,76 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_list(index: Index, at: int, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, packed: np.ndarray,
-                k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``k`` of one list for each query: scanned by code, the best ``rerank`` scored exactly; ties to smaller ids."""
-    by_id = np.argsort(vid, kind="stable")
-    vid, v, packed = vid[by_id], v[by_id], packed[by_id]
+def _whole_rows(x: np.ndarray) -> np.ndarray:
+    """Each row as one opaque value, to compare rows as a whole."""
+    x = np.ascontiguousarray(x)
+    return x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+
+
+def search_part(index: Index, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, at: np.ndarray, packed: np.ndarray,
+                k: int, rerank: int, probes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` of some rows for each query: all codes are scanned, all rows of the best ``rerank`` codes scored exactly.
+
+    ``at`` and ``packed`` are the rows' lists and codes.  Ties go to smaller ids.
+    """
+    # of equal vectors only those of the k + 1 smallest ids can be among a query's k best, its own id being none
+    same = np.unique(_whole_rows(v), return_inverse=True)[1]
+    order = np.lexsort((vid, same))
+    first = np.diff(same[order], prepend=-1) != 0
+    nth = np.cumsum(first | (np.diff(vid[order], prepend=vid[order][:1]) != 0))
+    stay = order[nth - nth[first][np.cumsum(first) - 1] <= k]
+    stay = stay[np.argsort(vid[stay], kind="stable")]
+    vid, v, at, packed = vid[stay], v[stay], at[stay], packed[stay]
+    both = np.concatenate((at.astype("<i4")[:, None].view(np.uint8), packed), axis=1)
+    _, head, code = np.unique(_whole_rows(both), return_index=True, return_inverse=True)
+    rows, size = np.argsort(code, kind="stable"), np.bincount(code)
+    start, most = np.cumsum(size) - size, rerank + 1  # one more, as a query's own row may hold a code
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(q), 256):
-        tables, ids, block = index.tables(q[a : a + 256]), qid[a : a + 256], q[a : a + 256]
+        tables, block, ids = index.tables(q[a : a + 256]), q[a : a + 256], qid[a : a + 256]
+        centre = block @ index.lists.T
+        if probes is not None and probes < centre.shape[1]:
+            np.put_along_axis(centre, np.argsort(-centre, axis=1, kind="stable")[:, probes:], -np.inf, axis=1)
         best = np.zeros((len(block), 0), dtype=np.float32)
         where = np.zeros((len(block), 0), dtype=np.int64)
-        for lo in range(0, len(v), SCAN_ROWS):
-            got = scan(tables, packed[lo : lo + SCAN_ROWS])
-            got[ids[:, None] == vid[None, lo : lo + SCAN_ROWS]] = -np.inf
+        for lo in range(0, len(head), SCAN_ROWS):
+            h = head[lo : lo + SCAN_ROWS]
+            got = scan(tables, packed[h]) + centre[:, at[h]].astype(np.float32)
             best = np.concatenate((best, got), axis=1)
-            where = np.concatenate((where, np.broadcast_to(np.arange(lo, lo + got.shape[1]), got.shape)), axis=1)
-            if best.shape[1] > rerank:
-                # stable by position, so that of equal approximations the smaller ids stay
-                keep = np.sort(np.argsort(-best, axis=1, kind="stable")[:, :rerank], axis=1)
+            where = np.concatenate((where, np.broadcast_to(np.arange(lo, lo + len(h)), got.shape)), axis=1)
+            if best.shape[1] > most:
+                keep = np.argpartition(-best, most - 1, axis=1)[:, :most]
                 best, where = np.take_along_axis(best, keep, axis=1), np.take_along_axis(where, keep, axis=1)
-        exact = (v[where].astype(np.float64) * block[:, None, :].astype(np.float64)).sum(axis=2)
-        exact = np.where(np.isneginf(best), -np.inf, exact)
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(exact, top, axis=1)
-        keep = ~np.isneginf(score)
-        out_q.append(np.repeat(ids, keep.sum(axis=1)))
-        out_v.append(vid[np.take_along_axis(where, top, axis=1)][keep])
-        out_s.append(score[keep])
+        for b in range(0, len(block), 16):  # few at once, as one code may hold many rows
+            i, j = np.nonzero(~np.isneginf(best[b : b + 16]))
+            c = where[b + i, j]
+            n = size[c]
+            i = b + np.repeat(i, n)
+            r = rows[np.repeat(start[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            other = ids[i] != vid[r]
+            i, r = i[other], r[other]
+            exact = np.concatenate([np.zeros(0)] + [(v[r[x : x + EXACT_PAIRS]] * block[i[x : x + EXACT_PAIRS]]).sum(axis=1)
+                                                    for x in range(0, len(r), EXACT_PAIRS)])
+            order = np.lexsort((vid[r], -exact, i))
+            i, r, exact = i[order], r[order], exact[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out_q.append(ids[i[top]])
+            out_v.append(vid[r[top]])
+            out_s.append(exact[top])
     return tuple(np.concatenate(x) for x in (out_q, out_v, out_s))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding",
-            sample: int = 20_000, list_rows: int = 2_000, max_lists: int = 4_096, probes: int = 10, rerank: int = 200,
+            sample: int = 20_000, list_rows: int = 2_000, max_lists: int = 4_096, probes: int | None = None, rerank: int = 200,
             eta: float = 4.0, part_rows: int = 50_000, seed: int = 0) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: for rows whose id ``every`` divides, ``k`` of the largest inner products.
 
     Candidates are all rows but the query's own id.  The index is fitted on about ``sample`` rows, chosen by hashed
-    id; every row is encoded.  Rows live in one list each, queries go to the ``probes`` best lists, and to more while
-    those hold fewer than 50 * ``k`` rows.  A list of over ``part_rows`` rows, such as a vector that is a third of the
-    table, is dealt into parts; so are its queries.  Each part scans four-bit codes and scores the best ``rerank``
-    exactly in double precision.  Ties go to the smaller id, through every step, as equal vectors have equal codes.
+    id; every row is encoded against the nearest of its lists' centres.  Rows are dealt by hashed id into parts of
+    about ``part_rows`` or fewer, and so are queries.  Each part scans the four-bit codes of all its rows and scores
+    all rows of the best ``rerank`` codes exactly in double precision, so copies of a vector push no other row out.
+    Every query meets every list: its best rows lie in most of them, so the work grows as queries times rows.
+    ``probes`` leaves out the rows of all but the query's best lists.  Ties go to the smaller id.
 
     Null ids, and vectors that are null, empty or zero, hold null or non-finite components, or are of another length
     than most, take no part.  An id that repeats is as many candidates.  Further columns are ignored.
@@ -200,48 +231,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
                 names=["l", "id", "v", "code"])
 
     coded_rows = checkpointed(rows.mapInArrow(coded, "l int, id long, v array<double>, code binary"))
-    queries = rows.filter(F.col("id") % every == 0)
-    sizes = {r["l"]: r["count"] for r in coded_rows.groupBy("l").count().collect()}  # at most max_lists rows
-    order_size = np.array([sizes.get(i, 0) for i in range(lists)])
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _matrix(batch.column(1))
-            best = np.argsort(-(q @ index.lists.T), axis=1, kind="stable")
-            seen = np.cumsum(order_size[best], axis=1) - order_size[best]
-            take = ((np.arange(lists)[None, :] < probes) | (seen < 50 * k)) & (order_size[best] > 0)
-            i, j = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(best[i, j].astype(np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["l", "id", "v"])
-
-    asked = checkpointed(queries.mapInArrow(routed, "l int, id long, v array<double>"))
-    asked_sizes = {r["l"]: r["count"] for r in asked.groupBy("l").count().collect()}
-    parts = {i: (-(-sizes.get(i, 0) // part_rows), -(-asked_sizes.get(i, 0) // part_rows)) for i in range(lists)}
-    dealt = {i: n for i, n in parts.items() if max(n) > 1}
+    asked = coded_rows.filter(F.col("id") % every == 0).select("id", "v")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-total // part_rows), min(cores, -(-total // 1_000)))
+    turns = max(1, -(-asked.count() // part_rows))
 
-    def deal(df: DataFrame, own: int) -> DataFrame:
+    def deal(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
         """With its own part by hashed id, copied to every part of the other side."""
-        if not dealt:
-            return df.withColumns({"p": F.lit(0), "o": F.lit(0)})
-        count = lambda side: F.coalesce(F.create_map(*[x for i, n in dealt.items() for x in (F.lit(i), F.lit(n[side]))])[F.col("l")], F.lit(1))
-        mine, other = F.pmod(F.xxhash64("id"), count(own)).cast("int"), F.explode(F.sequence(F.lit(0), count(1 - own) - 1))
-        both = df.withColumn("m", mine).withColumn("t", other)
-        return both.withColumns({"p": F.col("t" if own else "m"), "o": F.col("m" if own else "t")}).drop("m", "t")
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        index = held.value
         if not left.num_rows or not right.num_rows:
             got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
             packed = np.stack([np.frombuffer(c, np.uint8) for c in left.column("code").to_pylist()])
-            got = search_list(index, key[0].as_py(), right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks()),
-                              left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks()), packed, k, rerank)
+            got = search_part(held.value, right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks()),
+                              left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks()),
+                              left.column("l").to_numpy(), packed, k, rerank, probes)
         return pa.table({"query_id": pa.array(got[0]), "vec_id": pa.array(got[1]), "score": pa.array(got[2])})
 
-    found = (deal(coded_rows, 0).groupBy("l", "p", "o").cogroup(deal(asked, 1).groupBy("l", "p", "o"))
+    found = (deal(coded_rows, "p", parts, "o", turns).groupBy("p", "o").cogroup(deal(asked, "o", turns, "p", parts).groupBy("p", "o"))
              .applyInArrow(search, "query_id long, vec_id long, score double"))
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k)

@@ -199,6 +199,34 @@ def test_search_of_few_and_none(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_search_meets_every_list(spark):
+    """Rows in no clusters, and lists that far outnumber ten: the best rows lie in most lists."""
+    x = np.random.default_rng(3).normal(size=(4000, 32))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=40, k=20, list_rows=40).collect()
+    want = {(q, v) for q, best in brute_nearest(rows, 40, 20).items() for v, _ in best}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.99 * len(want)
+
+
+def test_copies_push_no_other_row_out():
+    """More copies of one vector, and of one code, than are reranked; what is better than they has another code."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    index = ann.train(x, 1)
+    code = index.encode(x, index.assign(x), 4.0)
+    packed = (code[:, 0::2] | (code[:, 1::2] << 4)).astype(np.uint8)
+    q = rng.normal(size=(1, 16))
+    near = int(np.argsort(-ann.scan(index.tables(q), packed)[0])[0])
+    v, p = np.concatenate((np.repeat(x[near : near + 1], 500, axis=0), x)), np.concatenate((np.repeat(packed[near : near + 1], 500, axis=0), packed))
+    v[:500] += rng.normal(size=(500, 1)) * np.where(np.arange(500) % 2, 1e-3, 0)[:, None] * q  # half of them copies, half of one code
+    ids = np.arange(len(v)) + 1
+    got = ann.search_part(index, np.array([0]), q, ids, v, np.zeros(len(v), int), p, 300, 600)
+    score = v @ q[0]
+    assert got[1].tolist() == sorted(ids.tolist(), key=lambda i: (-score[i - 1], i))[:300]
+    few = ann.search_part(index, np.array([0]), q, ids, v, np.zeros(len(v), int), p, 5, 1)
+    assert few[1].tolist() == sorted(ids[np.arange(len(v)) < 500].tolist(), key=lambda i: (-score[i - 1], i))[:5]
+
+
 def test_anisotropic_encoding_spares_the_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))
