@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,9 @@ FRONTIER = 500_000
 
 
 #: Minima of a text's sketch, and how many of them make a routing key.
-MINIMA, KEYS, KEY_MINIMA = 128, 8, 3
+MINIMA, KEYS, KEY_MINIMA = 128, 16, 3
+#: Bytes of shingle sets that a task gathers before it joins them.
+SET_BYTES = 64 << 20
 _ODD = (np.random.default_rng(7).integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 
 
@@ -48,41 +50,72 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash: a bit is set if more than half the shingle hashes have it; 0 for a text without words."""
-    return sketch(text, shingle, False)[0]
+    return _majority(shingle_hashes(text, shingle))
 
 
-def sketch(text: str | None, shingle: int, minima: bool = True) -> tuple[int, bytes]:
-    """Fingerprint, and the least of the shingle hashes under each of ``MINIMA`` permutations as 32-bit numbers.
+def _majority(blocks: Iterable[np.ndarray]) -> int:
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        n += len(h)
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the shingle hashes under each of ``MINIMA`` permutations as 32-bit numbers.
 
     Two texts agree in a minimum with a probability that is the Jaccard similarity of their shingle sets.
     """
-    total, n = np.zeros(64, dtype=np.int64), 0
     least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
-    for h in shingle_hashes(text, shingle):
-        n += len(h)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if minima:
-            low = ((h >> np.uint64(32)) ^ h).astype(np.uint32)
-            for at in range(0, len(low), 4096):
-                x = low[at : at + 4096, None] * _ODD
-                least = np.minimum(least, (x ^ (x >> np.uint32(15))).min(axis=0))
-    fp = int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
-    return fp, least.tobytes() if minima else b""
+    low = ((hashes >> np.uint64(32)) ^ hashes).astype(np.uint32)
+    for at in range(0, len(low), 4096):
+        x = low[at : at + 4096, None] * _ODD
+        least = np.minimum(least, (x ^ (x >> np.uint32(15))).min(axis=0))
+    return least
+
+
+def set_sketches(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """Rows ``(doc_id, fp, same, set_fp, keys, minima)``: same is the digest of the shingle set and set_fp its SimHash.
+
+    ``keys`` are the minima that keys are made of, whole; ``minima`` the low byte of every minimum.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for t in batch.column(1):
+                blocks = list(shingle_hashes(t.as_py(), shingle))
+                own = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+                least = minima(own)
+                got.append((_majority(blocks), set_digest(own), _majority([own]),
+                            least[: KEYS * KEY_MINIMA].tobytes(), least.astype(np.uint8).tobytes()))
+            longs = [pa.array(np.array([g[i] for g in got], dtype=np.uint64).view(np.int64)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, *(pa.array([g[i] for g in got], pa.binary()) for i in (3, 4))],
+                                             names=["doc_id", "fp", "same", "set_fp", "keys", "minima"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, same long, set_fp long, keys binary, minima binary")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4,
-                 minima: bool = False) -> DataFrame:
-    """Rows ``(doc_id, fp, minima)``; fp is the fingerprint's 64 bits as a signed long, minima empty unless asked for."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
+    """Rows ``(doc_id, fp)``; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sketch(t.as_py(), shingle, minima) for t in batch.column(1)]
-            fps = np.array([f for f, _ in got], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m for _, m in got], pa.binary())],
-                                             names=["doc_id", "fp", "minima"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, minima binary")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -220,30 +253,79 @@ def near_links(nodes: DataFrame, max_bits: int = 4, group_rows: int = 2_000_000)
     return _joined(keyed, max_bits, [s + w for s, w in blocks], None, group_rows)
 
 
-def alike_links(nodes: DataFrame, similarity: float, group_rows: int = 200_000) -> DataFrame:
-    """Rows ``(u, v)`` that connect the nodes whose shingle sets have about this Jaccard similarity or more.
+def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, group_rows: int = 200_000,
+                set_rows: int = 20_000) -> DataFrame:
+    """Rows ``(u, v)`` that connect the nodes whose shingle sets have this Jaccard similarity or more, and no others.
 
-    Fingerprints of such texts differ in too many bits for blocks to be selective: about 10 of 64 at 0.8.  So texts
-    meet in groups by ``KEYS`` keys of ``KEY_MINIMA`` minima each, which finds 0.8 with 99.7 percent.  Keys that one
-    node has alone are dropped before anything else travels.  A group's trie join has a budget that a pair of this
-    similarity exceeds with under one percent, and links what also agrees in that share of all minima, less two
-    hundredths for their spread.
+    ``nodes`` has node, same, fp, keys and minima, ``docs`` doc_id and text.  Fingerprints of such texts differ in too
+    many bits for blocks to be selective: about 10 of 64 at 0.8.  So texts meet in groups by ``KEYS`` keys of
+    ``KEY_MINIMA`` minima each, of which a pair at 0.8 shares none once in 100,000.  Keys that one node has alone are
+    dropped before anything else travels.  A group's trie join links what agrees in that share of all minima less
+    0.15, over four deviations, within a budget of bits that is as wide.  These links only bring texts together: in
+    every component of them the pairs are joined again, and linked if the shingle sets themselves are similar enough.
     """
     shares = 2 * similarity / (1 + similarity)
     turn = math.acos(shares) / math.pi
-    budget = math.ceil(64 * turn + 2.5 * math.sqrt(64 * turn * (1 - turn)))
+    budget = math.ceil(64 * turn + 4.5 * math.sqrt(64 * turn * (1 - turn)))
     bytes_ = 4 * KEY_MINIMA
     keys = nodes.select("node", F.explode(F.array(*[
-        F.struct(F.lit(i).cast("long").alias("block"), F.xxhash64(F.substring("minima", 1 + i * bytes_, bytes_)).alias("key"))
+        F.struct(F.lit(i).cast("long").alias("block"), F.xxhash64(F.substring("keys", 1 + i * bytes_, bytes_)).alias("key"))
         for i in range(KEYS)])).alias("g")).select("node", "g.block", "g.key")
     shared = keys.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1").select("block", "key")
     met = keys.join(shared, ["block", "key"])
     keyed = met.join(nodes.select("node", "fp", "minima"), "node").select("node", "fp", "minima", "block", "key")
-    return _joined(keyed, budget, [0] * KEYS, similarity - 0.02, group_rows)
+    loose = connected_components(_joined(keyed, budget, [0] * KEYS, similarity - 0.15, group_rows))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            # an id may have several texts; the node's is the one of its digest
+            right = np.array([set_digest(h) for h in own], dtype=np.uint64).view(np.int64) == batch.column(1).to_numpy()
+            at = pa.array(np.flatnonzero(right))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(2, 7)), pa.array([h.tobytes() for h, r in zip(own, right) if r], pa.binary())],
+                                             names=["node", "fp", "minima", "block", "key", "set"])
+
+    members = loose.join(nodes.select("node", "same", "fp", "minima"), "node")
+    texts = members.join(docs, F.col("node") == F.col("doc_id")).select(
+        "text", "same", "node", "fp", "minima", F.lit(0).cast("long").alias("block"), F.col("component").cast("long").alias("key"))
+    held = texts.mapInArrow(sets, "node long, fp long, minima binary, block long, key long, set binary")
+    return _joined(held, budget, [0], similarity - 0.15, set_rows, similarity)
+
+
+def alike_sets(sets: list[np.ndarray], least: np.ndarray, share: float, similarity: float) -> Callable:
+    """Says of pairs whether their sets are similar enough, by the sets where minima agree in ``share``.
+
+    Pairs that others of the same call already connect are passed over.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, root = np.zeros(len(i), dtype=bool), {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        maybe = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        maybe &= (least[i] == least[j]).mean(axis=1) >= share
+        for x in np.flatnonzero(maybe).tolist():
+            a, b = int(i[x]), int(j[x])
+            u, v = find(a), find(b)
+            if u == v:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= similarity * (size[a] + size[b] - both) - 1e-9:
+                root[u], out[x] = v, True
+        return out
+
+    return alike
 
 
-def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | None, group_rows: int) -> DataFrame:
-    """Trie joins of all groups, in batches of many groups.
+def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | None, group_rows: int,
+            similarity: float | None = None) -> DataFrame:
+    """Trie joins of all groups, in batches of many groups; with a ``similarity``, ``keyed`` has sets, which decide.
 
     A group of over ``group_rows`` rows is dealt into chunks and its pairs of chunks are joined apart, so that memory
     stays bounded and no pair is lost.
@@ -267,7 +349,7 @@ def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | No
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= min(1_000_000, group_rows):
+            if rows >= min(1_000_000, group_rows) or sum(b.nbytes for b in held) >= SET_BYTES:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 same = np.ones(rows, dtype=bool)
                 for name in ("block", "key", "part"):
@@ -292,13 +374,17 @@ def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | No
         order = np.lexsort((turned, group))
         alike = None
         if share is not None:
-            least = np.frombuffer(b"".join(x.column("minima").to_pylist()), dtype=np.uint32).reshape(len(node), MINIMA)[order]
+            least = np.frombuffer(b"".join(x.column("minima").to_pylist()), dtype=np.uint8).reshape(len(node), MINIMA)[order]
             alike = lambda i, j: (least[i] == least[j]).mean(axis=1) >= share
+            if similarity is not None:
+                sets = x.column("set").to_pylist()
+                alike = alike_sets([np.frombuffer(sets[i], np.uint64) for i in order.tolist()], least, share, similarity)
         got = trie_links(turned[order], group[order], max_bits, alike)
         return pa.RecordBatch.from_arrays([pa.array(node[order][got[:, 0]]), pa.array(node[order][got[:, 1]])], names=["u", "v"])
 
     dealt = keyed.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part")
-    return dealt.select("node", "fp", "minima", "block", "key", "part").mapInArrow(run, "u long, v long")
+    columns = ["node", "fp", "minima", "block", "key", "part"] + (["set"] if similarity is not None else [])
+    return dealt.select(*columns).mapInArrow(run, "u long, v long")
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, max_bits: int = 4,
@@ -307,19 +393,20 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked (:func:`near_links`); with a
     ``similarity``, instead those whose shingle sets are that similar (:func:`alike_links`).  Components are taken
-    over all links.  Equal fingerprints (and minima) are one node, so copies are never paired.  Rows with a null id stay, with a null
+    over all links.  Equal fingerprints, or with a similarity equal sets, are one node, so copies are never paired.  Rows with a null id stay, with a null
     component_id, and link nothing.  Rows that repeat an id belong to the component of each of their fingerprints.
     Null and empty texts have fingerprint zero.  Other columns are ignored.  An empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, id_column, text_column, shingle, similarity is not None).withColumn(
-        "same", F.when(F.length("minima") > 0, F.xxhash64("fp", "minima")).otherwise(F.col("fp"))))
-    known = prints.filter("doc_id is not null").groupBy("same")
     if similarity is None:
-        nodes = known.agg(F.min("doc_id").alias("node")).withColumn("fp", F.col("same"))
+        prints = checkpointed(fingerprints(docs, id_column, text_column, shingle).withColumn("same", F.col("fp")))
+        nodes = prints.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node")).withColumn("fp", F.col("same"))
         links = near_links(nodes, max_bits)
     else:
-        nodes = known.agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("minima").alias("minima"))
-        links = alike_links(nodes, similarity)
+        prints = checkpointed(set_sketches(docs, id_column, text_column, shingle))
+        nodes = prints.filter("doc_id is not null").groupBy("same").agg(
+            F.min("doc_id").alias("node"), F.min("set_fp").alias("fp"), F.min("keys").alias("keys"), F.min("minima").alias("minima"))
+        texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+        links = alike_links(nodes, texts, similarity, shingle)
     # one id under two fingerprints joins them: the fingerprints' own nodes are then linked
     twice = prints.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a <> b and doc_id is not null")
     extra = prints.join(twice.select("doc_id"), "doc_id").join(nodes.select("same", "node"), "same").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))

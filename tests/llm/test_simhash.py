@@ -107,6 +107,31 @@ def test_similar_texts(spark):
     assert len({got[i] for i in got}) <= 27 and all(groups[i] == groups[c] for i, c in got.items())
 
 
+def test_both_sides_of_the_similarity(spark):
+    """Pairs of about 0.7 to 0.9, some texts with much repeated words: linked if and only if the sets reach 0.8."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    docs = []
+    for g in range(150):
+        words = rng.choices(vocabulary, k=200) + ["again"] * (300 if g % 5 == 0 else 0)
+        copy = words[: 200 + (6 if g % 5 == 0 else 0)]
+        for at in rng.sample(range(0, 200, 10), 2 + g % 6):
+            copy[at] = f"x{g}y{at}"
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    docs += [(0, docs[5][1]), (1000, "a b c d e f g h i"), (1001, "a b c d e f g h"), (1002, "a b c d e f g")]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in docs]
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a)
+             if docs[a][0] == docs[b][0] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    near = [len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(150)]
+    assert sum(0.8 <= x < 0.85 for x in near) > 15 and sum(0.73 < x < 0.8 for x in near) > 15
+    root = components(len(docs), pairs)
+    least = {}
+    for (i, _), r in zip(docs, root):
+        least[r] = min(i, least.get(r, i))
+    got = simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, least[r]) for (i, _), r in zip(docs, root))
+
+
 def test_empty_table(spark):
     assert simhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
