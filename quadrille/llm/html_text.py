@@ -148,8 +148,8 @@ def hash_subtrees(root: Node, host: str) -> None:
         n.digest = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"), seed)
 
 
-def candidates(root: Node, main: list[Node]) -> set[int]:
-    """Digests of the subtrees that may be template: block elements outside the article, and containers inside it.
+def candidates(root: Node, main: list[Node]) -> list[Node]:
+    """The nodes that may be template: block elements outside the article, and containers inside it.
 
     A text block of the article is never one, however often a site repeats its words.
     """
@@ -159,20 +159,20 @@ def candidates(root: Node, main: list[Node]) -> set[int]:
     for n in reversed(_walk(root)):
         if id(n) in inside or any(isinstance(k, Node) and id(k) in above for k in n.kids):
             above.add(id(n))
-    heads, out = {id(m) for m in main}, set()
+    heads, out = {id(m) for m in main}, []
     for n in _walk(root):
         if n.tag in INLINE or n.tag in VOID or n.tag in ("#root", "html", "body", "head"):
             continue
         if id(n) in inside:
             if id(n) not in heads and n.tag not in TEXT_BLOCKS:
-                out.add(n.digest)
+                out.append(n)
         elif id(n) not in above:
-            out.add(n.digest)
+            out.append(n)
     return out
 
 
 def main_text(nodes: list[Node], template: set[int], inside: bool = True) -> str:
-    """Texts of the blocks below ``nodes`` in page order, without boilerplate and template subtrees."""
+    """Texts of the blocks below ``nodes`` in page order, without boilerplate and the nodes whose ``id()`` is in ``template``."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -192,7 +192,7 @@ def main_text(nodes: list[Node], template: set[int], inside: bool = True) -> str
             if leaving:
                 flush()
                 continue
-            if n is not top and (_is_boilerplate(n, inside) or n.digest in template):
+            if n is not top and (_is_boilerplate(n, inside) or id(n) in template):
                 flush()
                 continue
             if n.tag in VOID:
@@ -216,15 +216,17 @@ def host_of(url: str | None) -> str:
 def extract(page: str | None, host: str, template: set[int]) -> str:
     root = parse(page or "")
     main = main_nodes(root)
+    gone: set[int] = set()
     if template:
         hash_subtrees(root, host)
-    return main_text(main or [root], template, bool(main))
+        gone = {id(n) for n in candidates(root, main) if n.digest in template}
+    return main_text(main or [root], gone, bool(main))
 
 
 def page_candidates(page: str | None, host: str) -> list[int]:
     root = parse(page or "")
     hash_subtrees(root, host)
-    return sorted(candidates(root, main_nodes(root)))
+    return sorted({n.digest for n in candidates(root, main_nodes(root))})
 
 
 def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -232,7 +234,7 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
 
     Every block subtree outside a page's article, and every container in it, is hashed with its host, and Spark
     counts on how many different pages (by digest of the whole html, so copies count once) each occurs.  Subtrees on
-    ``min_pages`` or more are site template and go, wherever they stand; so do elements that HTML or their names mark
+    ``min_pages`` or more are site template and go where they stand so on a page; so do elements that HTML or their names mark
     as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.  What is left of the
     article is its text: character references decoded, white space in a block one space, blocks joined by a newline.
     A page without an article gives what is left of the whole page.

@@ -275,3 +275,13 @@ def test_templates_go_and_articles_stay(spark):
         assert all(got[40 + i]["text"] == f"Licence line\n{i}" for i in range(9))  # a repeated paragraph of articles stays
         assert got[60]["text"] == got[61]["text"] == "" and got[62]["text"] == "Welcome to our pages\nalone"
     assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+def test_template_is_what_may_be_template_on_the_page(spark):
+    """A block that is a sidebar's on some pages of a host and an article's paragraph on another; on both routes."""
+    rows = [(i, f"http://a.com/{i}", f"<div><p>Same words</p></div><article><p>{i}</p></article>") for i in range(6)]
+    rows += [(6, "http://a.com/6", "<article><p>Same words</p><p>6</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.main_texts(df, broadcast_rows=limit).collect()}
+        assert got == {i: str(i) for i in range(6)} | {6: "Same words\n6"}
