@@ -148,10 +148,22 @@ def hash_subtrees(root: Node, host: str) -> None:
         n.digest = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"), seed)
 
 
+def _mostly_links(top: Node) -> set[int]:
+    """``id()`` of the nodes below with at least half of their text, white space aside, in links."""
+    size: dict[int, tuple[int, int]] = {}
+    for n in reversed(_walk(top)):
+        text = linked = 0
+        for k in n.kids:
+            a, b = size[id(k)] if isinstance(k, Node) else (len("".join(k.split())), 0)
+            text, linked = text + a, linked + b
+        size[id(n)] = text, text if n.tag == "a" else linked
+    return {i for i, (text, linked) in size.items() if text and 2 * linked >= text}
+
+
 def candidates(root: Node, main: list[Node]) -> list[Node]:
-    """The nodes that may be template: block elements outside the article, and containers inside it.
+    """The nodes that may be template: block elements outside the article, and containers inside it that are mostly links.
 
-    A text block of the article is never one, however often a site repeats its words.
+    A text block of the article is never one, nor a list, table or section of its text, however often a site repeats it.
     """
     inside = {id(x) for m in main for x in _walk(m)}
     above: set[int] = set()
@@ -160,11 +172,12 @@ def candidates(root: Node, main: list[Node]) -> list[Node]:
         if id(n) in inside or any(isinstance(k, Node) and id(k) in above for k in n.kids):
             above.add(id(n))
     heads, out = {id(m) for m in main}, []
+    links = {i for m in main for i in _mostly_links(m)}
     for n in _walk(root):
         if n.tag in INLINE or n.tag in VOID or n.tag in ("#root", "html", "body", "head"):
             continue
         if id(n) in inside:
-            if id(n) not in heads and n.tag not in TEXT_BLOCKS:
+            if id(n) not in heads and n.tag not in TEXT_BLOCKS and id(n) in links:
                 out.append(n)
         elif id(n) not in above:
             out.append(n)
@@ -229,12 +242,12 @@ def page_candidates(page: str | None, host: str) -> list[int]:
     return sorted({n.digest for n in candidates(root, main_nodes(root))})
 
 
-def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000_000) -> DataFrame:
+def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000_000, min_share: float = 0.1) -> DataFrame:
     """``pages`` with new columns text and n_chars; html is whole, null is empty.
 
-    Every block subtree outside a page's article, and every container in it, is hashed with its host, and Spark
+    Every block subtree outside a page's article, and every container of links in it, is hashed with its host, and Spark
     counts on how many different pages (by digest of the whole html, so copies count once) each occurs.  Subtrees on
-    ``min_pages`` or more are site template and go where they stand so on a page; so do elements that HTML or their names mark
+    ``min_pages`` and ``min_share`` of the host's pages or more are site template and go where they stand so on a page; so do elements that HTML or their names mark
     as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.  What is left of the
     article is its text: character references decoded, white space in a block one space, blocks joined by a newline.
     A page without an article gives what is left of the whole page.
@@ -248,15 +261,23 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, subtree = [], []
+            page, site, subtree = [], [], []
             for url, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                got = page_candidates(text.as_py(), host_of(url))
+                host = host_of(url)
+                of = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+                got = [of, *page_candidates(text.as_py(), host)]  # the host itself, to count its pages
                 subtree += got
+                site += [of] * len(got)
                 page += [key] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(np.array(subtree, dtype=np.uint64).view(np.int64))], names=["page", "h"])
-
-    seen = rows.select("url", "html", "__page").mapInArrow(run, "page long, h long")
-    template = seen.distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("h")
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (site, subtree)]
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *longs], names=["page", "site", "h"])
+
+    seen = rows.select("url", "html", "__page").mapInArrow(run, "page long, site long, h long")
+    often = seen.distinct().groupBy("site", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    # only hosts of so many pages ask for more than min_pages of them
+    large = often.filter((F.col("h") == F.col("site")) & (F.col("n") * min_share > min_pages)).select("site", F.col("n").alias("pages"))
+    template = often.filter(F.col("h") != F.col("site")).join(large, "site", "left").filter(
+        F.col("n") >= F.coalesce("pages", F.lit(0)) * min_share).select("h")
     found = template.limit(broadcast_rows + 1).toPandas()["h"].to_numpy(dtype=np.int64)
     small = len(found) <= broadcast_rows
     held = pages.sparkSession.sparkContext.broadcast(np.sort(found) if small else np.zeros(0, np.int64))

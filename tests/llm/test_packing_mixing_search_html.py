@@ -285,3 +285,15 @@ def test_template_is_what_may_be_template_on_the_page(spark):
     for limit in (1000, 0):
         got = {r["page_id"]: r["text"] for r in html_text.main_texts(df, broadcast_rows=limit).collect()}
         assert got == {i: str(i) for i in range(6)} | {6: "Same words\n6"}
+
+
+def test_lists_of_articles_stay(spark):
+    """Containers of an article that recur go only if they are links; without an article, only what recurs on a share of the host."""
+    page = "<article><ul><li>One thing</li><li>two</li></ul><div><p>Wrapped <a>x</a></p></div><div><a>More</a> <a>News</a></div><p>{}</p></article>"
+    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(6)]
+    rows += [(100 + i, f"http://b.com/{i}", f"<div>Site name</div><p>{'Near copy' if i < 6 else 'Alone'} {i}</p>" + ("<p>Shared words</p>" if i < 6 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.main_texts(df, broadcast_rows=limit).collect()}
+        assert all(got[i] == f"One thing\ntwo\nWrapped x\n{i}" for i in range(6))
+        assert all(got[100 + i] == (f"Near copy {i}\nShared words" if i < 6 else f"Alone {i}") for i in range(80))
