@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import remainder
 
 LETTER = re.compile(r"[^\W\d_]")
-#: Symbols: 0 a run of bytes that are no part of a word, 1 before a text's start, 2 to 62 the commonest bytes, 63 any other.
+#: Symbols: 0 a run of bytes that are no part of a word, 1 before a text's start, 2 to 62 a language's commonest bytes, 63 any other.
 SYMBOLS, GAP, START, OTHER = 64, 0, 1, 63
 #: Positions scored at once, which bounds a worker's memory for long texts.
 CHUNK = 1_000_000
@@ -27,12 +27,19 @@ def _word_bytes() -> np.ndarray:
     return word
 
 
+_WORD = _word_bytes()
+
+
+def collapsed(text: str) -> np.ndarray:
+    """A text's bytes, A-Z lower-cased, runs of ASCII non-letters as the first of them, a gap at the end."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower() + b" ", dtype=np.uint8)
+    gap = ~_WORD[raw]
+    return raw[~(gap & np.concatenate(([True], gap[:-1])))]
+
+
 def symbols(text: str, lut: np.ndarray) -> np.ndarray:
-    """A text as symbols: A-Z lower-cased, runs of ASCII non-letters as one gap, a gap at the end, three starts before."""
-    raw = lut[np.frombuffer(text.encode("utf-8", "surrogatepass").lower() + b" ", dtype=np.uint8)]
-    gap = raw == GAP
-    keep = ~(gap & np.concatenate(([True], gap[:-1])))
-    return np.concatenate((np.full(3, START, dtype=np.uint8), raw[keep]))
+    """A text as symbols: its bytes (:func:`collapsed`) by ``lut``, three starts before."""
+    return np.concatenate((np.full(3, START, dtype=np.uint8), lut[collapsed(text)]))
 
 
 def keys(sym: np.ndarray) -> np.ndarray:
@@ -43,20 +50,22 @@ def keys(sym: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ppm:
-    """Frozen code lengths: row of a context of three symbols, and bits of each next symbol in each language."""
+    """Frozen code lengths, for each language over its own alphabet and contexts of three symbols."""
 
     languages: list[str]
-    lut: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray  # (rows * SYMBOLS, languages)
+    lut: list[np.ndarray]  # symbol of each byte
+    row: list[np.ndarray]  # row of each context
+    bits: list[np.ndarray]  # rows * SYMBOLS: bits of each next symbol, for OTHER with those that say which byte it is
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text in each language."""
-        sym = symbols(text, self.lut)
+        raw = collapsed(text)
         total = np.zeros(len(self.languages))
-        for at in range(0, len(sym) - 3, CHUNK):
-            k = keys(sym[at : at + CHUNK + 3])
-            total += self.bits[self.row[k >> 6] * SYMBOLS + (k & 63)].sum(axis=0, dtype=np.float64)
+        for i, (lut, row, bits) in enumerate(zip(self.lut, self.row, self.bits)):
+            sym = np.concatenate((np.full(3, START, dtype=np.uint8), lut[raw]))
+            for at in range(0, len(sym) - 3, CHUNK):
+                k = keys(sym[at : at + CHUNK + 3])
+                total[i] += bits[row[k >> 6] * SYMBOLS + (k & 63)].sum(dtype=np.float64)
         return total
 
 
@@ -95,8 +104,10 @@ def fit(docs: DataFrame, max_docs: int = 3_000, max_contexts: int = 30_000, fold
     """Byte context trees of depth three for every language, learnt from about ``max_docs`` texts each.
 
     The texts are those of non-null lang whose hashed id falls under the language's rate; never those whose
-    crc32(doc_id as text) mod ``folds`` is ``fold``.  Whole texts are counted, in Spark; the trees keep the
-    ``max_contexts`` contexts of three symbols that are most frequent over all languages, so their size has a bound.
+    crc32(doc_id as text) mod ``folds`` is ``fold``.  Whole texts are counted, in Spark, with what is seen once.  Every
+    language has its own alphabet, its 61 commonest bytes of words; the rest are one symbol and cost the bits that tell
+    them apart.  It keeps its ``max_contexts`` most frequent contexts of three symbols, so trees have a bound; others
+    are coded by their last two.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
@@ -106,47 +117,56 @@ def fit(docs: DataFrame, max_docs: int = 3_000, max_contexts: int = 30_000, fold
         raise ValueError(f"more than {max_languages} languages")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Ppm([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0), np.float32))
+        return Ppm([], [], [], [])
     rates = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, max_docs / r["count"]) * (1 << 20))))])
     place = F.create_map(*[x for i, c in enumerate(languages) for x in (F.lit(c), F.lit(i))])
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rates[F.col("lang")])
     sample = sample.select(place[F.col("lang")].alias("l"), "text")
 
     def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for t in batch.column(1):
-                total += np.bincount(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass").lower(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["b", "n"])
-
-    word = _word_bytes()
-    seen = sample.mapInArrow(byte_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    common = sorted((-r["n"], r["b"]) for r in seen if r["n"] and word[r["b"]])
-    lut = np.where(word, OTHER, GAP).astype(np.uint8)
-    for s, (_, b) in enumerate(common[: OTHER - 2]):
-        lut[b] = s + 2
+            for l, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = np.bincount(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass").lower(), np.uint8), minlength=256)
+                total[l] = total[l] + n if l in total else n
+        for l, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(256, l)), pa.array(np.arange(256)), pa.array(n.astype(np.int64))], names=["l", "b", "n"])
+
+    seen = sample.mapInArrow(byte_counts, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()  # 256 rows a language
+    luts, others = [], []
+    for i in range(len(languages)):
+        common = sorted((-r["n"], r["b"]) for r in seen if r["l"] == i and r["n"] and _WORD[r["b"]])[: OTHER - 2]
+        lut = np.where(_WORD, OTHER, GAP).astype(np.uint8)
+        for s, (_, b) in enumerate(common):
+            lut[b] = s + 2
+        luts.append(lut)
+        others.append(np.log2(_WORD.sum() - 26 - len(common)))  # A-Z do not occur
 
     def key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each: dict[int, list[np.ndarray]] = {}
             for l, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                each.setdefault(l, []).append(keys(symbols(t.as_py(), lut)))
+                each.setdefault(l, []).append(keys(symbols(t.as_py(), luts[l])))
             for l, parts in each.items():
                 k, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(k), l)), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["l", "k", "n"])
 
     grams = sample.mapInArrow(key_counts, "l long, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n"))
-    # bounded by the sample: what was seen once predicts little and stays behind
-    got = grams.filter("n > 1").toPandas()
-    context, at = np.unique(got["k"].to_numpy(np.int64) >> 6, return_inverse=True)
-    weight = np.bincount(at, weights=got["n"].to_numpy(), minlength=len(context)) if len(got) else np.zeros(0)
-    context = np.sort(context[np.lexsort((context, -weight))[:max_contexts]])
-    row = (np.arange(1 << 18) & 4095).astype(np.int32)
-    row[context] = 4096 + np.arange(len(context), dtype=np.int32)
-    bits = [ppm_tables(g["k"].to_numpy(np.int64), g["n"].to_numpy(float), context)
-            for g in (got[got["l"] == i] for i in range(len(languages)))]
-    return Ppm(languages, lut, row, np.stack(bits, axis=-1).reshape(-1, len(languages)).astype(np.float32))
+    got = grams.toPandas()  # bounded by the sample
+    rows, bits = [], []
+    for i in range(len(languages)):
+        key, n = (got.loc[got["l"] == i, c].to_numpy(np.int64) for c in ("k", "n"))
+        context, at = np.unique(key >> 6, return_inverse=True)
+        weight = np.bincount(at, weights=n, minlength=len(context))
+        context = np.sort(context[np.lexsort((context, -weight))[:max_contexts]])
+        row = (np.arange(1 << 18) & 4095).astype(np.int32)
+        row[context] = 4096 + np.arange(len(context), dtype=np.int32)
+        rows.append(row)
+        table = ppm_tables(key, n.astype(float), context)
+        table[:, OTHER] += others[i]
+        bits.append(table.reshape(-1).astype(np.float32))
+    return Ppm(languages, luts, rows, bits)
 
 
 def predict(docs: DataFrame, model: Ppm, text: Column) -> Column:

@@ -105,6 +105,17 @@ def test_language_edges(spark):
     language.CHUNK = before
 
 
+def test_a_language_of_one_short_text(spark):
+    """All its four-grams are seen once; and its bytes are not among the commonest of all languages."""
+    high = "".join(chr(c) for c in range(0x100, 0x180))
+    docs = [(i, f"the cat and the dog are here {high}", "en") for i in range(2, 40)] + [(i, "der hund und die katze sind da", "de") for i in range(40, 80)]
+    docs += [(100, "zomi kavu replin", "rare"), (101, "გამარჯობა", "ka")]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), fold=None)
+    best = lambda t: model.languages[int(np.argmin(model.code_lengths(t)))]
+    assert [best(t) for t in ("zomi kavu", "kavu replin", "გამარჯობა", "the dog", "die katze")] == ["rare", "rare", "ka", "en", "de"]
+    assert all(np.isin(np.frombuffer("გამარჯობა".encode(), np.uint8), np.flatnonzero(model.lut[i] < language.OTHER)).all() for i, c in enumerate(model.languages) if c == "ka")
+
+
 def test_toxicity_held_out(spark, labels):
     got = QUERIES["op2_toxicity_severity"](spark, "/root/testdata/sf0.1").collect()
     known = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
