@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -16,114 +17,230 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed
 
 #: Words, and parts of words, whose ids a worker remembers at most, in each of two generations: some 170 bytes each.
-CACHE_WORDS, CACHE_PARTS = 300_000, 200_000
+CACHE_WORDS, CACHE_PARTS = 700_000, 500_000
 #: Texts looked up together, in characters.
-BLOCK_CHARS = 2_000_000
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-_STOPS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-
+BLOCK_CHARS = 4_000_000
+#: Normaliser and pre-tokenizer, as the tokenizer's file has them, under which words and their parts stand alone.
+_SPLITS = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+#: What such a tokenizer makes of words in ASCII and Latin-1 letters, once they are lower-cased; others are not plain.
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
+_NOT_PLAIN = re.compile(r"[^\n\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+
+
+def _plain(words: list[str]) -> tuple[list[str], list[str]]:
+    """Words of ASCII and Latin-1 letters without the marks of special tokens, and the others."""
+    line = "\n".join(words)
+    bad: set[str] = set()
+    at = 0
+    while m := _NOT_PLAIN.search(line, at):
+        at = line.find("\n", m.start()) + 1 or len(line) + 1
+        bad.add(line[line.rfind("\n", 0, m.start()) + 1 : at - 1])
+    return ([w for w in words if w not in bad], list(bad)) if bad else (words, [])
+
+
+class Merges:
+    """Byte-pair merges of many words at once, as the tokenizers library makes them from the same file.
+
+    In each word the pair of lowest rank, the leftmost of equal ones, becomes one symbol until no pair has a rank.
+    Words are rows of a matrix; ranks are looked up in an open-addressed table of the pairs.
+    """
 
-def _parts(w: str) -> list[str] | None:
-    """A word as the pre-tokenizer splits it after lower-casing, or None if that is not plain."""
-    core = w.rstrip(_STOPS)
-    if core.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):  # most words are letters, and perhaps stops
-        return [core.lower(), w[len(core) :]] if len(core) < len(w) else [core.lower()]
-    return _PARTS.findall(w.lower()) if "<|" not in w and _PLAIN.fullmatch(w) else None
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left = np.array([vocab[a] for a, _ in pairs], dtype=np.uint64)
+        right = np.array([vocab[b] for _, b in pairs], dtype=np.uint64)
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        # bytes as the vocabulary writes them: printable ones as themselves, the rest from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner = np.array([vocab[chars[b]] for b in range(256)], dtype=np.int32)
+        self.last = np.array([vocab[chars[b] + suffix] for b in range(256)], dtype=np.int32)
+        self.bits = max(12, len(pairs).bit_length() + 3)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.rank = np.full(1 << self.bits, self.NONE, dtype=np.int32)
+        self.made = np.concatenate((made, [0])).astype(np.int32)
+        keys, ranks = (left << np.uint64(32) | right).view(np.int64), np.arange(len(pairs), dtype=np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            at_first, first = np.unique(at, return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.rank[at[first]] = keys[first], ranks[first]
+            left_over = np.ones(len(keys), dtype=bool)
+            left_over[first] = False
+            keys, ranks, at = keys[left_over], ranks[left_over], (at[left_over] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        at = self._slot(keys)
+        held = self.keys[at]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return np.where(self.keys[at] == keys, self.rank[at], self.NONE)
+
+    def of(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order and the number of each; word i is the bytes of ``raw`` up to ``ends[i]``, no word empty."""
+        starts = np.concatenate(([0], ends[:-1]))
+        size = ends - starts
+        base = self.inner[raw]
+        base[ends - 1] = self.last[raw[ends - 1]]
+        number = np.zeros(len(ends), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.argsort(size, kind="stable")
+        # words of like lengths together, so that rows are mostly full
+        lo = 0
+        while lo < len(order):
+            width = int(size[order[lo]])
+            hi = min(int(np.searchsorted(size[order], width + width // 4, side="right")), lo + max(1, 2_000_000 // width))
+            rows = order[lo:hi]
+            lo, width = hi, int(size[order[hi - 1]])
+            at = starts[rows][:, None] + np.arange(width)
+            inside = np.arange(width) < size[rows][:, None]
+            sym = np.where(inside, base[np.minimum(at, len(base) - 1)], 0)
+            rank = np.full((len(rows), width), self.NONE)
+            pair = inside[:, 1:]
+            rank[:, :-1][pair] = self.ranks(sym[:, :-1][pair], sym[:, 1:][pair])
+            length = size[rows].copy()
+            live = np.arange(len(rows))
+            while True:
+                best = np.argmin(rank, axis=1)
+                found = rank[np.arange(len(live)), best]
+                more = found != self.NONE
+                if not more.all():
+                    stop = ~more
+                    done.append((rows[live[stop]], sym[stop]))
+                    number[rows[live[stop]]] = length[stop]
+                    live, sym, rank, best, found, length = (x[more] for x in (live, sym, rank, best, found, length))
+                if not len(live):
+                    break
+                i = np.arange(len(live))
+                sym[i, best] = self.made[found]
+                # what is right of the pair moves up by one
+                move = np.arange(sym.shape[1] - 1) > best[:, None]
+                sym[:, :-1] = np.where(move, sym[:, 1:], sym[:, :-1])
+                rank[:, :-1] = np.where(move, rank[:, 1:], rank[:, :-1])
+                length -= 1
+                sym, rank = sym[:, : length.max()], rank[:, : length.max()]
+                rank[i, length - 1] = self.NONE
+                before = np.flatnonzero(best > 0)
+                rank[before, best[before] - 1] = self.ranks(sym[before, best[before] - 1], sym[before, best[before]])
+                after = np.flatnonzero(best < length - 1)
+                rank[after, best[after]] = self.ranks(sym[after, best[after]], sym[after, best[after] + 1])
+        first = np.cumsum(number) - number
+        out = np.zeros(int(number.sum()), dtype="<u4")
+        for rows, sym in done:
+            inside = np.arange(sym.shape[1]) < number[rows][:, None]
+            out[(first[rows][:, None] + np.arange(sym.shape[1]))[inside]] = sym[inside]
+        return out, number
 
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, through caches of words and of their parts.
 
-    Holds for tokenizers whose pre-tokenizer never crosses a space or newline and whose normaliser drops them, so
-    that a text's ids are those of its space-separated words in order; and which lower-case words and split plain
-    Latin ones into letters, single digits and the rest, so that those share the ids of their parts.  Both are
-    checked on a probe; where only the first holds, words are encoded whole.  Caches change no result.
+    A tokenizer whose file has the normaliser and pre-tokenizer of ``_SPLITS``, and whose tokens mark the ends of
+    words, never crosses a space or newline: a text's ids are those of its space-separated words in order, and a plain
+    word's those of its parts (letters, single digits, the rest) in order.  New words are split all at once, and new
+    parts merged all at once (:class:`Merges`).  Any other tokenizer encodes whole texts, and words that are not plain
+    are encoded by the library.  Caches change no result.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        if suffix:
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        probe = "One  two's\nthree, 4567 fünf ÉTÉ'LL--x_y <|x|> a.b\n\n日本 ²x \u0301\n"
-        self.split = True
-        if self.of([probe]) != [self._ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
-            self.cache, self.old, self.split = {}, {}, False
-            if self.of([probe]) != [self._ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
-                raise ValueError(f"{path} does not tokenize word by word")
-
-    @staticmethod
-    def _ids(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _encode(self, words: list[str], parts: bool = False) -> list[bytes]:
-        """Ids of each word.  ``parts`` are encoded many at once, as each ends with a token that says so."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            block = words[at : at + 4096]
-            if parts:
-                ids = np.asarray(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, dtype="<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-                if len(cuts) == len(block) and cuts[-1] == 4 * len(ids):
-                    raw, start = ids.tobytes(), 0
-                    for end in cuts.tolist():
-                        out.append(raw[start:end])
-                        start = end
-                    continue
-            out += [self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in block]
-        return out
+        file = json.loads(self.tokenizer.to_str())
+        model = file["model"]
+        self.split = [file["normalizer"], file["pre_tokenizer"]] == _SPLITS and model["type"] == "BPE" and bool(
+            model.get("end_of_word_suffix")) and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        if self.split:
+            self.merges = Merges(model)
+            self.cache: dict[str, bytes] = {}
+            self.old: dict[str, bytes] = {}
+            self.parts: dict[str, bytes] = {"\n": b""}
+            self.old_parts: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        raw = np.frombuffer(("\n".join(parts) + "\n").encode("utf-8"), dtype=np.uint8)
+        breaks = raw == 10
+        ends = np.flatnonzero(breaks)
+        ids, number = self.merges.of(raw[~breaks], ends - np.arange(len(ends)))
+        held, at = ids.tobytes(), (4 * np.cumsum(number)).tolist()
+        return [held[a:b] for a, b in zip([0, *at], at)]
 
     def _learn(self, words: set[str]) -> None:
-        whole, plain, split = [], [], []
         cache, old = self.cache, self.old
-        for w in words:
-            known = old.get(w)
-            if known is not None:
-                cache[w] = known
-                continue
-            parts = _parts(w) if self.split else None
-            if parts is None:
-                whole.append(w)
-            else:
-                plain.append(w)
-                split.append(parts)
-        cache.update(zip(whole, self._encode(whole)))
-        needed = set().union(*split)
+        if old:
+            again = words.intersection(old)
+            cache.update((w, old[w]) for w in again)
+            words = words - again
+        plain, other = _plain(list(words))
+        cache.update((w, self._encoded(w)) for w in other)
+        if not plain:
+            return
+        flat = _PARTS.findall("\n".join(plain).lower() + "\n")
+        needed = set(flat)
         missing = needed.difference(self.parts)
         if len(self.parts) + len(missing) > CACHE_PARTS:
-            self.parts, self.old_parts, missing = {}, self.parts, needed
-        self.parts.update((p, self.old_parts[p]) for p in missing if p in self.old_parts)
-        unknown = list(missing.difference(self.parts))
-        self.parts.update(zip(unknown, self._encode(unknown, True)))
-        ids = self.parts
-        for w, parts in zip(plain, split):
-            cache[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+            self.parts, self.old_parts = {"\n": b""}, self.parts
+            missing = needed - {"\n"}
+        if self.old_parts:
+            again = missing.intersection(self.old_parts)
+            self.parts.update((p, self.old_parts[p]) for p in again)
+            missing -= again
+        if missing:
+            unknown = list(missing)
+            self.parts.update(zip(unknown, self._merged(unknown)))
+        each = list(map(self.parts.__getitem__, flat))
+        raw = b"".join(each)
+        # where the words end among all ids: at the newlines, which alone have none
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        ends = np.cumsum(sizes)[sizes == 0].tolist()
+        cache.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if not self.split:
+            return [self._encoded(t) for t in texts]
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            block, size = [], 0
-            while at < len(texts) and (size < BLOCK_CHARS or not block):
-                block.append(texts[at].replace("\n", " ").split(" "))
+            found, open_, size = [], [], 0
+            get = self.cache.get
+            while at < len(texts) and (size < BLOCK_CHARS or not found):
+                words = texts[at].replace("\n", " ").split(" ")
+                ids = list(map(get, words))
+                if None in ids:
+                    places = [i for i, x in enumerate(ids) if x is None]
+                    open_.append((ids, places, [words[i] for i in places]))
+                found.append(ids)
                 size += len(texts[at])
                 at += 1
-            words = set().union(*block)
-            new = words.difference(self.cache)
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache, self.old, new = {}, self.cache, words
-            if new:
+            if open_:
+                new = set().union(*(w for _, _, w in open_))
+                if len(self.cache) + len(new) > CACHE_WORDS:
+                    self.cache, self.old = {}, self.cache
                 self._learn(new)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, w)) for w in block]
+                for ids, places, words in open_:
+                    for i, x in zip(places, map(self.cache.__getitem__, words)):
+                        ids[i] = x
+            out += map(b"".join, found)
         return out
 
 
@@ -212,17 +329,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 100_000, rounds: int = 6) -> DataFrame:
-    """``items`` (a column length of 1 to ``capacity``, and any others) with new columns sequence_id and offset.
+    """``items`` (a column length of 1 to ``capacity``, and any others) with new columns sequence_id, offset and certified.
 
     Rows are dealt evenly to partitions of about ``part_rows``, and each is packed by best-fit decreasing.  A
     partition whose number of bins equals its lower bound is certified: it settles, but for its emptiest bin.  A
     partition with a gap settles nothing.  What has not settled is exchanged: it is dealt anew, over fewer
     partitions, and packed again, until one partition holds the rest or ``rounds`` are over; then all settles.  So
-    at most the last partitions add bins beyond the sum of what is certified.  A partition is held in memory by one
-    task, its size does not grow with the table.  Offsets in a sequence are gapless from 0.
+    at most the last partitions add bins beyond the sum of what is certified.  ``certified`` says of each row whether its
+    sequence settled in a partition that met its bound; so what ``rounds`` settled without a certificate can be seen.
+    A partition is held in memory by one task, its size does not grow with the table.  Offsets in a sequence are
+    gapless from 0.
     """
+    items = items.drop("sequence_id", "offset", "certified", "settled")
     names = items.columns
-    schema = items.select(*names).schema.add("sequence_id", "long").add("offset", "long").add("settled", "boolean")
+    schema = items.select(*names).schema.add("sequence_id", "long").add("offset", "long").add("certified", "boolean").add("settled", "boolean")
     left, done = checkpointed(items), []
     rows = left.count()
     for at in range(rounds):
@@ -236,12 +356,13 @@ def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 100_000, round
             whole = pa.Table.from_batches(got).combine_chunks()
             lengths = whole.column("length").to_numpy().astype(np.int64)
             where, offset, bins = best_fit_decreasing(lengths, capacity)
-            settled = np.full(len(lengths), last)
-            if not last and bins == lower_bound(lengths, capacity):
+            settled, certified = np.full(len(lengths), last), bins == lower_bound(lengths, capacity)
+            if not last and certified:
                 fill = np.bincount(where, weights=lengths, minlength=bins)
                 settled = where != int(np.argmin(fill))
             base = (at << 56) | (TaskContext.get().partitionId() << 32)
-            for name, x in (("sequence_id", where + base), ("offset", offset), ("settled", settled)):
+            for name, x in (("sequence_id", where + base), ("offset", offset), ("certified", np.full(len(lengths), certified)),
+                            ("settled", settled)):
                 whole = whole.append_column(name, pa.array(x))
             yield from whole.to_batches(max_chunksize=100_000)
 

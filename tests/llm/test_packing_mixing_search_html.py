@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quadrille.llm import ann, html_text, mixing, packing
+from quadrille.llm.common import table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +30,19 @@ def test_word_ids_are_the_tokenizers():
     small = packing.WordIds(PATH)
     assert small.of(texts) == want and [small.of([t])[0] for t in texts] == want
     packing.CACHE_WORDS, packing.CACHE_PARTS = before
+    words.split = False  # what any other tokenizer gets
+    assert words.of(texts) == want
+
+
+def test_word_ids_of_all_documents(spark):
+    """Every document of sf0.01, and words of all kinds of letters and marks, merged as the library does."""
+    texts = [r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    rng = np.random.default_rng(5)
+    letters = list("aaeeiinnostzAEZß'éÉñÖ0179.,-_!\"|<>#\t\n") + ["  ", " ", "'s", "'ll", "ｆ", "ﬁ", "中", "é"]
+    texts += ["".join(rng.choice(letters, size=int(n))) for n in rng.integers(1, 300, 400)]
+    raw, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in raw.encode_batch(texts, add_special_tokens=False)]
+    assert words.split and words.of(texts) == want
 
 
 def test_packing_round_trip(spark):
@@ -51,7 +65,8 @@ def test_packing_round_trip(spark):
     for b in bins.values():
         b.sort()
         assert [o for o, _ in b] == list(itertools.accumulate([0] + [n for _, n in b[:-1]])) and sum(n for _, n in b) <= 512
-    assert len(bins) <= packing.lower_bound(np.array([r["length"] for r in got]), 512) + 1
+    bound = packing.lower_bound(np.array([r["length"] for r in got]), 512)
+    assert len(bins) <= bound + 1 and all(r["certified"] == (len(bins) == bound) for r in got)
 
 
 def test_rounds_settle_everything(spark):
