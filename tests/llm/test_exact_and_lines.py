@@ -10,7 +10,7 @@ from quadrille.llm import exact_dedup, line_dedup
 from quadrille.llm.queries import ORACLE_SQL, QUERIES
 
 LONG = "x" * 300_000
-COMMON = "A passage that many documents share, long enough to count here"
+COMMON = "A paragraph that many documents share, long enough to count here"
 DOCS = [
     (1, "same text", "a"), (2, "same text", "b"), (3, None, None), (4, "", "c"), (5, LONG, "d"), (6, LONG, None),
     (7, f"first\n  {COMMON.upper()}\t\nlast", "e"), (8, f"{COMMON}\n{COMMON}", "f"), (9, f"{COMMON}\nnine", "g"),
@@ -73,6 +73,26 @@ def test_line_dedup(spark):
         assert (r["text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]]
 
 
+def test_line_dedup_with_hot_keys_and_shuffled_texts(spark):
+    """Keys salted from three lines on, or all in one range; marks and ids broadcast or not: the same rows."""
+    docs = [(i, t) for i, t, _ in DOCS] + [(20 + i, "\n".join([COMMON + str(i % 4), str(i), COMMON, COMMON + str(i % 4)])) for i in range(40)]
+    df, want = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA.replace("h string", "first string")), brute_lines(docs)
+    for settings in ({"chunk_rows": 3}, {"chunk_rows": 3, "broadcast_rows": 0}, {"chunk_rows": 60}):
+        marks = line_dedup.keep_bitmaps(df, **settings)
+        for rows in (0, 1000):
+            got = line_dedup.apply_bitmaps(df, marks, broadcast_rows=rows).collect()
+            assert len(got) == len(docs) and all((r["text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]] and r["first"] == "x" for r in got)
+
+
+def test_lines_are_streamed_in_sorted_ranges(spark):
+    """The plan that runs: one range exchange, one sort by document and position, windows over it, nothing dealt by hash between."""
+    df = spark.createDataFrame([(b"x", 0, 1, 2, 3)], "h binary, salt long, doc_id long, digest long, pos int")
+    plan = line_dedup._stream(df)._jdf.queryExecution().executedPlan().toString()
+    steps = re.findall(r"(Window|Sort|Exchange \w+)[ (]", plan)
+    assert [x for i, x in enumerate(steps) if i == 0 or steps[i - 1] != x] == ["Window", "Sort", "Exchange rangepartitioning"]
+    assert re.search(r"Sort \[h#\d+ ASC NULLS FIRST, salt#\d+L? ASC NULLS FIRST, doc_id#\d+L? DESC NULLS LAST, pos#\d+ ASC", plan)
+
+
 def test_bitmaps_are_runs(spark):
     text = "\n".join(["one", COMMON, COMMON, "two", COMMON])
     df = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")
