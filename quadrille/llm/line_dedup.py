@@ -34,7 +34,7 @@ def _stream(keyed: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 40,
-                 min_docs: int = 5, chunk_rows: int = 10_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+                 min_docs: int = 5, chunk_rows: int = 2_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows ``(doc_id, digest, dropped)`` for the documents that lose lines.
 
     ``dropped`` is the document's keep bitmap, compressed to the runs of positions (from 0) whose bit is off;

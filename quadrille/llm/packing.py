@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed
 
 #: Words, and parts of words, whose ids a worker remembers at most, in each of two generations: some 170 bytes each.
-CACHE_WORDS, CACHE_PARTS = 700_000, 500_000
+CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
 #: Texts looked up together, in characters.
 BLOCK_CHARS = 4_000_000
 #: Normaliser and pre-tokenizer, as the tokenizer's file has them, under which words and their parts stand alone.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -138,6 +139,7 @@ class _Forest:
     def __init__(self, n: int):
         self.parent = np.arange(n)
         self.links: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -149,6 +151,7 @@ class _Forest:
             # of the pairs that would move one root, one does so now; the rest are looked at again
             _, first = np.unique(hi, return_index=True)
             self.links.append(np.stack([a[first], b[first]], axis=1))
+            self.size += len(first)
             self.parent[hi[first]] = lo[first]
             self.parent = _find(self.parent)
 
@@ -167,6 +170,7 @@ def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int, alike: Cal
     starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if n else np.zeros(0, np.int64)
     ends = np.concatenate((starts[1:], [n])) if n else starts
     stack = [(63, starts, ends, starts, ends, np.zeros(len(starts), dtype=np.int8))]
+    change, links = np.zeros(n, dtype=np.int64), 0
     while stack:
         bit, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > FRONTIER:
@@ -175,9 +179,11 @@ def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int, alike: Cal
             continue
         same = (a0 == b0) & (a1 == b1)
         open_ = ~(same & (a1 - a0 < 2))
-        # prune what is one tree already: a node's leaves are if the sum of changes of root along it is zero
-        change = np.concatenate(([0], np.cumsum(forest.parent[1:] != forest.parent[:-1]))) if n else np.zeros(0, np.int64)
-        if len(a0):
+        # prune what is one tree already: a node's leaves are if the sum of changes of root along it is zero.  Trees
+        # only grow, so old sums miss some and err on none; they are taken anew once enough links have come.
+        if forest.size > links + n // 16 or (forest.size > links and len(a0) > n // 16):
+            change, links = np.concatenate(([0], np.cumsum(forest.parent[1:] != forest.parent[:-1]))), forest.size
+        if len(a0) and links:
             whole = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (forest.parent[a0] == forest.parent[b0])
             open_ &= ~whole
         a0, a1, b0, b1, err, same = (x[open_] for x in (a0, a1, b0, b1, err, same))
@@ -211,25 +217,54 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
 
 
 def _compare(values, forest, a0, a1, b0, b1, max_bits, alike) -> None:
-    """All leaf pairs of the node pairs, in slices."""
-    na, nb = a1 - a0, b1 - b0
-    size = na * nb
-    for s in _slices(size, 2_000_000 if alike is None else 20_000):
+    """All leaf pairs of the node pairs: small node pairs many at once, large ones by blocks of their leaves."""
+    most = 2_000_000 if alike is None else 20_000
+    size = (a1 - a0) * (b1 - b0)
+    large = size > most
+    for x in np.flatnonzero(large).tolist():
+        _compare_blocks(values, forest, int(a0[x]), int(a1[x]), int(b0[x]), int(b1[x]), max_bits, alike, most)
+    a0, a1, b0, b1, size = (x[~large] for x in (a0, a1, b0, b1, size))
+    nb = b1 - b0
+    for s in _slices(size, most):
         each = size[s]
         at = np.repeat(np.arange(len(each)), each)
         k = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
-        i, j = a0[s][at] + k // nb[s][at], b0[s][at] + k % nb[s][at]
-        close = np.bitwise_count(values[i] ^ values[j]) <= max_bits
-        close &= forest.parent[i] != forest.parent[j]
-        i, j = i[close], j[close]
-        if alike is not None and len(i):
-            same = alike(i, j)
-            i, j = i[same], j[same]
-        forest.add(i, j)
+        _link(values, forest, a0[s][at] + k // nb[s][at], b0[s][at] + k % nb[s][at], max_bits, alike)
+
+
+def _compare_blocks(values, forest, a0, a1, b0, b1, max_bits, alike, most) -> None:
+    """One large node pair: its leaves share all bits, so it has as many pairs as texts of one fingerprint have.
+
+    Leaves in one tree already are passed over, and ``most`` pairs, or one leaf's, are in memory at once.
+    """
+    step = max(1, most // (b1 - b0))
+    for lo in range(a0, a1, step):
+        i = np.arange(lo, min(lo + step, a1))
+        j = np.arange(max(b0, lo + 1), b1) if a0 == b0 else np.arange(b0, b1)
+        if alike is None and len(j):  # all are within the budget or none is: one leaf joins the rest
+            _link(values, forest, np.full(len(j), lo), j, max_bits, None)
+            _link(values, forest, i, np.full(len(i), j[0]), max_bits, None)
+            if a0 == b0:
+                return
+            continue
+        x, y = np.nonzero(forest.parent[i][:, None] != forest.parent[j][None, :])
+        for s in range(0, len(x), most):
+            p, q = i[x[s : s + most]], j[y[s : s + most]]
+            ahead = p < q if a0 == b0 else slice(None)
+            _link(values, forest, p[ahead], q[ahead], max_bits, alike)
+
+
+def _link(values, forest, i, j, max_bits, alike) -> None:
+    close = (forest.parent[i] != forest.parent[j]) & (np.bitwise_count(values[i] ^ values[j]) <= max_bits)
+    i, j = i[close], j[close]
+    if alike is not None and len(i):
+        same = alike(i, j)
+        i, j = i[same], j[same]
+    forest.add(i, j)
 
 
 def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
-    """Slices of the node pairs with about ``most`` leaf pairs each; a single larger pair is a slice of its own."""
+    """Slices of the node pairs with about ``most`` leaf pairs each; none has more alone."""
     total = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -239,18 +274,34 @@ def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
         at = end
 
 
-def near_links(nodes: DataFrame, max_bits: int = 4, group_rows: int = 2_000_000) -> DataFrame:
+def block_keys(nodes: int, max_bits: int, group: int = 2_048) -> list[tuple[int, ...]]:
+    """Sets of blocks that lead the groups: with ``max_bits + m`` blocks, near fingerprints agree in ``m`` of them.
+
+    ``m`` is the least for which groups have ``group`` rows or fewer on average if fingerprints are even, so groups do not grow
+    with the table; the keys are all sets of ``m`` blocks.
+    """
+    m = 1
+    while nodes * 2.0 ** (-64 * m / (max_bits + m)) > group and m < 8:
+        m += 1
+    return list(itertools.combinations(range(max_bits + m), m))
+
+
+def near_links(nodes: DataFrame, max_bits: int = 4, group_rows: int = 2_000_000, group: int = 2_048) -> DataFrame:
     """Rows ``(u, v)`` of node ids that connect all nodes within ``max_bits`` bits; ``nodes`` has node and fp, fps distinct.
 
-    Of ``max_bits + 1`` blocks of the 64 bits, two such fingerprints agree in one at least, so each fingerprint
-    goes to one group per block, rotated so that the block leads and is the root of the group's trie.
+    Of ``max_bits + m`` blocks of the 64 bits, two such fingerprints agree in ``m`` at least (:func:`block_keys`), so each
+    fingerprint goes to one group per set of ``m`` blocks, rotated so that the first of them leads and is the root
+    of the group's trie.
     """
-    blocks = _blocks(64, max_bits + 1)
+    nodes = checkpointed(nodes.select("node", "fp"))
+    keys = block_keys(nodes.count(), max_bits, group)
+    blocks = _blocks(64, max_bits + len(keys[0]))
+    bits = lambda i: F.shiftrightunsigned(F.col("fp"), blocks[i][0]).bitwiseAND((1 << blocks[i][1]) - 1)
+    key = lambda at: bits(at[0]).cast("long") if len(at) == 1 else F.xxhash64(*[bits(i) for i in at])
     keyed = nodes.select("node", "fp", F.lit(None).cast("binary").alias("minima"), F.explode(F.array(*[
-        F.struct(F.lit(i).cast("long").alias("block"),
-                 F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1).cast("long").alias("key"))
-        for i, (shift, width) in enumerate(blocks)])).alias("g")).select("node", "fp", "minima", "g.block", "g.key")
-    return _joined(keyed, max_bits, [s + w for s, w in blocks], None, group_rows)
+        F.struct(F.lit(n).cast("long").alias("block"), key(at).alias("key")) for n, at in enumerate(keys)])).alias("g")).select(
+            "node", "fp", "minima", "g.block", "g.key")
+    return _joined(keyed, max_bits, [sum(blocks[at[-1]]) for at in keys], None, group_rows)
 
 
 def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, group_rows: int = 200_000,
@@ -327,12 +378,14 @@ def _joined(keyed: DataFrame, max_bits: int, turns: list[int], share: float | No
             similarity: float | None = None) -> DataFrame:
     """Trie joins of all groups, in batches of many groups; with a ``similarity``, ``keyed`` has sets, which decide.
 
-    A group of over ``group_rows`` rows is dealt into chunks and its pairs of chunks are joined apart, so that memory
-    stays bounded and no pair is lost.
+    A group of over ``group_rows`` rows, or ``SET_BYTES`` of sets, is dealt into chunks and its pairs of chunks are joined
+    apart, so that memory stays bounded and no pair is lost.
     """
     keyed = keyed if share is None else checkpointed(keyed)
-    sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
-    chunks = sizes.select("block", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
+    weight = F.count("*") / group_rows
+    weight = weight if similarity is None else F.greatest(weight, F.sum(F.length("set")) / SET_BYTES)
+    sizes = keyed.groupBy("block", "key").agg(weight.alias("n")).filter(F.col("n") > 1)
+    chunks = sizes.select("block", "key", F.ceil("n").cast("int").alias("chunks"))
     if chunks.isEmpty():
         keyed = keyed.withColumn("part", F.lit(0).cast("long"))
     else:

@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 import xxhash
 
 from quadrille.llm import simhash
+from quadrille.llm.common import table
 from quadrille.llm.components import connected_components
 
 
@@ -54,6 +56,29 @@ def test_trie_links_span_the_components(seed):
     assert components(len(v), got.tolist()) == want and len(got) == len(v) - len(set(want))
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_many_texts_of_one_fingerprint(alike):
+    """20,000 equal values that are all alike, or 2,500 of which only neighbours are: memory in proportion to them."""
+    n = 20_000 if alike else 2_500
+    of = (lambda i, j: np.ones(len(i), bool)) if alike else (lambda i, j: np.abs(i - j) == 1)
+    tracemalloc.start()
+    got = simhash.trie_links(np.full(n, 5, dtype=np.uint64), np.zeros(n, int), 23, of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n - 1 and len(set(components(n, got.tolist()))) == 1 and peak < 30_000_000
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_two_nodes_of_many_equal_values(alike, monkeypatch):
+    """Two fingerprints near each other, each of many texts."""
+    v = np.sort(np.array([5] * 700 + [7] * 900 + [1 << 40] * 3, dtype=np.uint64))
+    of = None if alike else (lambda i, j: (i % 2) == (j % 2))
+    got = simhash.trie_links(v, np.zeros(len(v), int), 4, of).tolist()
+    want = [(i, j) for i in range(len(v)) for j in (i - 1, i - 2, i - 700, i - 701) if j >= 0
+            and bin(int(v[i] ^ v[j])).count("1") <= 4 and (alike or i % 2 == j % 2)]
+    assert components(len(v), got) == components(len(v), want)
+
+
 def documents(n=120, seed=3):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -91,6 +116,44 @@ def test_large_groups_are_dealt_into_chunks(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("group, m", [(64, 1), (0.001, 2), (2e-6, 3)])
+def test_blocks_grow_with_the_count(spark, group, m):
+    rng = np.random.default_rng(m)
+    base = rng.integers(0, 1 << 63, size=40, dtype=np.uint64)
+    v = np.concatenate([base, *(base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in (1, 3, 4, 4, 4, 5, 6))])
+    v = np.unique(v)
+    assert len(simhash.block_keys(len(v), 4, group)[0]) == m
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v.view(np.int64))], "node long, fp long")
+    got = simhash.near_links(df, 4, group=group).collect()
+    pairs = [(i, j) for i in range(len(v)) for j in range(i) if bin(int(v[i] ^ v[j])).count("1") <= 4]
+    assert components(len(v), [tuple(r) for r in got]) == components(len(v), pairs)
+
+
+def test_similarity_on_all_documents(spark):
+    """Every document of sf0.01: components as all pairs of shingle sets give them, and they join different texts."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    sets = [simhash.shingle_set(t, 5) for _, t in docs]
+    every = {h: i for i, h in enumerate(sorted({int(h) for s in sets for h in s}))}
+    held = {}
+    for i, s in enumerate(sets):
+        for h in s.tolist():
+            held.setdefault(h, []).append(i)
+    shared = {}
+    for at in held.values():
+        for x, i in enumerate(at):
+            for j in at[:x]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    empty = [i for i, s in enumerate(sets) if not len(s)]
+    pairs = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9] + list(zip(empty, empty[1:]))
+    assert every and any(docs[i][1] != docs[j][1] for i, j in pairs)
+    root = components(len(docs), pairs)
+    least = {}
+    for (i, _), r in zip(docs, root):
+        least[r] = min(i, least.get(r, i))
+    got = simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, least[r]) for (i, _), r in zip(docs, root))
+
+
 def test_similar_texts(spark):
     rng = random.Random(1)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
