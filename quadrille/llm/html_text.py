@@ -26,13 +26,14 @@ CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 DROPPED = frozenset(
-    "head nav header footer aside form script style noscript template iframe svg canvas object button select textarea input dialog menu math audio video title".split())
+    "head nav footer aside form script style noscript template iframe svg canvas button select textarea input menu title".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr figcaption caption".split())
-BOILERPLATE = frozenset(
-    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer footnotes "
-    "header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related respond share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
+# by name, as whole words of class, id, role or itemprop: what is never article, wherever it stands
+BOILERPLATE = frozenset("ad ads advert advertisement comments cookies menu navigation newsletter sidebar".split())
+# outside an article also as parts of names, so that site-footer and cookie_banner go too
+BOILERPLATE_PARTS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comments cookie cookies footer header masthead menu nav navbar navigation newsletter sidebar sponsored".split())
 ARTICLE_NAMES = frozenset(["articlebody", "article-body", "article-content", "entry-content", "post-content", "main-content"])
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -89,13 +90,11 @@ def parse(page: str) -> Node:
     return root
 
 
-def _named(node: Node) -> bool:
-    return any(w in BOILERPLATE or any(p in BOILERPLATE for p in re.split(r"[-_]+", w)) for w in node.names)
-
-
 def _is_boilerplate(node: Node, inside: bool) -> bool:
-    """By element and name; a header inside the article holds its headline and stays."""
-    return (node.tag in DROPPED and not (inside and node.tag == "header")) or _named(node)
+    """By element and name.  Inside the article names count only as a whole, and a header holds its headline and stays."""
+    if node.tag in DROPPED or (node.tag in ("header", "dialog") and not inside) or not BOILERPLATE.isdisjoint(node.names):
+        return True
+    return not inside and any(p in BOILERPLATE_PARTS for w in node.names for p in re.split(r"[-_]+", w))
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -140,11 +139,17 @@ def _walk(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node, host: str) -> None:
-    """Sets every digest: host, tag, names, and the white-space-normalised texts and digests of the children."""
+    """Sets every digest: host, tag, names, and the texts and digests of the children.
+
+    White space in texts is normalised, and outside text blocks runs of digits are one mark, so that dates and counters
+    do not tell copies of a template apart; link targets are no part of it.
+    """
     seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
     for n in reversed(_walk(root)):
         parts = [n.tag, *n.names]
-        parts += [str(k.digest) if isinstance(k, Node) else " ".join(k.split()) for k in n.kids]
+        texts = ["" if isinstance(k, Node) else " ".join(k.split()) for k in n.kids]
+        texts = texts if n.tag in TEXT_BLOCKS else [_DIGITS.sub("0", t) for t in texts]
+        parts += [str(k.digest) if isinstance(k, Node) else t for k, t in zip(n.kids, texts)]
         n.digest = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"), seed)
 
 
@@ -164,6 +169,7 @@ def candidates(root: Node, main: list[Node]) -> list[Node]:
     """The nodes that may be template: block elements outside the article, and containers inside it that are mostly links.
 
     A text block of the article is never one, nor a list, table or section of its text, however often a site repeats it.
+    Of several articles each may be one, as teasers are.
     """
     inside = {id(x) for m in main for x in _walk(m)}
     above: set[int] = set()
@@ -177,15 +183,18 @@ def candidates(root: Node, main: list[Node]) -> list[Node]:
         if n.tag in INLINE or n.tag in VOID or n.tag in ("#root", "html", "body", "head"):
             continue
         if id(n) in inside:
-            if id(n) not in heads and n.tag not in TEXT_BLOCKS and id(n) in links:
+            if id(n) in heads:
+                if len(heads) > 1:
+                    out.append(n)
+            elif n.tag not in TEXT_BLOCKS and id(n) in links:
                 out.append(n)
         elif id(n) not in above:
             out.append(n)
     return out
 
 
-def main_text(nodes: list[Node], template: set[int], inside: bool = True) -> str:
-    """Texts of the blocks below ``nodes`` in page order, without boilerplate and the nodes whose ``id()`` is in ``template``."""
+def main_text(nodes: list[Node], inside: bool = True) -> str:
+    """Texts of the blocks below ``nodes`` in page order, without boilerplate."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -205,7 +214,7 @@ def main_text(nodes: list[Node], template: set[int], inside: bool = True) -> str
             if leaving:
                 flush()
                 continue
-            if n is not top and (_is_boilerplate(n, inside) or id(n) in template):
+            if n is not top and _is_boilerplate(n, inside):
                 flush()
                 continue
             if n.tag in VOID:
@@ -226,14 +235,26 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def extract(page: str | None, host: str, template: set[int]) -> str:
+def extract(page: str | None, host: str, template: set[int]) -> tuple[str, int]:
+    """The page's main text and how many of its subtrees went as template, those inside others not counted."""
     root = parse(page or "")
     main = main_nodes(root)
     gone: set[int] = set()
+    top = 0
     if template:
         hash_subtrees(root, host)
         gone = {id(n) for n in candidates(root, main) if n.digest in template}
-    return main_text(main or [root], gone, bool(main))
+    if gone:
+        # delete first; what is left of the page is then looked at by element and name
+        stack = [root]
+        while stack:
+            n = stack.pop()
+            kept = [k for k in n.kids if not (isinstance(k, Node) and id(k) in gone)]
+            top += len(n.kids) - len(kept)
+            n.kids = kept
+            stack.extend(k for k in kept if isinstance(k, Node))
+        main = [m for m in main if id(m) not in gone] or main_nodes(root)
+    return main_text(main or [root], bool(main)), top
 
 
 def page_candidates(page: str | None, host: str) -> list[int]:
@@ -243,19 +264,20 @@ def page_candidates(page: str | None, host: str) -> list[int]:
 
 
 def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000_000, min_share: float = 0.1) -> DataFrame:
-    """``pages`` with new columns text and n_chars; html is whole, null is empty.
+    """``pages`` with new columns text, n_chars and n_template; html is whole, null is empty.
 
-    Every block subtree outside a page's article, and every container of links in it, is hashed with its host, and Spark
-    counts on how many different pages (by digest of the whole html, so copies count once) each occurs.  Subtrees on
-    ``min_pages`` and ``min_share`` of the host's pages or more are site template and go where they stand so on a page; so do elements that HTML or their names mark
-    as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.  What is left of the
-    article is its text: character references decoded, white space in a block one space, blocks joined by a newline.
-    A page without an article gives what is left of the whole page.
+    Every block subtree outside a page's article, every container of links in it, and each of several articles is hashed
+    with its host, and Spark counts on how many different pages (by digest of the whole html, so copies count once)
+    each occurs.  Subtrees on ``min_pages`` and ``min_share`` of the host's pages or more are site template and are
+    deleted where they stand so on a page; n_template says how many.  Of the rest, elements go that HTML marks as menus,
+    headers, footers, sidebars, forms, scripts and styles, or that their names mark as such or as adverts, notices and
+    comments.  What is left of the article is its text: character references decoded, white space in a block one
+    space, blocks joined by a newline.  A page without an article gives what is left of the whole page.
 
     Counts meet as one row a task and subtree.  The template is broadcast if a count shows ``broadcast_rows`` hashes at
     most; else each page gets its own template hashes by shuffled joins.  A url without host shares the empty host.
-    Repeated rows give the same text; an empty table gives an empty result.  Further columns stay; text and n_chars
-    replace columns of those names, and names that begin with two underscores are kept for inner use.
+    Repeated rows give the same text; an empty table gives an empty result.  Further columns stay; text, n_chars
+    and n_template replace columns of those names, and names that begin with two underscores are kept for inner use.
     """
     rows = pages.withColumn("__page", F.xxhash64(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))))
 
@@ -289,13 +311,15 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
         rows = rows.withColumn("__own", F.lit(None).cast("array<long>"))
     state: dict[str, set[int]] = {}
 
-    @F.pandas_udf("string")
-    def text_of(url: pd.Series, page: pd.Series, own: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, n int")
+    def text_of(url: pd.Series, page: pd.Series, own: pd.Series) -> pd.DataFrame:
         if small and "all" not in state:
             state["all"] = set(held.value.view(np.uint64).tolist())
         every = state.get("all", set())
-        return pd.Series([
+        return pd.DataFrame([
             extract(p, host_of(u), every if small else set(np.array([] if o is None else o, dtype=np.int64).view(np.uint64).tolist()))
-            for u, p, o in zip(url, page, own)], dtype=object)
+            for u, p, o in zip(url, page, own)], columns=["text", "n"])
 
-    return rows.withColumn("text", text_of("url", "html", "__own")).withColumn("n_chars", F.length("text").cast("long")).drop("__own", "__page")
+    got = rows.withColumn("__got", text_of("url", "html", "__own"))
+    return got.withColumns({"text": F.col("__got.text"), "n_chars": F.length("__got.text").cast("long"),
+                            "n_template": F.col("__got.n")}).drop("__own", "__page", "__got")
