@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import checkpointed
+
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -295,7 +297,8 @@ def main_texts(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 2_000
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *longs], names=["page", "site", "h"])
 
     seen = rows.select("url", "html", "__page").mapInArrow(run, "page long, site long, h long")
-    often = seen.distinct().groupBy("site", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    # read twice below, and short, so that pages are hashed once
+    often = checkpointed(seen.distinct().groupBy("site", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
     # only hosts of so many pages ask for more than min_pages of them
     large = often.filter((F.col("h") == F.col("site")) & (F.col("n") * min_share > min_pages)).select("site", F.col("n").alias("pages"))
     template = often.filter(F.col("h") != F.col("site")).join(large, "site", "left").filter(

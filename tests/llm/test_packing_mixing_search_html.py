@@ -351,7 +351,7 @@ def test_counts_decide_where_elements_say_nothing(spark):
         if not (menu and footer and article):
             continue
         first = own.setdefault(html_text.host_of(r["url"]), (menu[0], footer[0]))
-        page = f"<body>{first[0]}<p>{r['page_id']} readers</p>{article[0]}{first[1].replace('</footer>', f' {r["page_id"]}</footer>')}</body>"
+        page = f"<body>{first[0]}<div>{r['page_id']} readers</div>{article[0]}{first[1].replace('</footer>', f' {r["page_id"]}</footer>')}</body>"
         rows.append((r["page_id"], r["url"], re.sub("<(/?)(nav|footer|article)>", r"<\1div>", page)))
         want[r["page_id"]] = by_hand(article[0])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
