@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,41 @@ def remainder(id_column: str, modulus: int) -> Column:
 
 def remainder_of(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+class HashIndex:
+    """Places of different unsigned 64-bit keys, looked up many at once in an open-addressed table; -1 for others.
+
+    The largest such number marks free slots and is no key.
+    """
+
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, len(keys).bit_length() + 1)
+        self.keys = np.full(1 << self.bits, self.FREE, dtype=np.uint64)
+        self.places = np.full(1 << self.bits, -1, dtype=np.int32)
+        places, at = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(keys):
+            slot, first = np.unique(at, return_index=True)
+            first = first[self.keys[slot] == self.FREE]
+            self.keys[at[first]], self.places[at[first]] = keys[first], places[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, places, at = keys[rest], places[rest], self._next(at[rest])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        held = self.keys[at]
+        open_ = np.flatnonzero((held != keys) & (held != self.FREE))
+        while len(open_):
+            at[open_] = self._next(at[open_])
+            held = self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (held != self.FREE)]
+        return self.places[at]  # -1 at a free slot

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import checkpointed
+from quadrille.llm.common import HashIndex, checkpointed
 
 #: Words, and parts of words, whose ids a worker remembers at most, in each of two generations: some 170 bytes each.
 CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
@@ -48,7 +48,7 @@ class Merges:
     """Byte-pair merges of many words at once, as the tokenizers library makes them from the same file.
 
     In each word the pair of lowest rank, the leftmost of equal ones, becomes one symbol until no pair has a rank.
-    Words are rows of a matrix; ranks are looked up in an open-addressed table of the pairs.
+    Words are rows of a matrix.
     """
 
     NONE = np.int32(2**31 - 1)
@@ -58,40 +58,17 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.uint64)
         right = np.array([vocab[b] for _, b in pairs], dtype=np.uint64)
-        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.pairs = HashIndex(left << np.uint64(32) | right)  # by rank
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         # bytes as the vocabulary writes them: printable ones as themselves, the rest from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.inner = np.array([vocab[chars[b]] for b in range(256)], dtype=np.int32)
         self.last = np.array([vocab[chars[b] + suffix] for b in range(256)], dtype=np.int32)
-        self.bits = max(12, len(pairs).bit_length() + 3)
-        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.rank = np.full(1 << self.bits, self.NONE, dtype=np.int32)
-        self.made = np.concatenate((made, [0])).astype(np.int32)
-        keys, ranks = (left << np.uint64(32) | right).view(np.int64), np.arange(len(pairs), dtype=np.int32)
-        at = self._slot(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            at_first, first = np.unique(at, return_index=True)
-            first = first[free[first]]
-            self.keys[at[first]], self.rank[at[first]] = keys[first], ranks[first]
-            left_over = np.ones(len(keys), dtype=bool)
-            left_over[first] = False
-            keys, ranks, at = keys[left_over], ranks[left_over], (at[left_over] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) << 32 | b
-        at = self._slot(keys)
-        held = self.keys[at]
-        open_ = np.flatnonzero((held != keys) & (held >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            held = self.keys[at[open_]]
-            open_ = open_[(held != keys[open_]) & (held >= 0)]
-        return np.where(self.keys[at] == keys, self.rank[at], self.NONE)
+        rank = self.pairs.find(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+        return np.where(rank >= 0, rank, self.NONE)
 
     def of(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order and the number of each; word i is the bytes of ``raw`` up to ``ends[i]``, no word empty."""

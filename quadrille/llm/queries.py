@@ -40,7 +40,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.identify(docs, max_docs=3_000, fold=0, folds=5).drop("text", "lang")
+    return language.identify(docs, max_bytes=3_000_000, fold=0, folds=5).drop("text", "lang")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,34 +59,64 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.97
 
 
-def test_ppm_tables_are_method_c_with_exclusion():
-    """Code lengths of one language against a plain recursive model; each context's distribution sums to one."""
-    sym = language.symbols("the cat sat on the mat the cat " * 3, np.where(language._word_bytes(), np.arange(256) % 40 + 2, 0).astype(np.uint8))
-    key, count = np.unique(language.keys(sym), return_counts=True)
-    contexts = np.unique(key >> 6)
-    table_ = language.ppm_tables(key, count.astype(float), contexts).reshape(-1, language.SYMBOLS)
-    assert np.allclose(np.exp2(-table_).sum(axis=1), 1)
-    seen = [dict() for _ in range(4)]
-    for k, n in zip(key.tolist(), count.tolist()):
-        for order in range(4):
-            c = seen[order].setdefault((k >> 6) & ((1 << 6 * order) - 1), {})
-            c[k & 63] = c.get(k & 63, 0) + n
-
-    def p(order, context, s, out=frozenset()):
-        if order < 0:
-            return 1 / language.SYMBOLS
-        c = seen[order].get(context & ((1 << 6 * order) - 1), {})
+def plain_model(texts, depth=language.DEPTH):
+    """Counts of all contexts and bytes, and the recursive definition: method C with full exclusion."""
+    seen = {}
+
+    def coded(t):
+        raw, out = t.encode().lower() + b" ", bytearray()
+        for b in raw:
+            b = 32 if b < 128 and not chr(b).isalpha() else b
+            if not (b == 32 and out and out[-1] == 32):
+                out.append(b)
+        return bytes([255]) * depth + bytes(out)
+
+    for t in texts:
+        x = coded(t)
+        for i in range(depth, len(x)):
+            for order in range(depth + 1):
+                c = seen.setdefault(x[i - order : i], {})
+                c[x[i]] = c.get(x[i], 0) + 1
+
+    def p(context, s):
+        c = seen.get(context, {})
         n, d = sum(c.values()), len(c)
+        shorter = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / 256)
         if not n:
-            return p(order - 1, context, s)
+            return shorter(s)
         if s in c:
             return c[s] / (n + d)
-        left = 1 - sum(p(order - 1, context, x) for x in c)
-        return d / (n + d) * p(order - 1, context, s) / left
+        return d / (n + d) * shorter(s) / (1 - sum(shorter(y) for y in c))
 
-    for k in key[:: max(1, len(key) // 40)].tolist():
-        row = 4096 + int(np.searchsorted(contexts, k >> 6))
-        assert table_[row, k & 63] == pytest.approx(-math.log2(p(3, k >> 6, k & 63)), rel=1e-9)
+    def bits(t):
+        x = coded(t)
+        return sum(-math.log2(p(x[i - depth : i], x[i])) for i in range(depth, len(x)))
+
+    return bits, p
+
+
+LEARNT = {"en": ["the cat sat on the mat, the cat 12 SAT!", "a dog and the cat"], "el": ["η γάτα και ο σκύλος", "η γάτα"], "ja": ["猫は猫です。犬も"], "x": ["z"], "": [""]}
+
+
+def test_code_lengths_are_the_recursive_models(spark, monkeypatch):
+    """From documents through fit: every count of every byte; also in groups of languages and small chunks."""
+    rows = [(10 * i + j, t, c) for i, (c, texts) in enumerate(LEARNT.items()) for j, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = ["the cat", "THE  dog...", "γάτα σκύλος é", "猫です", "", "zzz", "\U0001f600 the" * 30, "!"]
+    for group, chunk in ((8, 10**6), (2, 7)):
+        monkeypatch.setattr(language, "GROUP", group)
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        model = language.fit(df, fold=None)
+        got = model.code_lengths(texts)
+        for i, c in enumerate(model.languages):
+            bits, _ = plain_model(LEARNT[c])
+            assert got[:, i] == pytest.approx([bits(t) for t in texts], rel=1e-5)
+    _, p = plain_model(LEARNT["en"])
+    assert sum(p(b"e cat", s) for s in range(256)) == pytest.approx(1) and sum(p(b"\xff" * 5, s) for s in range(256)) == pytest.approx(1)
+
+
+def test_letters():
+    assert not any(map(language.has_letter, ["", "12 !", "½²", "①", "\u0301", "_"])) and all(map(language.has_letter, ["x", "é", "ª", "猫", "1а"]))
 
 
 def test_language_edges(spark):
@@ -97,23 +127,16 @@ def test_language_edges(spark):
     assert {(100, "und"), (101, "und"), (102, "und"), (103, "de"), (104, "en")} <= got
     assert language.identify(df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    long = "the cat and the dog " * 500
-    model = language.fit(df, fold=None)
-    whole = model.code_lengths(long)
-    language.CHUNK, before = 777, language.CHUNK
-    assert np.allclose(model.code_lengths(long), whole)
-    language.CHUNK = before
 
 
 def test_a_language_of_one_short_text(spark):
-    """All its four-grams are seen once; and its bytes are not among the commonest of all languages."""
+    """All its grams are seen once; and its bytes are not among the commonest of all languages."""
     high = "".join(chr(c) for c in range(0x100, 0x180))
     docs = [(i, f"the cat and the dog are here {high}", "en") for i in range(2, 40)] + [(i, "der hund und die katze sind da", "de") for i in range(40, 80)]
     docs += [(100, "zomi kavu replin", "rare"), (101, "გამარჯობა", "ka")]
     model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), fold=None)
-    best = lambda t: model.languages[int(np.argmin(model.code_lengths(t)))]
-    assert [best(t) for t in ("zomi kavu", "kavu replin", "გამარჯობა", "the dog", "die katze")] == ["rare", "rare", "ka", "en", "de"]
-    assert all(np.isin(np.frombuffer("გამარჯობა".encode(), np.uint8), np.flatnonzero(model.lut[i] < language.OTHER)).all() for i, c in enumerate(model.languages) if c == "ka")
+    texts = ["zomi kavu", "kavu replin", "გამარჯობა", "the dog", "die katze"]
+    assert [model.languages[i] for i in model.code_lengths(texts).argmin(axis=1)] == ["rare", "rare", "ka", "en", "de"]
 
 
 def test_toxicity_held_out(spark, labels):
