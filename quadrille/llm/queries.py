@@ -15,7 +15,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.severity(docs, table(spark, sf_dir, "labels"), grades=4, max_rows=40_000, fold=1, folds=3).drop("text")
+    return toxicity.severity(docs, table(spark, sf_dir, "labels"), grades=4, max_rows=20_000, fold=1, folds=3).drop("text")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

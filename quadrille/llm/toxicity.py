@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,42 +17,41 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed, remainder
 
 TOKEN = re.compile(r"[^\W_]+", re.UNICODE)
-
-
 #: A word's features: itself and, behind a mark, its beginnings of these lengths, for inflected and made-up forms.
 BEGINNINGS = (4, 5)
+#: Features are hashed to so many columns.
+COLUMNS = 1 << 20
+#: Times that a word must raise the odds of a toxic text, two standard errors off, to count for its grade.
+TELLING = 4
+#: Words whose weighted columns a worker remembers at most.
+CACHE_WORDS = 300_000
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def features_of(word: str) -> list[str]:
-    return [word] + ["^" + word[:n] for n in BEGINNINGS if len(word) > n]
+def columns_of(word: str) -> list[int]:
+    names = [word] + ["^" + word[:n] for n in BEGINNINGS if len(word) > n]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % COLUMNS for n in names]
 
 
-def hits(text: str | None, known: dict[str, int]) -> tuple[dict[int, int], int]:
-    """Occurrences of each known feature in a whole text, and the number of its words that have one."""
-    found: dict[int, int] = {}
-    words: dict[str, int] = {}
-    for w in tokens(text):
-        words[w] = words.get(w, 0) + 1
-    total = 0
-    for w, n in words.items():
-        has = [known[f] for f in features_of(w) if f in known]
-        total += n * bool(has)
-        for i in has:
-            found[i] = found.get(i, 0) + n
-    return found, total
+def counted(text: str | None) -> Counter[int]:
+    """Occurrences of each column in a whole text."""
+    out: Counter[int] = Counter()
+    for w, n in Counter(tokens(text)).items():
+        for c in columns_of(w):
+            out[c] += n
+    return out
 
 
 @dataclass
 class Ordinal:
-    """Weights that all thresholds share, thresholds in rising order, and the features that have a weight."""
+    """Weights that all thresholds share, of the columns that have one, and thresholds in rising order."""
 
-    words: dict[str, int]
-    weights: np.ndarray
+    weights: dict[int, float]
     cuts: np.ndarray
+    words: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
 
     def over(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold j: logistic of the margin less the threshold."""
@@ -59,9 +59,17 @@ class Ordinal:
         return np.where(np.isinf(self.cuts), self.cuts < 0, p)
 
     def margin(self, text: str | None) -> float:
-        """Sum over the features of weight * log2(1 + occurrences)."""
-        found, _ = hits(text, self.words)
-        return float(sum(self.weights[i] * np.log2(1 + n) for i, n in sorted(found.items())))
+        """Sum over the columns of weight * log2(1 + occurrences)."""
+        found: dict[int, int] = {}
+        for w, n in Counter(tokens(text)).items():
+            has = self.words.get(w)
+            if has is None:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                has = self.words[w] = tuple(c for c in columns_of(w) if c in self.weights)
+            for c in has:
+                found[c] = found.get(c, 0) + n
+        return float(sum(self.weights[c] * np.log2(1 + n) for c, n in sorted(found.items())))
 
 
 @dataclass
@@ -79,37 +87,130 @@ class Sparse:
     def transposed_times(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.col, weights=self.value * r[self.row], minlength=self.shape[1])
 
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.row, weights=np.square(self.value, dtype=np.float64), minlength=self.shape[0])
+
+    def of_rows(self, rows: np.ndarray) -> Sparse:
+        place = np.cumsum(rows) - 1
+        at = rows[self.row]
+        return Sparse(place[self.row[at]], self.col[at], self.value[at], (int(rows.sum()), self.shape[1]))
+
+    def of_columns(self, columns: np.ndarray) -> Sparse:
+        place = np.full(self.shape[1], -1)
+        place[columns] = np.arange(len(columns))
+        at = place[self.col] >= 0
+        return Sparse(self.row[at], place[self.col[at]], self.value[at], (self.shape[0], len(columns)))
+
 
-def fit_ordinal(x: Sparse, y: np.ndarray, grades: int, ridge: float = 0.3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link (proportional odds) model, by ridge-penalised gradient steps.
+def _loss(margin: np.ndarray, cut: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of grades, and its slopes by each row's margin and by the cut's parameters.
 
-    Every grade's threshold is scored by the same weights; thresholds are a first one plus positive increments, so
-    their order always holds.  Steps are Adam's, on the mean negative log likelihood of the grades.
+    ``cut`` has the first threshold and logarithms of the steps to the next ones, so that their order always holds.
+    """
+    n, k = len(y), len(cut)
+    steps = np.exp(cut[1:])
+    cuts = cut[0] + np.concatenate(([0.0], np.cumsum(steps)))
+    p = 1 / (1 + np.exp(-np.clip(margin[:, None] - cuts[None, :], -500, 500)))
+    at = np.arange(n)
+    full = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
+    mass = np.maximum(full[at, y] - full[at, y + 1], 1e-12)
+    slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
+    hi, lo = slope[at, y] / mass, slope[at, y + 1] / mass
+    by_cut = (np.bincount(y, weights=hi, minlength=k + 2) - np.bincount(y + 1, weights=lo, minlength=k + 2))[1:-1] / n
+    by_step = np.cumsum(by_cut[::-1])[::-1]
+    return float(-np.log(mass).mean()), -(hi - lo) / n, np.concatenate((by_step[:1], by_step[1:] * steps))
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int, lasso: float = 0.0, ridge: float = 1e-4, steps: int = 120,
+                tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative-link (proportional odds) model over all columns, penalised by both norms.
+
+    Accelerated proximal steps on the columns that may have a weight: those whose slope exceeds ``lasso``.  After each
+    solution all columns are looked at again, and those that now exceed it come in, until none does; so no column is left out that the penalty does not set to zero.
     """
     n, k = x.shape
     above = np.array([(y > j).mean() for j in range(grades - 1)])
     start = np.sort(-np.log((above * n + 0.5) / (n - above * n + 0.5)))
-    theta = np.concatenate((np.zeros(k), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        gaps = np.exp(theta[k + 1 :])
-        cuts = theta[k] + np.concatenate(([0.0], np.cumsum(gaps)))
-        p = 1 / (1 + np.exp(-np.clip(x.times(theta[:k])[:, None] - cuts[None, :], -500, 500)))
-        full = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
-        mass = np.maximum(full[np.arange(n), y] - full[np.arange(n), y + 1], 1e-12)
-        slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
-        hi, lo = slope[np.arange(n), y] / mass, slope[np.arange(n), y + 1] / mass  # d log mass by each threshold's logit
-        g = np.zeros_like(theta)
-        g[:k] = -x.transposed_times(hi - lo) / n + ridge * theta[:k] / n
-        by_cut = np.zeros(grades + 1)
-        np.add.at(by_cut, y, hi)
-        np.add.at(by_cut, y + 1, -lo)
-        by_cut = by_cut[1:-1] / n  # d loss by each threshold
-        g[k] = by_cut.sum()
-        g[k + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return theta[:k], theta[k] + np.concatenate(([0.0], np.cumsum(np.exp(theta[k + 1 :]))))
+    cut = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
+    weights, active = np.zeros(k), np.zeros(0, dtype=np.int64)
+    for _ in range(50):
+        _, slope, _ = _loss(x.times(weights), cut, y)
+        wanted = np.abs(x.transposed_times(slope) + ridge * weights) > lasso * (1 + tolerance) + tolerance * 1e-2
+        wanted[active] = False
+        if not wanted.any():
+            break
+        active = np.sort(np.concatenate((active, np.flatnonzero(wanted))))
+        own = x.of_columns(active)
+        theta, cut = _solve(own, y, weights[active], cut, lasso, ridge, steps)
+        weights[:] = 0
+        weights[active] = theta
+    if not len(active):
+        _, cut = _solve(x.of_columns(active), y, np.zeros(0), cut, lasso, ridge, steps)
+    return weights, cut[0] + np.concatenate(([0.0], np.cumsum(np.exp(cut[1:]))))
+
+
+def _solve(x: Sparse, y: np.ndarray, w: np.ndarray, cut: np.ndarray, lasso: float, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proximal gradient with momentum, restarted where it overshoots; the step length adapts.  Without lasso, BFGS."""
+    k, rate = len(w), 1.0
+    now = np.concatenate((w, cut))
+
+    smooth = lambda t: _smooth(x, y, t, ridge)
+    if not lasso:
+        now = _descend(smooth, now)
+        return now[:k], now[k:]
+    ahead, momentum, best = now, 1.0, np.inf
+    for _ in range(steps):
+        f, g = smooth(ahead)
+        while True:
+            new = ahead - rate * g
+            new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - rate * lasso, 0)
+            d = new - ahead
+            at = smooth(new)[0]
+            if at <= f + g @ d + (d @ d) / (2 * rate) + 1e-12 or rate < 1e-8:
+                break
+            rate /= 2
+        value = at + lasso * np.abs(new[:k]).sum()
+        if value > best:  # overshot: again from here, without momentum
+            ahead, momentum = now, 1.0
+            best = np.inf
+            continue
+        faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = new + (momentum - 1) / faster * (new - now)
+        if np.isfinite(best) and best - value < 1e-10 and np.abs(new - now).max(initial=0) < 1e-6:
+            now = new
+            break
+        now, momentum, best, rate = new, faster, value, rate * 1.2
+    return now[:k], now[k:]
+
+
+def _smooth(x: Sparse, y: np.ndarray, t: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Loss with the ridge, and its slope, of weights and cut parameters in one vector."""
+    k = x.shape[1]
+    loss, by_row, by_cut = _loss(x.times(t[:k]) if k else np.zeros(len(y)), t[k:], y)
+    by_w = x.transposed_times(by_row) + ridge * t[:k] if k else np.zeros(0)
+    return loss + 0.5 * ridge * float(t[:k] @ t[:k]), np.concatenate((by_w, by_cut))
+
+
+def _descend(smooth, t: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Least point by BFGS with halved steps."""
+    f, g = smooth(t)
+    inverse = np.eye(len(t)) / max(1e-12, np.abs(g).max(initial=0))
+    for _ in range(rounds):
+        step = -inverse @ g
+        if g @ step >= 0:
+            step, inverse = -g, np.eye(len(t))
+        rate = 1.0
+        while (got := smooth(t + rate * step))[0] > f + 1e-4 * rate * (g @ step) and rate > 1e-10:
+            rate /= 2
+        d, e = rate * step, got[1] - g
+        if rate <= 1e-10 or f - got[0] < 1e-10 and np.abs(got[1]).max(initial=0) < 1e-7:
+            return t + d if got[0] <= f else t
+        t, (f, g) = t + d, got
+        if d @ e > 1e-16:
+            r = 1 / (d @ e)
+            left = inverse @ e
+            inverse += (1 + r * (e @ left)) * r * np.outer(d, d) - r * (np.outer(left, d) + np.outer(d, left))
+    return t
 
 
 def _mark(text: str | None) -> int:
@@ -118,71 +219,73 @@ def _mark(text: str | None) -> int:
     return min((zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), default=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_000, max_words: int = 2_000,
-        fold: int | None = 1, folds: int = 3, label: str = "toxic") -> Ordinal:
+def telling(x: Sparse, toxic: np.ndarray) -> set[int]:
+    """Columns that by themselves, each in a two by two table of texts, raise the odds of a toxic text ``TELLING`` times."""
+    bad, good = (np.bincount(x.col[own], minlength=x.shape[1]) + 0.5 for own in (toxic[x.row], ~toxic[x.row]))
+    odds = np.log(bad / (toxic.sum() + 1 - bad)) - np.log(good / ((~toxic).sum() + 1 - good))
+    return set(np.flatnonzero(odds - 2 * np.sqrt(1 / bad + 1 / good) > np.log(TELLING)).tolist())
+
+
+def _model(x: Sparse, y: np.ndarray, grades: int, lasso: float, ridge: float) -> Ordinal:
+    if not (y > 0).any() or (y > 0).all():
+        return Ordinal({}, np.full(grades - 1, np.inf if not (y > 0).any() else -np.inf))
+    chosen = np.flatnonzero(fit_ordinal(x, y, grades, lasso / np.sqrt(len(y)))[0])
+    # the first penalty says which columns count, and shrinks them; what they weigh is learnt without it
+    w, cuts = fit_ordinal(x.of_columns(chosen), y, grades, ridge=ridge)
+    return Ordinal({int(c): float(v) for c, v in zip(chosen, w)}, cuts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_000, fold: int | None = 1, folds: int = 3,
+        label: str = "toxic", lasso: float = 0.2, ridge: float = 1e-5) -> Ordinal:
     """Learnt from about ``max_rows`` labelled rows at most, never from the rows of the held-out fold.
 
-    Features are words and beginnings of words: at most ``max_words`` that toxic texts hold over four times as often
-    as clean ones, the surest first, by a z score of the log odds ratio, counted in Spark over the sample.  ``labels[label]`` is 0 or a grade.  Where it
-    is only 0 and 1, a toxic row's grade is 1 to ``grades`` - 1, the number of its words that have a feature, so a text that
-    piles up insults ranks over one that has a single one.  Clean rows are grade 0.  Near copies in the sample count once.
+    Features are all words and beginnings of words, hashed; none is chosen beforehand, the penalty sets weights to zero.
+    ``labels[label]`` is 0 or a grade.  Where it is only 0 and 1, the grades of toxic rows are measured by rows that
+    have not seen them: the rows are halved by hash, each half says which words are toxic by themselves (:func:`telling`),
+    and a toxic row's grade is the number of its words, from 1 to ``grades`` - 1, of which the other half says so.
+    Clean rows are grade 0.  Near copies in the sample count once.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", F.greatest(F.lit(0), F.least(F.lit(grades - 1), F.col(label))).cast("int").alias("__y"))
     if fold is not None:
         known = known.filter(remainder("doc_id", folds) != fold)
     rate = min(1.0, max_rows / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "__y")
+    sample = checkpointed(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))))
+    small = sample.count() <= 4 * max_rows  # else one id has very many labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample) if small else sample, "doc_id").select("text", "__y")
 
     @F.pandas_udf("long")
     def mark(texts: pd.Series) -> pd.Series:
         return texts.map(_mark).astype("int64")
 
     # copies of one text are one witness: else every word of a much copied toxic text would look toxic
-    rows = checkpointed(rows.withColumn("mark", mark("text")).dropDuplicates(["mark", "__y"]).drop("mark"))
+    rows = checkpointed(rows.withColumn("mark", mark("text")).dropDuplicates(["mark", "__y"]))
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: dict[tuple[str, int], int] = {}
-            n = [0, 0]
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                n[y > 0] += 1
-                for w in {f for w in set(tokens(t.as_py())) for f in features_of(w)}:
-                    count[w, y > 0] = count.get((w, y > 0), 0) + 1
-            count["", False], count["", True] = n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in count]), pa.array([c * t for (_, t), c in count.items()], pa.int64()),
-                 pa.array([c * (not t) for (_, t), c in count.items()], pa.int64())], names=["w", "bad", "good"])
-
-    counts = rows.mapInArrow(held, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.filter((F.col("bad") >= 5) | (F.col("w") == ""))
-    b, g = F.col("bad") + 0.5, F.col("good") + 0.5
-    total = counts.filter("w = ''").first()
-    if total is None or not total["bad"] or not total["good"]:
-        share = 0.0 if total is None or not total["bad"] else 1.0
-        return Ordinal({}, np.zeros(0), np.full(grades - 1, np.inf if not share else -np.inf))
-    z = (F.log(b / (total["bad"] + 1 - b)) - F.log(g / (total["good"] + 1 - g))) / F.sqrt(1 / b + 1 / g)
-    best = (counts.filter("w <> '' ").filter((F.col("bad") < total["bad"] + 0.5) & (F.col("good") < total["good"] + 0.5))
-            .withColumn("z", z).filter(F.col("z") > 4).filter(b / total["bad"] > 4 * g / total["good"]).orderBy(F.desc("z"), "w").limit(max_words).collect())
-    words = {r["w"]: i for i, r in enumerate(best)}
-
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        out = []
-        for found, total in (hits(t, words) for t in texts):
-            out.append([float(total), *(v for i, n in sorted(found.items()) for v in (i, np.log2(1 + n)))])
-        return pd.Series(out)
-
-    got = rows.select("__y", features("text").alias("x")).collect()  # at most max_rows short rows
-    y = np.array([r["__y"] for r in got], dtype=int)
-    held_ = [np.array([i] * (len(r["x"]) // 2), dtype=np.int64) for i, r in enumerate(got)]
-    x = Sparse(np.concatenate(held_), np.concatenate([np.array(r["x"][1::2], dtype=np.int64) for r in got]),
-               np.concatenate([np.array(r["x"][2::2]) for r in got]), (len(got), len(words)))
-    if y.max(initial=0) <= 1:
-        y = np.where(y > 0, np.clip([int(r["x"][0]) for r in got], 1, grades - 1), 0)
-    weights, cuts = fit_ordinal(x, y, grades)
-    return Ordinal(words, weights, cuts)
+            got = [counted(t.as_py()) for t in batch.column(0)]
+            cols = [np.fromiter(c.keys(), dtype=np.int32, count=len(c)).tobytes() for c in got]
+            values = [np.log2(1 + np.fromiter(c.values(), dtype=np.float32, count=len(c))).astype(np.float32).tobytes() for c in got]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(cols, pa.binary()), pa.array(values, pa.binary())],
+                                             names=["mark", "y", "c", "v"])
+
+    held = rows.select("text", "__y", "mark").mapInArrow(sparse, "mark long, y int, c binary, v binary")
+    got = held.toPandas().sort_values(["mark", "y"], ignore_index=True)  # at most max_rows rows of numbers, in one order
+    y, half = got["y"].to_numpy(dtype=int), got["mark"].to_numpy(dtype=int) % 2
+    size = got["c"].map(len).to_numpy(dtype=int) // 4
+    x = Sparse(np.repeat(np.arange(len(got), dtype=np.int32), size), np.frombuffer(b"".join(got["c"]), dtype=np.int32),
+               np.frombuffer(b"".join(got["v"]), dtype=np.float32), (len(got), COLUMNS))
+    if y.max(initial=0) <= 1 and grades > 2 and len(y):
+        halves = [telling(x.of_rows(half == h), y[half == h] > 0) for h in (0, 1)]
+
+        @F.pandas_udf("int")
+        def measured(texts: pd.Series, marks: pd.Series) -> pd.Series:
+            return pd.Series([sum(not halves[1 - m % 2].isdisjoint(columns_of(w)) for w in tokens(t)) for t, m in zip(texts, marks)], dtype="int32")
+
+        counts = rows.filter("__y > 0").select("mark", measured("text", "mark").alias("n")).toPandas()
+        n = got[["mark"]].merge(counts, on="mark", how="left")["n"].to_numpy(dtype=float)
+        y = np.where(y > 0, np.clip(np.nan_to_num(n), 1, grades - 1).astype(int), 0)
+    return _model(x, y, grades, lasso, ridge)
 
 
 def score(model: Ordinal, text: Column) -> Column:
@@ -196,7 +299,7 @@ def score(model: Ordinal, text: Column) -> Column:
     return of(text)
 
 
-def severity(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 40_000, fold: int | None = 1, folds: int = 3) -> DataFrame:
+def severity(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_000, fold: int | None = 1, folds: int = 3) -> DataFrame:
     """``docs`` with new columns held_out, severity (0 to ``grades`` - 1), score (0 to 1) and predicted (score >= 0.5).
 
     Null and empty texts have no features: their severity is what the thresholds alone give.  Without labels, or

@@ -1,6 +1,8 @@
 """Operators 2, 4 and 7: exact parts against plain code, and held-out accuracy."""
 
 import math
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -148,6 +150,19 @@ def test_toxicity_held_out(spark, labels):
     assert all(0 <= r["score"] <= 1 and 0 <= r["severity"] <= 3 for r in got)
 
 
+def test_severity_orders_held_out_texts(spark):
+    """Held-out toxic English texts with more insults are more severe; the list is this test's, not the model's."""
+    insults = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"}
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").filter("lang = 'en'").join(table(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    n = {r["doc_id"]: sum(w in insults for w in toxicity.tokens(r["text"])) for r in docs.collect()}
+    got = [(n[r["doc_id"]], r["severity"]) for r in QUERIES["op2_toxicity_severity"](spark, sf).collect() if r["held_out"] and n.get(r["doc_id"])]
+    pairs = [(a, b) for a in got for b in got if a[0] < b[0]]
+    assert len(got) > 60 and np.mean([a[1] < b[1] for a, b in pairs]) > 0.85
+    means = [np.mean([s for k, s in got if lo <= k < hi]) for lo, hi in ((1, 3), (3, 6), (6, 99))]
+    assert means[0] < means[1] < means[2]
+
+
 def test_ordinal_shares_weights_and_orders_thresholds():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, size=(3000, 3)).astype(float)
@@ -158,6 +173,48 @@ def test_ordinal_shares_weights_and_orders_thresholds():
     assert w == pytest.approx([2.0, 1.0, 0.0], abs=0.3) and cuts == pytest.approx([0.5, 2.0, 3.5], abs=0.3) and (np.diff(cuts) > 0).all()
 
 
+def test_lasso_leaves_out_only_what_it_sets_to_zero():
+    """At the solution no column without a weight has a slope over the penalty, and the others' slopes equal it."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((800, 60)) < 0.2) * rng.random((800, 60))
+    y = np.digitize(x @ np.where(np.arange(60) < 4, 4.0, 0.0) + rng.logistic(size=800), [1.0, 3.0])
+    row, col = np.nonzero(x)
+    m = toxicity.Sparse(row, col, x[row, col], x.shape)
+    w, cuts = toxicity.fit_ordinal(m, y, 3, lasso=0.01, ridge=1e-3, steps=3000)
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts[None, :])))
+        full = np.concatenate((np.ones((800, 1)), p, np.zeros((800, 1))), axis=1)
+        return -np.log(full[np.arange(800), y] - full[np.arange(800), y + 1]).mean() + 5e-4 * (w @ w)
+
+    slope = np.array([(loss(w + e) - loss(w - e)) / 2e-5 for e in 1e-5 * np.eye(60)])
+    zero = w == 0
+    assert 3 < (~zero).sum() < 40 and (np.abs(slope[zero]) < 0.0102).all() and slope[~zero] == pytest.approx(-0.01 * np.sign(w[~zero]), abs=5e-4)
+
+
+def test_severity_row_by_row(spark):
+    """The whole query's columns on a small table, from the model's weights by plain code."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.choice(words, 30)) + (" scum idiotic" * int(1 + i % 3) + " Idiot" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    rows += [(1000, None, 0), (1001, "", 0), (1002, "idiot " * 5000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df, fold=1)
+    got = {r["doc_id"]: r for r in toxicity.severity(df.drop("toxic"), df.select("doc_id", "toxic"), fold=1).collect()}
+    assert model.weights and len(got) == len(rows)
+    for i, text, _ in rows:
+        count = {}
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            for f in [w] + ["^" + w[:n] for n in (4, 5) if len(w) > n]:
+                c = zlib.crc32(f.encode()) % (1 << 20)
+                count[c] = count.get(c, 0) + 1
+        z = sum(model.weights.get(c, 0.0) * math.log2(1 + n) for c, n in count.items())
+        p = [1 / (1 + math.exp(-(z - c))) for c in model.cuts]
+        r = got[i]
+        assert (r["severity"], r["score"]) == (pytest.approx(sum(p)), pytest.approx(p[0]))
+        assert r["predicted"] == (p[0] >= 0.5) and r["held_out"] == (remainder_of(i, 3) == 1)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame(EDGES, "doc_id long, text string, severity double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
