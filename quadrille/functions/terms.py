@@ -78,6 +78,33 @@ def canonical(c: Column, form: Form) -> Column:
     return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}{form.datatype}>'))
 
 
+def sql_type(form: Form) -> str:
+    """Type of the columns of inline data in this form; empty where inline data stays text."""
+    if form.kind == "iri":
+        return "long" if form.prefix else "string"
+    return {"string": "string", "integer": "long", "boolean": "boolean"}.get(form.datatype, "") if form.kind == "literal" else "string"
+
+
+def native(t: Term, form: Form):
+    """The value that spells a term in a form; None if there is none, so that no value of the form equals the term."""
+    if form.kind == "term":
+        return canonical_text(t)
+    if form.kind == "iri":
+        key = t.value.removeprefix(form.prefix) if isinstance(t, Iri) and t.value.startswith(form.prefix) else ""
+        return int(key) if key.isdigit() and str(int(key)) == key and int(key) < 1 << 63 else None
+    if not isinstance(t, Literal) or t.lang or (t.datatype or XSD + "string") != XSD + form.datatype:
+        return None
+    if form.datatype == "string":
+        return t.lex
+    if form.datatype == "boolean":
+        return {"true": True, "false": False}.get(t.lex)
+    return int(t.lex) if canonical_integer(t.lex) else None
+
+
+def canonical_integer(lex: str) -> bool:
+    return lex.lstrip("-").isdigit() and str(int(lex)) == lex and abs(int(lex)) < 1 << 63
+
+
 def is_iri(c: Column) -> Column:
     return c.startswith("<")
 

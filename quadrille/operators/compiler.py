@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import expressions as E
@@ -83,9 +83,7 @@ class Compiler:
         """Inline data; it is query text, so its size is the query's."""
         if not names:
             return Relation(self.spark.range(len(rows)).select(), {}, set())
-        data = [tuple(None if t is None else T.canonical_text(t) for t in r) for r in rows]
-        df = self.spark.createDataFrame(data, ", ".join(f"`{physical(n)}` string" for n in names))
-        return Relation(df, {n: T.TERM for n in names}, A.certain(A.Table(names, rows)))
+        return R.inlined(self.spark, tuple(names), tuple(rows), {n: T.TERM for n in names}, A.certain(A.Table(names, rows)))
 
     def _filter(self, conditions: tuple, rel: Relation) -> Relation:
         for c in conditions:
@@ -113,6 +111,13 @@ class Compiler:
         return R.semi_join(rel, self.compile(pattern), negated, test if conditions else None)
 
     def _group(self, op: A.Group) -> Relation:
+        counted = None
+        if not op.keys and isinstance(op.child, A.Bgp) and len(op.child.patterns) == 1 and all(
+                a.name == "COUNT" and a.arg is None and not a.distinct for _, a in op.aggregates):
+            counted = self.dataset.count(op.child.patterns[0])
+        if counted is not None:
+            df = counted.select(*[F.col("n").alias(physical(n)) for n, _ in op.aggregates])
+            return Relation(df, {n: T.literal("integer") for n, _ in op.aggregates}, {n for n, _ in op.aggregates})
         rel = self.compile(op.child)
         for name, e in op.keys:
             if e is not None:
@@ -139,10 +144,12 @@ class Compiler:
                 by = sort_keys(rel, inner.by)
             else:
                 by = sort_keys(rel, inner.by)
-        df = rel.df.orderBy(*by, *rel.order()) if rel.forms else rel.df
-        if offset:
-            df = df.offset(offset)
-        df = df if limit is None else df.limit(limit)
+        if offset and limit is None and rel.forms and not by:
+            df = after(rel, offset)
+        else:
+            df = rel.df.orderBy(*by, *rel.order()) if rel.forms else rel.df
+            df = df.offset(offset) if offset else df
+            df = df if limit is None else df.limit(limit)
         out = Relation(df, rel.forms, rel.certain)
         return project(out, child.vars) if isinstance(child, A.Project) else out
 
@@ -165,6 +172,44 @@ class Compiler:
         return out if left is None else R.join(left, out)
 
 
+#: Solutions that one task ranks at once to find where an offset ends.
+RANKED = 500_000
+
+
+def after(rel: Relation, offset: int) -> DataFrame:
+    """All solutions but the first ``offset`` in the order of all variables, without a total order of them.
+
+    The last solution to skip is found by top-k jobs of up to ``RANKED`` rows, one row of each of which comes to the
+    driver.  What follows it in the order passes a test, and of its equals, solutions of a bag, the rest are kept.
+    """
+    names = sorted(rel.forms)
+    key = F.array(*[rel.canonical(n) for n in names])
+    df, mark, skipped = rel.df.withColumn("k:", key), None, 0
+
+    def literal(k: list) -> Column:
+        return F.array(*[F.lit(x).cast("string") for x in k])
+
+    while offset > 0:
+        left = df if mark is None else df.filter(F.col("`k:`") > literal(mark))
+        head = left.select("k:").orderBy("k:").limit(min(offset, RANKED))
+        last = head.agg(F.max("`k:`").alias("k"), F.count(F.lit(1)).alias("n")).first()
+        if last["k"] is None:
+            return rel.df.limit(0)
+        equal = F.col("`k:`") == literal(last["k"])
+        here = F.col("`k:`").eqNullSafe(literal(last["k"])) if any(x is None for x in last["k"]) else equal
+        skipped = head.filter(here).count()
+        mark, offset = last["k"], offset - last["n"]
+        if offset > 0:  # the equals of the mark that were not ranked are next
+            every = df.filter(here).count()
+            more = min(offset, every - skipped)
+            offset, skipped = offset - more, skipped + more
+    later = df.filter(F.col("`k:`") > literal(mark))
+    same = df.filter(here)
+    every = same.count()
+    out = later if every == skipped else later.unionByName(same.limit(every - skipped))
+    return out.drop("k:")
+
+
 def extend(rel: Relation, name: str, e: Any) -> Relation:
     c, form = E.form_of(E.evaluate(e, rel.env()))
     if isinstance(e, A.Var) and e.name in rel.vars:

@@ -171,6 +171,10 @@ def _keyed(rel: Relation, shared: set[str], i: int, copies: bool) -> Relation:
     return Relation(rel.df.withColumn(_key(i), key), rel.forms, rel.certain, rel.extra + [_key(i)])
 
 
+def _array(key: list) -> Column:
+    return F.array(*[F.lit(x).cast("string") for x in key])
+
+
 def _condition(e: Any):
     return None if e is None else lambda env: F.coalesce(E.ebv(E.evaluate(e, env)), F.lit(False))
 
@@ -180,8 +184,11 @@ def _copies(engine: Engine, op: Any) -> bool:
     return not (isinstance(op, A.Bgp) and getattr(engine.dataset, "is_set", False))
 
 
-def _prefixes(engine: Engine, b: Branch) -> list[tuple[int, Relation]]:
-    """For each step but bindings, its index and the solutions of all steps up to it and of bindings right after it."""
+def _prefixes(engine: Engine, b: Branch, mark: list | None = None) -> list[tuple[int, Relation]]:
+    """For each step but bindings, its index and the solutions of all steps up to it and of bindings right after it.
+
+    With a ``mark``, only from the outermost step's matches up to that key.
+    """
     rel = R.unit(engine.dataset.spark)
     out: list[tuple[int, Relation]] = []
     if not any(s.kind != "bind" for s in b.steps):
@@ -193,6 +200,8 @@ def _prefixes(engine: Engine, b: Branch) -> list[tuple[int, Relation]]:
             out = out[:-1] + [(out[-1][0], rel)] if out else out
             continue
         right = _keyed(engine.relation(s.op), A.visible(s.op) & rel.vars, i, _copies(engine, s.op))
+        if mark is not None and not out:
+            right = right.filter(F.col(f"`{_key(i)}`") <= _array(mark))
         if s.kind == "inner":
             rel = R.join(rel, right)
         else:
@@ -219,12 +228,61 @@ def _passes(engine: Engine, rel: Relation, filters: tuple) -> Relation:
 
 
 def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, scans: bool) -> tuple[list[dict], _Node | None]:
-    """Solutions among the first ``limit`` nodes of the order; nodes are solutions, or with ``scans`` every step's matches."""
-    frames: list[DataFrame] = []
+    """Solutions among the first ``limit`` nodes of the order; nodes are solutions, or with ``scans`` every step's matches.
+
+    Solutions come branch by branch, and in a branch from the first matches of its outermost step: no later one can
+    come before theirs.  If they give too few, from eight times as many.
+    """
     steps = max([len(b.steps) for b in all_] + [1])
+    if scans:
+        got = _ordered(_nodes(engine, all_, names, steps, True), steps, limit + 1)
+    else:
+        got = []
+        for at, b in enumerate(all_):
+            got += _first_of(engine, b, at, names, steps, limit + 1 - len(got))
+            if len(got) > limit:
+                break
+    more = len(got) > limit
+    rows = [{n: r["o:" + n] if "o:" + n in r.__fields__ else None for n in names} for r in got[:limit] if r["ok"]]
+    if not more:
+        return rows, None
+    r = got[limit - 1]
+    keys = {k: r[_key(k)] for k in range(steps)}
+    return rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)
+
+
+def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int, limit: int) -> list:
+    """The first ``limit`` solutions of a branch."""
+    loops = [(i, s) for i, s in enumerate(b.steps) if s.kind != "bind"]
+    some = limit
+    while len(loops) > 1 and loops[0][1].kind == "inner":
+        i, s = loops[0]
+        bound = {x.var for x in b.steps[:i]}
+        outer = _keyed(engine.relation(s.op), A.visible(s.op) & bound, i, _copies(engine, s.op))
+        key = F.col(f"`{_key(i)}`")
+        last = outer.df.select(key.alias("k")).orderBy("k").limit(some).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
+        if last["n"] < some:
+            break
+        got = _ordered(_nodes(engine, [b], names, steps, False, at, last["k"]), steps, limit)
+        if len(got) >= limit:
+            return got
+        some *= 8
+    return _ordered(_nodes(engine, [b], names, steps, False, at), steps, limit)
+
+
+def _ordered(frames: list[DataFrame], steps: int, limit: int) -> list:
+    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    by: list[Column] = [F.col("b").asc(), *[F.col(f"`{_key(k)}`").asc_nulls_first() for k in range(steps)]]
+    return whole.orderBy(*by).limit(limit).collect()
+
+
+def _nodes(engine: Engine, all_: list[Branch], names: list[str], steps: int, scans: bool, base: int = 0,
+           mark: list | None = None) -> list[DataFrame]:
+    """Nodes of the branches, which are numbered from ``base`` on, as frames with their keys, bindings and outputs."""
+    frames: list[DataFrame] = []
     built = []
     for at, b in enumerate(all_):
-        prefixes = _prefixes(engine, b)
+        prefixes = _prefixes(engine, b, mark)
         for j, (i, rel) in enumerate(prefixes):
             last = j == len(prefixes) - 1
             if not last and not scans:
@@ -250,7 +308,7 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     for at, i, rel in built:
         binds = [s.var for s in all_[at].steps if s.kind == "bind" and s.var in rel.vars]
         terms = F.create_map(*[x for n in binds for x in (F.lit(n), rel.canonical(n))]) if binds else F.create_map()
-        cols = [F.lit(at).alias("b"), F.lit(i).alias("i"), "ok", terms.cast("map<string,string>").alias("terms")]
+        cols = [F.lit(base + at).alias("b"), F.lit(i).alias("i"), "ok", terms.cast("map<string,string>").alias("terms")]
         for k in range(steps):
             has = _key(k) in rel.df.columns
             cols.append((F.col(f"`{_key(k)}`") if has else F.lit(None).cast("array<string>")).alias(_key(k)))
@@ -259,16 +317,7 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
                 continue
             cols.append(rel.canonical(n).alias("o:" + n))
         frames.append(rel.df.select(*cols))
-    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
-    by: list[Column] = [F.col("b").asc(), *[F.col(f"`{_key(k)}`").asc_nulls_first() for k in range(steps)]]
-    got = whole.orderBy(*by).limit(limit + 1).collect()
-    more = len(got) > limit
-    rows = [{n: r["o:" + n] if "o:" + n in r.__fields__ else None for n in names} for r in got[:limit] if r["ok"]]
-    if not more:
-        return rows, None
-    r = got[limit - 1]
-    keys = {k: r[_key(k)] for k in range(steps)}
-    return rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)
+    return frames
 
 
 def _terms(b: Branch, keys: dict[int, list[str] | None]) -> dict[str, str | None]:

@@ -26,13 +26,15 @@ def col(name: str) -> Column:
 class Relation:
     """``df`` has a column for each variable in ``forms``; those in ``certain`` are never null.
 
-    ``extra`` names further columns, such as ranks, that joins carry along.
+    ``extra`` names further columns, such as ranks, that joins carry along.  ``inline`` are the names and rows of terms
+    of a relation that is inline data and nothing else.
     """
 
     df: DataFrame
     forms: dict[str, T.Form]
     certain: set[str]
     extra: list[str] = field(default_factory=list)
+    inline: tuple[tuple[str, ...], tuple] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -73,6 +75,45 @@ def unit(spark: SparkSession) -> Relation:
     return Relation(spark.range(1).select(), {}, set())
 
 
+#: Up to so many different values of inline data become a test that reaches the scans.
+PUSHED_VALUES = 1_000
+
+
+def inlined(spark: SparkSession, names: tuple[str, ...], rows: tuple, forms: dict[str, T.Form], certain: set[str]) -> Relation:
+    """Inline data with each variable in its form; a row with a term that a form cannot spell is left out."""
+    data = []
+    for r in rows:
+        values = [None if t is None else T.native(t, forms[n]) for n, t in zip(names, r)]
+        if all(t is None or v is not None for t, v in zip(r, values)):
+            data.append(tuple(values))
+    schema = ", ".join(f"`{physical(n)}` {T.sql_type(forms[n])}" for n in names)
+    return Relation(spark.createDataFrame(data, schema), forms, certain, [], (names, rows))
+
+
+def met(a: Relation, b: Relation) -> Relation:
+    """Inline data ``a``, as it has to be spelled to meet ``b`` natively; rows that cannot meet it are left out."""
+    names, rows = a.inline
+    types = dict(b.df.dtypes)
+    forms = dict(a.forms)
+    for n in names:
+        if n in b.certain and a.forms[n] == T.TERM and b.forms[n] != T.TERM:
+            kind, held = T.sql_type(b.forms[n]), types[physical(n)]
+            if kind == held or kind == "long" and held in ("bigint", "int", "smallint"):
+                forms[n] = b.forms[n]
+    return a if forms == a.forms else inlined(a.spark, names, rows, forms, a.certain)
+
+
+def _pushed(b: Relation, a: Relation) -> Relation:
+    """``b`` with the values that inline data ``a`` allows as tests of their own, which Catalyst takes to the scans."""
+    names, rows = a.inline
+    for at, n in enumerate(names):
+        if n in b.certain and n in a.certain and b.forms[n] == a.forms[n]:
+            values = {T.native(r[at], a.forms[n]) for r in rows} - {None}
+            if len(values) <= PUSHED_VALUES:
+                b = b.filter(col(n).isin(*sorted(values, key=str)))
+    return b
+
+
 def aligned(a: Relation, b: Relation, names: set[str]) -> tuple[Relation, Relation]:
     """Both with one form for each of ``names``: their own where it is the same, so that native keys join natively."""
     differ = {n for n in names if a.forms[n] != b.forms[n]}
@@ -112,40 +153,54 @@ def join(a: Relation, b: Relation) -> Relation:
     """Every pair of compatible solutions.
 
     Variables that either side may leave unbound split that side into the solutions that bind them and the rest, so
-    that all joins stay joins on keys.
+    that all joins stay joins on keys.  Inline data is spelled as the other side is, and tests its scans.
     """
+    if a.inline and not b.inline:
+        native = met(a, b)
+        return _joined(native, _pushed(b, native)).as_terms(a.vars)
+    if b.inline and not a.inline:
+        native = met(b, a)
+        return _joined(_pushed(a, native), native).as_terms(b.vars)
+    return _joined(a, b)
+
+
+def _joined(a: Relation, b: Relation) -> Relation:
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
     for n in sorted(shared - a.certain):
         bound, free = _split(a, n)
-        return union(join(bound, b), join(free, b))
+        return union(_joined(bound, b), _joined(free, b))
     for n in sorted(shared - b.certain):
         bound, free = _split(b, n)
-        return union(join(a, bound), join(a, free))
+        return union(_joined(a, bound), _joined(a, free))
     df, right = _renamed(b, shared)
     on = _all([col(n) == right[n] for n in sorted(shared)])
     joined = a.df.crossJoin(df) if on is None else a.df.join(df, on, "inner")
     return _merged(joined, a, b, shared, right, True)
 
 
-def _compatible(a: Relation, b: Relation, shared: set[str], right: dict[str, Column]) -> list[Column]:
-    out = []
-    for n in sorted(shared):
-        test = col(n) == right[n]
-        test = test if n in a.certain else test | col(n).isNull()
-        out.append(test if n in b.certain else test | right[n].isNull())
-    return out
+def _on(shared: set[str], right: dict[str, Column]) -> list[Column]:
+    return [col(n) == right[n] for n in sorted(shared)]
 
 
 def left_join(a: Relation, b: Relation, condition=None) -> Relation:
-    """Solutions of ``a`` extended by each compatible one of ``b`` for which ``condition(env)`` holds, or else alone."""
+    """Solutions of ``a`` extended by each compatible one of ``b`` for which ``condition(env)`` holds, or else alone.
+
+    Where ``b`` may leave a shared variable unbound, the matches are those of :func:`join`, which joins on keys, and
+    the rest those of :func:`semi_join`.
+    """
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
     for n in sorted(shared - a.certain):
         bound, free = _split(a, n)
         return union(left_join(bound, b, condition), left_join(free, b, condition))
+    if not shared <= b.certain:
+        found = join(a, b)
+        found = found if condition is None else found.filter(condition(found.env()))
+        out = union(found, semi_join(a, b, True, condition))
+        return Relation(out.df, out.forms, a.certain, a.extra + b.extra)
     df, right = _renamed(b, shared)
-    tests = _compatible(a, b, shared, right)
+    tests = _on(shared, right)
     if condition is not None:
         tests.append(condition({**b.env(), **a.env()}))
     joined = a.df.join(df, _all(tests) if tests else F.lit(True), "left")
@@ -153,25 +208,47 @@ def left_join(a: Relation, b: Relation, condition=None) -> Relation:
 
 
 def semi_join(a: Relation, b: Relation, anti: bool = False, condition=None) -> Relation:
-    """Solutions of ``a`` with (or, ``anti``, without) a compatible one of ``b`` for which ``condition(env)`` holds."""
+    """Solutions of ``a`` with (or, ``anti``, without) a compatible one of ``b`` for which ``condition(env)`` holds.
+
+    Sides that may leave a shared variable unbound are split, so that every join has keys: anti joins follow each
+    other, and a semi join adds to one part's what the other part finds among the rest.
+    """
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
+    for n in sorted(shared - a.certain):
+        bound, free = _split(a, n)
+        return _as(union(semi_join(bound, b, anti, condition), semi_join(free, b, anti, condition)), a)
+    for n in sorted(shared - b.certain):
+        bound, free = _split(b, n)
+        rest = semi_join(a, bound, True, condition)
+        if anti:
+            return semi_join(rest, free, True, condition)
+        return _as(union(semi_join(a, bound, False, condition), semi_join(rest, free, False, condition)), a)
     df, right = _renamed(b, shared)
-    tests = _compatible(a, b, shared, right)
+    tests = _on(shared, right)
     if condition is not None:
         tests.append(condition({**b.env(), **a.env()}))
+    elif not tests:
+        df = df.limit(1)  # any solution at all will do
     on = _all(tests) if tests else F.lit(True)
     return Relation(a.df.join(df, on, "left_anti" if anti else "left_semi"), a.forms, a.certain, a.extra)
 
 
+def _as(out: Relation, a: Relation) -> Relation:
+    return Relation(out.df, out.forms, a.certain, a.extra)
+
+
 def minus(a: Relation, b: Relation) -> Relation:
-    """Solutions of ``a`` without a compatible one of ``b`` that shares a bound variable."""
+    """Solutions of ``a`` without a compatible one of ``b`` that shares a bound variable; by anti joins on keys."""
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
     if not shared:
         return a
+    for n in sorted(shared - a.certain):
+        bound, free = _split(a, n)
+        return _as(union(minus(bound, b), minus(free, b)), a)
+    for n in sorted(shared - b.certain):
+        bound, free = _split(b, n)
+        return minus(minus(a, bound), free)
     df, right = _renamed(b, shared)
-    tests = _compatible(a, b, shared, right)
-    if not shared & a.certain & b.certain:
-        tests.append(reduce(lambda x, y: x | y, [col(n).isNotNull() & right[n].isNotNull() for n in sorted(shared)]))
-    return Relation(a.df.join(df, _all(tests), "left_anti"), a.forms, a.certain, a.extra)
+    return Relation(a.df.join(df, _all(_on(shared, right)), "left_anti"), a.forms, a.certain, a.extra)

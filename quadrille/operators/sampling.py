@@ -31,6 +31,10 @@ def _draw(seed: int, step: int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
 
 
+#: Matches of a step without shared variables that one task ranks, about.
+RANKED = 100_000
+
+
 def _access(rel: Relation, shared: set[str]) -> Relation:
     """A step's matches with their rank under the shared variables and the number of them."""
     by = [rel.canonical(n) for n in sorted(shared)]
@@ -42,6 +46,28 @@ def _access(rel: Relation, shared: set[str]) -> Relation:
     return Relation(df, rel.forms, rel.certain, ["rank", "card"])
 
 
+def _whole(rel: Relation) -> tuple[DataFrame, DataFrame, int, int]:
+    """A step's matches dealt by hash into parts and ranked in each: they, the parts' ranges of whole ranks, their width and number.
+
+    Only the sizes of the parts come to the driver.  Whole ranks are looked up in cells of ``width`` ranks, each of which
+    few parts reach into.
+    """
+    total = rel.df.count()
+    parts = max(1, -(-total // RANKED))
+    terms = [rel.canonical(n) for n in sorted(rel.vars)]
+    dealt = rel.df.withColumn("part", F.pmod(F.xxhash64(*terms), F.lit(parts)).cast("int") if terms else F.lit(0))
+    sizes = dict(dealt.groupBy("part").count().collect())
+    ranked = dealt.withColumn("rank", F.row_number().over(
+        Window.partitionBy("part").orderBy(*[t.asc_nulls_first() for t in terms] or [F.lit(1)])).cast("long") - 1)
+    width, low, cells = max(1, -(-total // parts)), 0, []
+    for p in sorted(sizes):
+        high = low + sizes[p]
+        cells += [(c, p, low, high) for c in range(low // width, (high - 1) // width + 1)]
+        low = high
+    found = rel.spark.createDataFrame(cells, "`c:cell` long, `c:part` int, `c:low` long, `c:high` long")
+    return ranked, F.broadcast(found), width, low  # two cells a part at most
+
+
 def _step(walks: Relation, s: Step, at: int, compiler: Compiler, seed: int) -> Relation:
     op = s.op
     rel = compiler.compile(op)
@@ -54,16 +80,23 @@ def _step(walks: Relation, s: Step, at: int, compiler: Compiler, seed: int) -> R
         if not shared <= side.certain and side is rel:
             raise UnsupportedQuery("a walk through a step whose shared variables may be unbound")
     walks, rel = R.aligned(walks, rel, shared)
-    steps = _access(rel, shared)
-    keys = sorted(shared)
-    cards = steps.df.filter("rank = 0").select(*[R.col(n).alias("r:" + physical(n)) for n in keys], F.col("card").alias("c:card"))
-    on = reduce(lambda x, y: x & y, [R.col(n) == F.col(f"`r:{physical(n)}`") for n in keys]) if keys else F.lit(True)
-    df = walks.df.join(cards if keys else F.broadcast(cards), on, "left").drop(*["r:" + physical(n) for n in keys])
     alive = F.col(PROBABILITY) > 0
-    df = df.withColumn("c:pick", F.when(alive, F.floor(_draw(seed, at) * F.col("c:card"))))
-    picks = steps.df.withColumnsRenamed({physical(n): "r:" + physical(n) for n in keys}).drop("card")
-    on = reduce(lambda x, y: x & y, [R.col(n) == F.col(f"`r:{physical(n)}`") for n in keys], F.col("c:pick") == F.col("rank"))
-    df = df.join(picks, on, "left").drop("rank", "c:pick", *["r:" + physical(n) for n in keys])
+    keys = sorted(shared)
+    if keys:
+        steps = _access(rel, shared)
+        cards = steps.df.filter("rank = 0").select(*[R.col(n).alias("r:" + physical(n)) for n in keys], F.col("card").alias("c:card"))
+        on = reduce(lambda x, y: x & y, [R.col(n) == F.col(f"`r:{physical(n)}`") for n in keys])
+        df = walks.df.join(cards, on, "left").drop(*["r:" + physical(n) for n in keys])
+        df = df.withColumn("c:pick", F.when(alive, F.floor(_draw(seed, at) * F.col("c:card"))))
+        picks = steps.df.withColumnsRenamed({physical(n): "r:" + physical(n) for n in keys}).drop("card")
+        df = df.join(picks, on & (F.col("c:pick") == F.col("rank")), "left").drop("rank", "c:pick", *["r:" + physical(n) for n in keys])
+    else:
+        ranked, cells, width, total = _whole(rel)
+        df = walks.df.withColumns({"c:card": F.lit(total), "c:pick": F.when(alive, F.floor(_draw(seed, at) * total))})
+        pick = F.col("c:pick")
+        df = df.join(cells, (F.floor(pick / width) == F.col("c:cell")) & (pick >= F.col("c:low")) & (pick < F.col("c:high")), "left")
+        df = df.join(ranked, (F.col("c:part") == F.col("part")) & (pick - F.col("c:low") == F.col("rank")), "left")
+        df = df.drop("rank", "part", "c:pick", "c:cell", "c:part", "c:low", "c:high")
     p = F.when(F.col("c:card") > 0, F.col(PROBABILITY) / F.col("c:card"))
     p = F.coalesce(p, F.col(PROBABILITY) if s.kind == "optional" else F.lit(0.0))
     df = df.withColumn(PROBABILITY, F.when(alive, p).otherwise(0.0)).drop("c:card")

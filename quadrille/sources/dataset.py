@@ -27,6 +27,10 @@ class Dataset:
         """Number of matches of each pattern by its constants alone."""
         raise NotImplementedError
 
+    def count(self, pattern: A.Pattern) -> DataFrame | None:
+        """One row with the number of matches, n, where that is known without building them."""
+        return None
+
     def bgp(self, patterns: tuple[A.Pattern, ...]) -> Relation:
         scans = [self.scan(p) for p in patterns]
         return reduce(R.join, scans) if scans else R.unit(self.spark)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
@@ -26,7 +26,7 @@ _TYPES = {"int": "integer", "bigint": "integer", "smallint": "integer", "double"
 
 @dataclass(frozen=True)
 class Mapped:
-    """A table's key columns, and its foreign keys by column.  ``numbered``: the key repeats, so rows under it are numbered."""
+    """A table's key columns, and its foreign keys by column.  ``numbered``: the key repeats, so a hash of the rest of the row follows it."""
 
     keys: tuple[str, ...]
     refs: dict[str, str] = field(default_factory=dict)
@@ -77,8 +77,9 @@ class RelationalDataset(Dataset):
             return F.col(m.keys[0]), form
         parts = [F.col(k).cast("string") for k in m.keys]
         if m.numbered:
+            # a hash of the rest of the row tells rows of one key apart, without looking at any other row
             others = [c for c in self.frame(name).columns if c not in m.keys]
-            parts.append(F.row_number().over(Window.partitionBy(*m.keys).orderBy(*others)).cast("string"))
+            parts.append(F.lower(F.hex(F.xxhash64(*others))))
         return F.concat_ws("/", *parts), form
 
     def objects(self, name: str) -> dict[str, tuple[str | None, T.Form]]:
@@ -160,9 +161,6 @@ class RelationalDataset(Dataset):
                 return other == c if its == form else T.canonical(other, its) == T.canonical(c, form)
             return _equals(c, form, t)
 
-        if self.tables[name].numbered:
-            df = df.withColumn("s:key", subject)
-            subject = F.col("`s:key`")
         tests, seen = [], set()
         for p in patterns:
             column, form = objects[p.p.value]
@@ -206,6 +204,18 @@ class RelationalDataset(Dataset):
 
         return QuadDataset(df).scan(p)
 
+    def count(self, pattern: A.Pattern) -> DataFrame | None:
+        """For a pattern of different variables alone: values that are there, by table and column, and a type for each row."""
+        terms = [t for _, t in pattern.parts() if t is not None]
+        if not all(isinstance(t, A.Var) for t in terms) or len({t.name for t in terms}) < len(terms):
+            return None
+        counts = []
+        for name in self.tables:
+            columns = [c for c, _ in self.objects(name).values()]
+            here = [F.count(F.lit(1)) if c is None else F.count(F.col(c)) for c in columns]
+            counts.append(self.frame(name).agg(reduce(lambda x, y: x + y, here).alias("n")))
+        return reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("n"))
+
     def quads(self) -> DataFrame:
         """Every statement as a row, for export and sampling."""
         whole = A.Pattern(A.Var("s"), A.Var("p"), A.Var("o"), A.Var("g"))
