@@ -231,7 +231,7 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     """Solutions among the first ``limit`` nodes of the order; nodes are solutions, or with ``scans`` every step's matches.
 
     Solutions come branch by branch, and in a branch from the first matches of its outermost step: no later one can
-    come before theirs.  If they give too few, from eight times as many.
+    come before theirs.  If they give too few, eight times as many are tried.
     """
     steps = max([len(b.steps) for b in all_] + [1])
     if scans:
@@ -254,7 +254,7 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
 def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int, limit: int) -> list:
     """The first ``limit`` solutions of a branch."""
     loops = [(i, s) for i, s in enumerate(b.steps) if s.kind != "bind"]
-    some = limit
+    some = _outer_matches(engine, [s for _, s in loops], limit)
     while len(loops) > 1 and loops[0][1].kind == "inner":
         i, s = loops[0]
         bound = {x.var for x in b.steps[:i]}
@@ -270,6 +270,15 @@ def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int,
     return _ordered(_nodes(engine, [b], names, steps, False, at), steps, limit)
 
 
+def _outer_matches(engine: Engine, steps: list[Step], limit: int) -> int:
+    """How many of the outermost step's matches to try first: half as many again as are needed if each gives as many
+    solutions as the largest step has matches for it; ``limit`` where sizes are not known."""
+    if not all(isinstance(s.op, A.Bgp) and len(s.op.patterns) == 1 for s in steps):
+        return limit
+    sizes = engine.dataset.cardinalities([s.op.patterns[0] for s in steps])
+    return max(1, min(limit, -(-3 * limit * max(1, sizes[0]) // (2 * max(1, *sizes))))) if sizes else limit
+
+
 def _ordered(frames: list[DataFrame], steps: int, limit: int) -> list:
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     by: list[Column] = [F.col("b").asc(), *[F.col(f"`{_key(k)}`").asc_nulls_first() for k in range(steps)]]

@@ -27,7 +27,8 @@ class Relation:
     """``df`` has a column for each variable in ``forms``; those in ``certain`` are never null.
 
     ``extra`` names further columns, such as ranks, that joins carry along.  ``inline`` are the names and rows of terms
-    of a relation that is inline data and nothing else.
+    of a relation that is inline data and nothing else.  ``parts`` are relations that it is the union of, where they are
+    known: each may be certain of variables that the whole is not.
     """
 
     df: DataFrame
@@ -35,6 +36,7 @@ class Relation:
     certain: set[str]
     extra: list[str] = field(default_factory=list)
     inline: tuple[tuple[str, ...], tuple] | None = None
+    parts: list[Relation] = field(default_factory=list)
 
     @property
     def spark(self) -> SparkSession:
@@ -146,7 +148,26 @@ def union(a: Relation, b: Relation) -> Relation:
     """Bag union; a variable of one side is unbound in the other's solutions."""
     a, b = aligned(a, b, a.vars & b.vars)
     df = a.df.unionByName(b.df, allowMissingColumns=True)
-    return Relation(df, b.forms | a.forms, a.certain & b.certain, a.extra)
+    parts = (a.parts or [a]) + (b.parts or [b])
+    return Relation(df, b.forms | a.forms, a.certain & b.certain, a.extra, None, [] if a.extra or b.extra else parts)
+
+
+def _parts(r: Relation, shared: set[str]) -> list[Relation]:
+    """Relations that ``r`` is the union of and that are certain of more of the shared variables, or [] if it is of all.
+
+    The parts that it was made of, where they are known, and else the solutions that bind a variable and the others.
+    """
+    unsure = sorted((shared & r.vars) - r.certain)
+    if not unsure:
+        return []
+    if r.inline:
+        names, rows = r.inline
+        kinds: dict[tuple, list] = {}
+        for row in rows:
+            kinds.setdefault(tuple(n for n, t in zip(names, row) if t is not None), []).append(tuple(t for t in row if t is not None))
+        return [inlined(r.spark, k, tuple(v), {n: r.forms[n] for n in k}, set(k)) for k, v in kinds.items() if k] + [
+            Relation(r.spark.range(len(v)).select(), {}, set()) for k, v in kinds.items() if not k]
+    return r.parts if len(r.parts) > 1 else list(_split(r, unsure[0]))
 
 
 def join(a: Relation, b: Relation) -> Relation:
@@ -165,14 +186,12 @@ def join(a: Relation, b: Relation) -> Relation:
 
 
 def _joined(a: Relation, b: Relation) -> Relation:
+    if parts := _parts(a, b.vars):
+        return reduce(union, [join(p, b) for p in parts])
+    if parts := _parts(b, a.vars):
+        return reduce(union, [join(a, p) for p in parts])
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
-    for n in sorted(shared - a.certain):
-        bound, free = _split(a, n)
-        return union(_joined(bound, b), _joined(free, b))
-    for n in sorted(shared - b.certain):
-        bound, free = _split(b, n)
-        return union(_joined(a, bound), _joined(a, free))
     df, right = _renamed(b, shared)
     on = _all([col(n) == right[n] for n in sorted(shared)])
     joined = a.df.crossJoin(df) if on is None else a.df.join(df, on, "inner")
@@ -189,16 +208,14 @@ def left_join(a: Relation, b: Relation, condition=None) -> Relation:
     Where ``b`` may leave a shared variable unbound, the matches are those of :func:`join`, which joins on keys, and
     the rest those of :func:`semi_join`.
     """
-    a, b = aligned(a, b, a.vars & b.vars)
-    shared = a.vars & b.vars
-    for n in sorted(shared - a.certain):
-        bound, free = _split(a, n)
-        return union(left_join(bound, b, condition), left_join(free, b, condition))
-    if not shared <= b.certain:
+    if parts := _parts(a, b.vars):
+        return _as(reduce(union, [left_join(p, b, condition) for p in parts]), a, b.extra)
+    if not a.vars & b.vars <= b.certain:
         found = join(a, b)
         found = found if condition is None else found.filter(condition(found.env()))
-        out = union(found, semi_join(a, b, True, condition))
-        return Relation(out.df, out.forms, a.certain, a.extra + b.extra)
+        return _as(union(found, semi_join(a, b, True, condition)), a, b.extra)
+    a, b = aligned(a, b, a.vars & b.vars)
+    shared = a.vars & b.vars
     df, right = _renamed(b, shared)
     tests = _on(shared, right)
     if condition is not None:
@@ -213,17 +230,16 @@ def semi_join(a: Relation, b: Relation, anti: bool = False, condition=None) -> R
     Sides that may leave a shared variable unbound are split, so that every join has keys: anti joins follow each
     other, and a semi join adds to one part's what the other part finds among the rest.
     """
+    if parts := _parts(a, b.vars):
+        return _as(reduce(union, [semi_join(p, b, anti, condition) for p in parts]), a)
+    if parts := _parts(b, a.vars):
+        found, rest = [], a
+        for p in parts:
+            found.append(semi_join(rest, p, False, condition))
+            rest = semi_join(rest, p, True, condition)
+        return rest if anti else _as(reduce(union, found), a)
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
-    for n in sorted(shared - a.certain):
-        bound, free = _split(a, n)
-        return _as(union(semi_join(bound, b, anti, condition), semi_join(free, b, anti, condition)), a)
-    for n in sorted(shared - b.certain):
-        bound, free = _split(b, n)
-        rest = semi_join(a, bound, True, condition)
-        if anti:
-            return semi_join(rest, free, True, condition)
-        return _as(union(semi_join(a, bound, False, condition), semi_join(rest, free, False, condition)), a)
     df, right = _renamed(b, shared)
     tests = _on(shared, right)
     if condition is not None:
@@ -234,21 +250,19 @@ def semi_join(a: Relation, b: Relation, anti: bool = False, condition=None) -> R
     return Relation(a.df.join(df, on, "left_anti" if anti else "left_semi"), a.forms, a.certain, a.extra)
 
 
-def _as(out: Relation, a: Relation) -> Relation:
-    return Relation(out.df, out.forms, a.certain, a.extra)
+def _as(out: Relation, a: Relation, more: list[str] | None = None) -> Relation:
+    return Relation(out.df, out.forms, a.certain, a.extra + (more or []), None, out.parts)
 
 
 def minus(a: Relation, b: Relation) -> Relation:
     """Solutions of ``a`` without a compatible one of ``b`` that shares a bound variable; by anti joins on keys."""
+    if not a.vars & b.vars:
+        return a
+    if parts := _parts(a, b.vars):
+        return _as(reduce(union, [minus(p, b) for p in parts]), a)
+    if parts := _parts(b, a.vars):
+        return reduce(minus, parts, a)
     a, b = aligned(a, b, a.vars & b.vars)
     shared = a.vars & b.vars
-    if not shared:
-        return a
-    for n in sorted(shared - a.certain):
-        bound, free = _split(a, n)
-        return _as(union(minus(bound, b), minus(free, b)), a)
-    for n in sorted(shared - b.certain):
-        bound, free = _split(b, n)
-        return minus(minus(a, bound), free)
     df, right = _renamed(b, shared)
     return Relation(a.df.join(df, _all(_on(shared, right)), "left_anti"), a.forms, a.certain, a.extra)

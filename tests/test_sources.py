@@ -16,7 +16,7 @@ from quadrille.sources.relational import RelationalDataset
 from quadrille.sources.remote import RemoteService
 from quadrille.sources.results import from_json, to_json
 from quadrille.streaming.statements import match_stream, read_stream
-from tests.fixtures import graphs, nine, statements
+from tests.fixtures import GRAPHS, LINES, OPERATORS, RAIL, ROOT, as_lines, rail, rail_in_graphs
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +34,14 @@ def test_lines(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "x.nt").write_text("# comment\n\n" + statements("a p b\na p c"))
+    (tmp_path / "x.nt").write_text("# comment\n\n" + as_lines(LINES[:2]))
     registry = Registry(spark)
     d = registry.get(str(tmp_path / "x.nt"))
     assert d is registry.get(str(tmp_path / "x.nt")) and d.quads.count() == 2
-    write_quads(graphs(spark), str(tmp_path / "quads"))
+    write_quads(rail_in_graphs(spark), str(tmp_path / "quads"))
     back = Engine(read_quads(spark, str(tmp_path / "quads")))
-    assert back.execute("SELECT * { GRAPH ?g { ?p <http://address> ?c } }").count() == 5
-    plan = back.execute("SELECT ?p { ?p <http://address> ?c }")._jdf.queryExecution().executedPlan().toString()
+    assert back.execute(f"SELECT * {{ GRAPH ?g {{ ?line <{ROOT}calls> ?stop }} }}").count() == len(LINES) + 2
+    plan = back.execute(f"SELECT ?line {{ ?line <{ROOT}calls> ?stop }}")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pk" in plan
 
 
@@ -72,16 +72,16 @@ def test_scan_reads_only_its_columns(spark):
 
 
 def test_results_round_trip(spark):
-    e = Engine(nine(spark))
-    page = e.page("SELECT ?p (STRLEN(STR(?p)) AS ?n) { ?p <http://address> ?c }", Budget(max_results=2))
+    e = Engine(rail(spark))
+    page = e.page(f"SELECT ?line (STRLEN(STR(?line)) AS ?n) {{ ?line <{ROOT}operator> ?firm }}", Budget(max_results=2))
     names, rows, more = from_json(to_json(page.names, page.rows, page))
-    assert names == ["p", "n"] and rows == page.rows and more == page.next
+    assert names == ["line", "n"] and rows == page.rows and more == page.next
     assert "metadata" not in json.loads(to_json(names, rows))
     assert json.loads(to_json(["x"], [{"x": 3}, {"x": None}, {"x": True}]))["results"]["bindings"][1] == {}
 
 
 def test_endpoint(spark):
-    e = Engine(nine(spark))
+    e = Engine(rail(spark))
     server = serve({"pages": Endpoint(e, "pages", Budget(max_results=2)), "walks": Endpoint(e, "walks", attempts=20), "whole": Endpoint(e, "whole")}, 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     root = f"http://127.0.0.1:{server.server_address[1]}"
@@ -89,18 +89,18 @@ def test_endpoint(spark):
     def get(name, **args):
         return urllib.request.urlopen(f"{root}/{name}?{urllib.parse.urlencode(args)}").read().decode()
 
-    text, rows = "SELECT ?p ?c { ?p <http://address> ?c }", []
+    text, rows = f"SELECT ?line ?stop {{ ?line <{ROOT}calls> ?stop }}", []
     while text:
         _, got, text = from_json(get("pages", query=text, limit=100))
         assert len(got) <= 2  # a request cannot raise the server's limit
         rows += got
-    assert len(rows) == 3
-    assert len(from_json(get("whole", query="SELECT * { ?s ?p ?o }"))[1]) == 9
+    assert len(rows) == len(LINES)
+    assert len(from_json(get("whole", query="SELECT * { ?s ?p ?o }"))[1]) == len(RAIL)
     assert len(from_json(get("walks", query="SELECT * { ?s ?p ?o }", attempts=7))[1]) == 7
     assert get("pages") == DESCRIPTION
-    remote = Engine(graphs(spark), Services({f"{root}/pages": RemoteService(spark, f"{root}/pages")}))
-    far = remote.execute(f"SELECT * {{ GRAPH <http://Carol> {{ ?p <http://address> ?c }} SERVICE <{root}/pages> {{ ?p <http://own> ?a }} }}")
-    assert far.count() == 3  # over two pages of the server
+    remote = Engine(rail_in_graphs(spark), Services({f"{root}/pages": RemoteService(spark, f"{root}/pages")}))
+    far = remote.execute(f"SELECT * {{ GRAPH <{ROOT}companies> {{ ?line <{ROOT}operator> ?firm }} SERVICE <{root}/pages> {{ ?line <{ROOT}calls> ?stop }} }}")
+    assert far.count() == len(LINES)  # over three pages of the server
     with pytest.raises(urllib.error.HTTPError):
         get("pages", query="SELECT")
     server.shutdown()
@@ -108,11 +108,11 @@ def test_endpoint(spark):
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.nt").write_text(statements("Alice address nantes\nBob address paris"))
-    found = match_stream(read_stream(spark, str(tmp_path / "in")), "SELECT ?p { ?p <http://address> ?c FILTER(?c != <http://paris>) }")
+    (tmp_path / "in" / "a.nt").write_text(as_lines(OPERATORS[:2]))
+    found = match_stream(read_stream(spark, str(tmp_path / "in")), f"SELECT ?line {{ ?line <{ROOT}operator> ?firm FILTER(?firm != <{ROOT}South>) }}")
     q = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
-    (tmp_path / "in" / "b.nt").write_text(statements("Carol address nantes"))
+    (tmp_path / "in" / "b.nt").write_text(as_lines(OPERATORS[2:]))
     q.processAllAvailable()
     q.stop()
-    assert {r["p"] for r in spark.sql("SELECT * FROM found").collect()} == {"<http://Alice>", "<http://Carol>"}
+    assert {r["line"] for r in spark.sql("SELECT * FROM found").collect()} == {f"<{ROOT}{x}>" for x in ("L1", "L3", "L4")}
