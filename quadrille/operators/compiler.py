@@ -145,7 +145,7 @@ class Compiler:
             else:
                 by = sort_keys(rel, inner.by)
         if offset and limit is None and rel.forms and not by:
-            df = after(rel, offset)
+            df = after(rel, offset, self.dataset.marks, (child, offset))
         else:
             df = rel.df.orderBy(*by, *rel.order()) if rel.forms else rel.df
             df = df.offset(offset) if offset else df
@@ -176,38 +176,36 @@ class Compiler:
 RANKED = 500_000
 
 
-def after(rel: Relation, offset: int) -> DataFrame:
+def after(rel: Relation, offset: int, known: dict, op: Any) -> DataFrame:
     """All solutions but the first ``offset`` in the order of all variables, without a total order of them.
 
     The last solution to skip is found by top-k jobs of up to ``RANKED`` rows, one row of each of which comes to the
-    driver.  What follows it in the order passes a test, and of its equals, solutions of a bag, the rest are kept.
+    driver; ``known`` remembers it for ``op``.  What follows it in the order passes a test, and of its equals, solutions
+    of a bag, the rest are kept.
     """
-    names = sorted(rel.forms)
-    key = F.array(*[rel.canonical(n) for n in names])
-    df, mark, skipped = rel.df.withColumn("k:", key), None, 0
-
-    def literal(k: list) -> Column:
-        return F.array(*[F.lit(x).cast("string") for x in k])
-
-    while offset > 0:
-        left = df if mark is None else df.filter(F.col("`k:`") > literal(mark))
-        head = left.select("k:").orderBy("k:").limit(min(offset, RANKED))
-        last = head.agg(F.max("`k:`").alias("k"), F.count(F.lit(1)).alias("n")).first()
-        if last["k"] is None:
-            return rel.df.limit(0)
-        equal = F.col("`k:`") == literal(last["k"])
-        here = F.col("`k:`").eqNullSafe(literal(last["k"])) if any(x is None for x in last["k"]) else equal
-        skipped = head.filter(here).count()
-        mark, offset = last["k"], offset - last["n"]
-        if offset > 0:  # the equals of the mark that were not ranked are next
-            every = df.filter(here).count()
-            more = min(offset, every - skipped)
-            offset, skipped = offset - more, skipped + more
-    later = df.filter(F.col("`k:`") > literal(mark))
-    same = df.filter(here)
-    every = same.count()
-    out = later if every == skipped else later.unionByName(same.limit(every - skipped))
-    return out.drop("k:")
+    df = rel.df.withColumn("k:", F.array(*[rel.canonical(n) for n in sorted(rel.forms)]))
+    key = F.col("`k:`")
+    literal = lambda k: F.array(*[F.lit(x).cast("string") for x in k])
+    if op not in known:
+        mark, left = None, offset
+        while left > 0:
+            head = (df if mark is None else df.filter(key > literal(mark))).select("k:").orderBy("k:").limit(min(left, RANKED))
+            last = head.agg(F.max(key).alias("k"), F.count(F.lit(1)).alias("n")).first()
+            if last["k"] is None:
+                mark, more = None, 0
+                break
+            mark = last["k"]
+            equal = key.eqNullSafe(literal(mark))
+            skipped, every = head.filter(equal).count(), df.filter(equal).count()
+            left -= last["n"]
+            more = min(left, every - skipped)  # equals of the mark that were not ranked are next
+            left, more = left - more, every - skipped - more
+        known[op] = mark, more
+    mark, more = known[op]
+    if mark is None:
+        return rel.df.limit(0)
+    later = df.filter(key > literal(mark))
+    return (later.unionByName(df.filter(key.eqNullSafe(literal(mark))).limit(more)) if more else later).drop("k:")
 
 
 def extend(rel: Relation, name: str, e: Any) -> Relation:

@@ -237,11 +237,18 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     if scans:
         got = _ordered(_nodes(engine, all_, names, steps, True), steps, limit + 1)
     else:
-        got = []
-        for at, b in enumerate(all_):
-            got += _first_of(engine, b, at, names, steps, limit + 1 - len(got))
-            if len(got) > limit:
-                break
+        got, at = [], 0
+        while at < len(all_) and len(got) <= limit:
+            some = _outer_matches(engine, all_[at], limit + 1)
+            if some is not None:
+                got += _first_of(engine, all_[at], at, names, steps, limit + 1 - len(got), some)
+                at += 1
+                continue
+            end = at + 1  # branches of small steps are one job
+            while end < len(all_) and _outer_matches(engine, all_[end], limit + 1) is None:
+                end += 1
+            got += _ordered(_nodes(engine, all_[at:end], names, steps, False, at), steps, limit + 1 - len(got))
+            at = end
     more = len(got) > limit
     rows = [{n: r["o:" + n] if "o:" + n in r.__fields__ else None for n in names} for r in got[:limit] if r["ok"]]
     if not more:
@@ -251,15 +258,15 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
     return rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)
 
 
-def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int, limit: int) -> list:
-    """The first ``limit`` solutions of a branch."""
-    loops = [(i, s) for i, s in enumerate(b.steps) if s.kind != "bind"]
-    some = _outer_matches(engine, [s for _, s in loops], limit)
-    while len(loops) > 1 and loops[0][1].kind == "inner":
-        i, s = loops[0]
+def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int, limit: int, some: int) -> list:
+    """The first ``limit`` solutions of a branch, from its first ``some`` outermost matches at first."""
+    i, s = next((i, s) for i, s in enumerate(b.steps) if s.kind != "bind")
+    while True:
         bound = {x.var for x in b.steps[:i]}
         outer = _keyed(engine.relation(s.op), A.visible(s.op) & bound, i, _copies(engine, s.op))
         key = F.col(f"`{_key(i)}`")
+        own = [f for f in b.filters if A.expression_vars(f) <= outer.certain and _repeatable(f)]
+        outer = _passes(engine, outer, tuple(own))  # only those can be solutions
         last = outer.df.select(key.alias("k")).orderBy("k").limit(some).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
         if last["n"] < some:
             break
@@ -270,13 +277,37 @@ def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int,
     return _ordered(_nodes(engine, [b], names, steps, False, at), steps, limit)
 
 
-def _outer_matches(engine: Engine, steps: list[Step], limit: int) -> int:
-    """How many of the outermost step's matches to try first: half as many again as are needed if each gives as many
-    solutions as the largest step has matches for it; ``limit`` where sizes are not known."""
-    if not all(isinstance(s.op, A.Bgp) and len(s.op.patterns) == 1 for s in steps):
-        return limit
-    sizes = engine.dataset.cardinalities([s.op.patterns[0] for s in steps])
-    return max(1, min(limit, -(-3 * limit * max(1, sizes[0]) // (2 * max(1, *sizes))))) if sizes else limit
+def _repeatable(e: Any) -> bool:
+    """Whether an expression has one value, by the solution alone, each time it is asked."""
+    seen: list[Any] = []
+    A.rebuild(e, lambda x: seen.append(x) or x)
+    return not any(isinstance(x, A.Exists) or isinstance(x, A.Call) and x.name in ("RAND", "UUID", "STRUUID", "BNODE") for x in seen)
+
+
+#: Branches whose steps have no more matches than this, or so many times a page, are run whole.
+SMALL, SMALL_PAGES = 10_000, 8
+
+
+def _outer_matches(engine: Engine, b: Branch, limit: int) -> int | None:
+    """How many of the outermost step's matches to try first; None if that is not worth a job of its own.
+
+    Half as many again as are needed if each gives as many solutions as the largest step has matches for it.
+    """
+    loops = [s for s in b.steps if s.kind != "bind"]
+    patterns = [_pattern(s.op) for s in loops]
+    if len(loops) < 2 or loops[0].kind != "inner" or patterns[0] is None:
+        return None
+    sizes = engine.dataset.cardinalities([p for p in patterns if p is not None])
+    if max(sizes) <= max(SMALL, SMALL_PAGES * limit):
+        return None
+    return max(1, min(limit, -(-3 * limit * max(1, sizes[0]) // (2 * max(sizes)))))
+
+
+def _pattern(op: Any) -> A.Pattern | None:
+    """The one pattern of a step, or of the rest of one."""
+    while isinstance(op, (A.Slice, A.Project)):
+        op = op.child
+    return op.patterns[0] if isinstance(op, A.Bgp) and len(op.patterns) == 1 else None
 
 
 def _ordered(frames: list[DataFrame], steps: int, limit: int) -> list:

@@ -15,6 +15,7 @@ from quadrille.plans import federation
 from quadrille.plans.parser import parse
 from quadrille.sources.dataset import QuadDataset
 from quadrille.sources.relational import BASE, RelationalDataset
+from quadrille.sources.relational import TABLES as TABLES_MAPPED
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 PREFIXES = f"PREFIX t: <{BASE}> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> " + " ".join(f"PREFIX {n}: <{BASE}{n}#>" for n in TABLES)
@@ -75,7 +76,7 @@ PAIRS: list[tuple[str, str, str]] = [
      "SELECT c_name AS n FROM customer WHERE c_acctbal > 9900"),
     ("bind_expr", "SELECT ?p ?x { ?p part:p_retailprice ?r ; part:p_size ?z BIND(?z * 2 + 1 - 3 AS ?x) FILTER(?x > 90) }",
      f"SELECT {iri('part', 'p_partkey')} AS p, CAST(p_size * 2 + 1 - 3 AS BIGINT) AS x FROM part WHERE p_size * 2 - 2 > 90"),
-    ("bind_constant", "SELECT * { BIND(12+30-2*2 AS ?count) }", "SELECT CAST(38 AS BIGINT) AS count"),
+    ("bind_constant", "SELECT * { BIND(9 * 5 - 4 AS ?total) }", "SELECT CAST(41 AS BIGINT) AS total"),
     ("bind_iri_join", "SELECT ?c ?name { BIND(<http://data.local/nation/3> AS ?n) ?c customer:ref_c_nationkey ?n ; customer:c_name ?name }",
      f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name FROM customer WHERE c_nationkey = 3"),
     ("project_expr", "SELECT (STRLEN(?n) AS ?len) (UCASE(?n) AS ?up) { ?x nation:n_name ?n }",
@@ -160,6 +161,24 @@ PAIRS: list[tuple[str, str, str]] = [
     ("slice_zero", "SELECT ?n { ?x nation:n_name ?n } LIMIT 0", "SELECT '' AS n WHERE false"),
     ("minus", "SELECT ?c { ?c customer:c_name ?n MINUS { ?o orders:ref_o_custkey ?c } }",
      f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    ("minus_some", "SELECT ?n { ?x nation:n_name ?n MINUS { ?s supplier:ref_s_nationkey ?x ; supplier:s_acctbal ?b FILTER(?b > 3000) } }",
+     "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)"),
+    ("minus_unbound", "SELECT ?n { ?x nation:n_name ?n MINUS { ?s supplier:s_acctbal ?b FILTER(?b > 5000) OPTIONAL { ?s supplier:ref_s_nationkey ?x ; supplier:s_nationkey ?k FILTER(?k < 10) } } }",
+     "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey < 10)"),
+    ("optional_union", "SELECT ?n ?s ?g { ?x nation:n_name ?n OPTIONAL { { ?s supplier:ref_s_nationkey ?x ; supplier:s_acctbal ?b FILTER(?b > 9000) } UNION { ?x nation:ref_n_regionkey ?g . ?g region:r_regionkey ?k FILTER(?k = 2) } } }",
+     f"""WITH m AS (SELECT s_nationkey AS k, {iri('supplier', 's_suppkey')} AS s, NULL AS g FROM supplier WHERE s_acctbal > 9000
+                  UNION ALL SELECT n_nationkey, NULL, {iri('region', 'n_regionkey')} FROM nation WHERE n_regionkey = 2)
+         SELECT n_name AS n, s, g FROM nation LEFT JOIN m ON k = n_nationkey"""),
+    ("union_joined", "SELECT ?n ?v { { ?x nation:n_name ?n . ?x nation:n_regionkey ?v } UNION { ?x nation:n_name ?n } ?s supplier:ref_s_nationkey ?x ; supplier:s_nationkey ?v }",
+     "SELECT n_name AS n, s_nationkey AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = s_nationkey UNION ALL SELECT n_name, s_nationkey FROM nation JOIN supplier ON s_nationkey = n_nationkey"),
+    ("filter_error_in_one_arm", "SELECT ?r { ?x region:r_name ?r ; region:r_regionkey ?k FILTER(?r > 3 || ?k = 2) }",
+     "SELECT r_name AS r FROM region WHERE r_regionkey = 2"),
+    ("values_rows", "SELECT ?o ?s { VALUES (?c ?s) { (<http://data.local/customer/7> UNDEF) (<http://data.local/customer/9> \"O\") (UNDEF \"none\") } ?o orders:ref_o_custkey ?c ; orders:o_orderstatus ?s }",
+     f"SELECT {iri('orders', 'o_orderkey')} AS o, {text('o_orderstatus')} AS s FROM orders WHERE o_custkey = 7 OR o_custkey = 9 AND o_orderstatus = 'O'"),
+    ("functions_make", 'SELECT ?k (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) (STR(IRI(CONCAT("http://x.test/", ?n))) AS ?c) (LANG(STRLANG(?n, "en")) AS ?d) (langMatches(LANG(STRLANG(?n, "en-gb")), "en") AS ?e) (isBlank(?x) AS ?f) (STR(DATATYPE(STRDT(STR(?k), xsd:integer))) AS ?g) (STRLEN(STRUUID()) AS ?h) (isIRI(UUID()) AS ?i) (isBlank(BNODE()) AS ?j) { ?x nation:n_name ?n ; nation:n_nationkey ?k }',
+     "SELECT n_nationkey AS k, CAST(96 AS BIGINT) AS a, CAST(128 AS BIGINT) AS b, 'http://x.test/' || n_name AS c, 'en' AS d, true AS e, false AS f, 'http://www.w3.org/2001/XMLSchema#integer' AS g, CAST(36 AS BIGINT) AS h, true AS i, true AS j FROM nation"),
+    ("functions_time", "SELECT ?k (MINUTES(?d) AS ?m) (SECONDS(?d) AS ?s) (TZ(?d) AS ?z) (BOUND(?t) AS ?b) (NOW() > ?d AS ?past) { ?e events:event_id ?k ; events:ts ?d BIND(TIMEZONE(?d) AS ?t) FILTER(?k < 500) }",
+     "SELECT event_id AS k, minute(ts) AS m, extract('microseconds' FROM ts) / 1000000.0 AS s, '' AS z, false AS b, true AS past FROM events WHERE event_id < 500"),
     ("exists", "SELECT ?c { ?c customer:c_name ?n FILTER EXISTS { ?o orders:ref_o_custkey ?c ; orders:o_totalprice ?p FILTER(?p > 300000) } }",
      f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     ("not_exists", "SELECT ?n { ?x nation:n_name ?n FILTER NOT EXISTS { ?s supplier:ref_s_nationkey ?x ; supplier:s_acctbal ?b FILTER(?b > 3000) } }",
@@ -183,6 +202,15 @@ PAGED = [
 ]
 
 
+PAGED += [
+    ("continuation_orders", "SELECT ?o ?k { ?o orders:o_totalprice ?p FILTER(?p > 498500) ?l lineitem:ref_l_orderkey ?o ; lineitem:l_linenumber ?k }", Budget(max_results=20),
+     f"""SELECT {iri('orders', 'o_orderkey')} AS o, '"' || l_linenumber || '"^^<http://www.w3.org/2001/XMLSchema#integer>' AS k
+         FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 498500"""),
+    ("continuation_customers", "SELECT ?c ?n { ?c customer:ref_c_nationkey ?n }", Budget(max_results=400),
+     f"SELECT {iri('customer', 'c_custkey')} AS c, {iri('nation', 'c_nationkey')} AS n FROM customer"),
+]
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     dataset = RelationalDataset(spark, sf_dir)
     return Engine(dataset, Services({"http://other.local/": RelationalDataset(spark, sf_dir)}))
@@ -209,6 +237,48 @@ def sample_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.walk(engine(spark, sf_dir), f"{PREFIXES} SELECT ?o ?c ?n ?r {{ {JOINED} }}", 10_000, seed=1)
 
 
+def sample_walks_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks whose terms or probability are not what the tables say, and how many there are.
+
+    Nations come first, then one of the nation's customers, then one of the customer's orders.
+    """
+    key = lambda c: F.regexp_extract(c, r"/(\d+)>$", 1).try_cast("long").alias(c)
+    walks = sample_walks(spark, sf_dir).select("_walk", "_probability", *[key(c) for c in "ocnr"])
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    nations, customers, orders = read("nation"), read("customer"), read("orders")
+    in_nation = customers.groupBy(F.col("c_nationkey").alias("n")).agg(F.count("*").alias("in_nation"))
+    of_customer = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("of_customer"))
+    known = (walks.join(nations.select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r0")), "n", "left")
+             .join(customers.select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n0")), "c", "left")
+             .join(orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c0")), "o", "left")
+             .join(in_nation, "n", "left").join(of_customer, "c", "left").crossJoin(F.broadcast(nations.agg(F.count("*").alias("nations")))))
+    p = F.col("_probability")
+    want = 1 / (F.col("nations") * F.col("in_nation") * F.col("of_customer"))
+    won = F.col("r").eqNullSafe(F.col("r0")) & F.col("n").eqNullSafe(F.col("n0")) & F.col("c").eqNullSafe(F.col("c0")) & (F.abs(p / want - 1) < 1e-9)
+    lost = F.col("o").isNull() & (F.col("c").isNull() | F.col("of_customer").isNull())
+    right = F.coalesce(F.when(p > 0, won).otherwise(lost), F.lit(False))
+    return known.agg(F.count_if(~right).alias("wrong"), F.count("*").alias("walks"))
+
+
+def _near(estimate: DataFrame, exact: DataFrame) -> DataFrame:
+    return estimate.crossJoin(exact).select((F.abs(F.col("d") / F.col("exact") - 1) <= 0.05).alias("near"))
+
+
+def _nations_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).agg(F.count_distinct("c_nationkey").alias("exact"))
+
+
+def weighted_count_distinct_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the weighted estimate is within a twentieth of the exact count."""
+    return _near(weighted_count_distinct(spark, sf_dir), _nations_with_orders(spark, sf_dir))
+
+
+def chao_lee_count_distinct_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimate by coverage is within a twentieth of the exact count."""
+    return _near(chao_lee_count_distinct(spark, sf_dir), _nations_with_orders(spark, sf_dir))
+
+
 def wander_join_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, as in the order written all walks have the same probability: every customer has one nation."""
     e = engine(spark, sf_dir)
@@ -231,6 +301,11 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return federation.summarise(RelationalDataset(spark, sf_dir, tables).quads())
 
 
+def graph_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct summaries of the statements of all tables."""
+    return federation.summarise(RelationalDataset(spark, sf_dir).quads())
+
+
 def source_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs that can answer each pattern of a join, found on the summary."""
     op = parse(f"{PREFIXES} SELECT * {{ ?x nation:n_name ?n . ?x nation:ref_n_regionkey ?g . ?g region:r_name ?r }}").op
@@ -242,18 +317,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _whole(q) for name, q, _ in PAIRS},
     **{name: _paged(q, b) for name, q, b, _ in PAGED},
     "sample_walks": sample_walks,
+    "sample_walks_checked": sample_walks_checked,
     "wander_join_count": wander_join_count,
     "weighted_count_distinct": weighted_count_distinct,
     "chao_lee_count_distinct": chao_lee_count_distinct,
+    "weighted_count_distinct_near": weighted_count_distinct_near,
+    "chao_lee_count_distinct_near": chao_lee_count_distinct_near,
     "graph_summary": graph_summary,
+    "graph_summary_all": graph_summary_all,
     "source_selection": source_selection,
 }
 
+#: Columns of the mapped tables that are literals, as the tables have them.
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "labels": "doc_id quality toxic",
+    "pages": "page_id url html", "benchmark": "item_id text", "conversations": "conv_id turn role text",
+}
+
+
+def _summary_sql() -> str:
+    """A row for each table, column and reference that has a value anywhere in it, and one for each table's types."""
+    root, rdf_type, parts = BASE.rstrip("/"), "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", []
+    for name, columns in COLUMNS.items():
+        start = f"SELECT '<{BASE}graph/{name}>' AS g, '<{root}>' AS s"
+        for c in columns.split():
+            found = f" WHERE EXISTS (SELECT 1 FROM {name} WHERE {c} IS NOT NULL)"
+            parts.append(f"""{start}, '<{BASE}{name}#{c}>' AS p, '"any"' AS o{found}""")
+            if c in TABLES_MAPPED[name].refs:
+                parts.append(f"{start}, '<{BASE}{name}#ref_{c}>' AS p, '<{root}>' AS o{found}")
+        parts.append(f"{start}, '<{rdf_type}>' AS p, '<{root}>' AS o WHERE EXISTS (SELECT 1 FROM {name})")
+    return " UNION ALL ".join(parts)
+
+
 _ROOT = BASE.rstrip("/")
 ORACLE_SQL: dict[str, str] = {
     **{name: sql for name, _, sql in PAIRS},
     **{name: sql for name, _, _, sql in PAGED},
     "wander_join_count": "SELECT CAST(count(*) AS DOUBLE) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "sample_walks_checked": "SELECT CAST(0 AS BIGINT) AS wrong, CAST(10000 AS BIGINT) AS walks",
+    "weighted_count_distinct_near": "SELECT true AS near",
+    "chao_lee_count_distinct_near": "SELECT true AS near",
+    "graph_summary_all": _summary_sql(),
     "graph_summary": f"""
         SELECT '<{BASE}graph/region>' AS g, '<{_ROOT}>' AS s, p, o FROM (VALUES
             ('<{BASE}region#r_regionkey>', '"any"'), ('<{BASE}region#r_name>', '"any"'),
@@ -261,7 +370,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT '<{BASE}graph/nation>', '<{_ROOT}>', p, o FROM (VALUES
             ('<{BASE}nation#n_nationkey>', '"any"'), ('<{BASE}nation#n_name>', '"any"'), ('<{BASE}nation#n_regionkey>', '"any"'),
             ('<{BASE}nation#ref_n_regionkey>', '<{_ROOT}>'), ('<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<{_ROOT}>')) v(p, o)""",
-    "source_selection": f"SELECT '<{BASE}graph/nation>' AS _g1, '<{BASE}graph/nation>' AS _g2, '<{BASE}graph/region>' AS _g3",
+    "source_selection": f"SELECT '<{BASE}graph/nation>' AS source1, '<{BASE}graph/nation>' AS source2, '<{BASE}graph/region>' AS source3",
 }
 
 FLAGSHIP = "bgp_join"

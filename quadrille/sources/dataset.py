@@ -20,6 +20,11 @@ class Dataset:
 
     spark: SparkSession
 
+    @property
+    def marks(self) -> dict:
+        """Where offsets over this dataset end, by operator, as they were found."""
+        return self.__dict__.setdefault("_marks", {})
+
     def scan(self, pattern: A.Pattern) -> Relation:
         raise NotImplementedError
 
