@@ -134,11 +134,14 @@ def _whole_rows(x: np.ndarray) -> np.ndarray:
 
 
 def search_part(index: Index, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, at: np.ndarray, packed: np.ndarray,
-                k: int, rerank: int, probes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                k: int, rerank: int, probes: int | None = None, own: np.ndarray | None = None, rows_: np.ndarray | None = None,
+                ) -> tuple[np.ndarray, ...]:
     """Best ``k`` of some rows for each query: all codes are scanned, all rows of the best ``rerank`` codes scored exactly.
 
-    ``at`` and ``packed`` are the rows' lists and codes.  Ties go to smaller ids.
+    ``at`` and ``packed`` are the rows' lists and codes.  Ties go to smaller ids.  ``own`` and ``rows_`` number the queries'
+    and the rows' own rows, which ids may not; the result is the queries' ids, rows' ids, scores and queries' rows.
     """
+    own, rows_ = (qid, vid) if own is None or rows_ is None else (own, rows_)
     # of equal vectors only those of the k + 1 smallest ids can be among a query's k best, its own id being none
     same = np.unique(_whole_rows(v), return_inverse=True)[1]
     order = np.lexsort((vid, same))
@@ -146,14 +149,14 @@ def search_part(index: Index, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v
     nth = np.cumsum(first | (np.diff(vid[order], prepend=vid[order][:1]) != 0))
     stay = order[nth - nth[first][np.cumsum(first) - 1] <= k]
     stay = stay[np.argsort(vid[stay], kind="stable")]
-    vid, v, at, packed = vid[stay], v[stay], at[stay], packed[stay]
+    vid, v, at, packed, rows_ = vid[stay], v[stay], at[stay], packed[stay], rows_[stay]
     both = np.concatenate((at.astype("<i4")[:, None].view(np.uint8), packed), axis=1)
     _, head, code = np.unique(_whole_rows(both), return_index=True, return_inverse=True)
     rows, size = np.argsort(code, kind="stable"), np.bincount(code)
     start, most = np.cumsum(size) - size, rerank + 1  # one more, as a query's own row may hold a code
-    out_q, out_v, out_s = [], [], []
+    out_q, out_v, out_s, out_o = [], [], [], []
     for a in range(0, len(q), 256):
-        tables, block, ids = index.tables(q[a : a + 256]), q[a : a + 256], qid[a : a + 256]
+        tables, block, ids, mine = index.tables(q[a : a + 256]), q[a : a + 256], qid[a : a + 256], own[a : a + 256]
         centre = block @ index.lists.T
         if probes is not None and probes < centre.shape[1]:
             np.put_along_axis(centre, np.argsort(-centre, axis=1, kind="stable")[:, probes:], -np.inf, axis=1)
@@ -173,7 +176,7 @@ def search_part(index: Index, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v
             n = size[c]
             i = b + np.repeat(i, n)
             r = rows[np.repeat(start[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            other = ids[i] != vid[r]
+            other = mine[i] != rows_[r]
             i, r = i[other], r[other]
             exact = np.concatenate([np.zeros(0)] + [(v[r[x : x + EXACT_PAIRS]] * block[i[x : x + EXACT_PAIRS]]).sum(axis=1)
                                                     for x in range(0, len(r), EXACT_PAIRS)])
@@ -183,23 +186,26 @@ def search_part(index: Index, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v
             out_q.append(ids[i[top]])
             out_v.append(vid[r[top]])
             out_s.append(exact[top])
-    return tuple(np.concatenate(x) for x in (out_q, out_v, out_s))
+            out_o.append(mine[i[top]])
+    return tuple(np.concatenate(x) for x in (out_q, out_v, out_s, out_o))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding",
-            sample: int = 20_000, list_rows: int = 2_000, max_lists: int = 4_096, probes: int | None = None, rerank: int = 200,
+            sample: int = 20_000, list_rows: int | None = None, max_lists: int = 4_096, probes: int | None = None, rerank: int = 200,
             eta: float = 4.0, part_rows: int = 50_000, seed: int = 0) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: for rows whose id ``every`` divides, ``k`` of the largest inner products.
 
-    Candidates are all rows but the query's own id.  The index is fitted on about ``sample`` rows, chosen by hashed
-    id; every row is encoded against the nearest of its lists' centres.  Rows are dealt by hashed id into parts of
+    Candidates are all rows but the query's own.  Lists are half the square root of the number of rows, or one for
+    ``list_rows`` rows, and ``max_lists`` at most; the index is fitted on about ``sample`` rows or 20 a list, chosen by
+    hashed id, and every row is encoded against the nearest of the lists' centres.  Rows are dealt by hashed id into parts of
     about ``part_rows`` or fewer, and so are queries.  Each part scans the four-bit codes of all its rows and scores
     all rows of the best ``rerank`` codes exactly in double precision, so copies of a vector push no other row out.
     Every query meets every list: its best rows lie in most of them, so the work grows as queries times rows.
     ``probes`` leaves out the rows of all but the query's best lists.  Ties go to the smaller id.
 
     Null ids, and vectors that are null, empty or zero, hold null or non-finite components, or are of another length
-    than most, take no part.  An id that repeats is as many candidates.  Further columns are ignored.
+    than most, take no part.  Each row of an id that repeats is a query of its own, with its own ranks, and a candidate
+    of the others.  Further columns are ignored.
     """
     v = F.col("v")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).filter(
@@ -211,10 +217,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
         return empty
     dim, total = lengths[0]["d"], lengths[0]["count"]
     rows = rows.filter(F.size(v) == dim).select("id", v.cast("array<double>").alias("v"))
+    wanted = max(1, min(max_lists, total // list_rows if list_rows else math.isqrt(total) // 2))
+    sample = max(sample, 20 * wanted)
     rate = int(min(1.0, sample / total) * (1 << 20)) or 1
     some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).toPandas()
     some = some.sort_values("id")["v"] if len(some) else rows.limit(sample).toPandas()["v"]
-    lists = int(max(1, min(max_lists, total // list_rows, len(some) // 20)))
+    lists = max(1, min(wanted, len(some) // 20))
     held = vectors.sparkSession.sparkContext.broadcast(train(np.stack(some.to_numpy()), lists, eta=eta, seed=seed))  # bounded by max_lists
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +238,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
                 [pa.array(at.astype(np.int32)), batch.column(0), batch.column(1), pa.array([p.tobytes() for p in packed], pa.binary())],
                 names=["l", "id", "v", "code"])
 
-    coded_rows = checkpointed(rows.mapInArrow(coded, "l int, id long, v array<double>, code binary"))
-    asked = coded_rows.filter(F.col("id") % every == 0).select("id", "v")
+    coded_rows = rows.mapInArrow(coded, "l int, id long, v array<double>, code binary")
+    coded_rows = checkpointed(coded_rows.withColumn("row", F.monotonically_increasing_id()))
+    asked = coded_rows.filter(F.col("id") % every == 0).select("id", "v", "row")
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     parts = max(-(-total // part_rows), min(cores, -(-total // 1_000)))
     turns = max(1, -(-asked.count() // part_rows))
@@ -242,17 +251,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         else:
             packed = np.stack([np.frombuffer(c, np.uint8) for c in left.column("code").to_pylist()])
             got = search_part(held.value, right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks()),
                               left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks()),
-                              left.column("l").to_numpy(), packed, k, rerank, probes)
-        return pa.table({"query_id": pa.array(got[0]), "vec_id": pa.array(got[1]), "score": pa.array(got[2])})
+                              left.column("l").to_numpy(), packed, k, rerank, probes, right.column("row").to_numpy(), left.column("row").to_numpy())
+        return pa.table({"query_id": pa.array(got[0]), "vec_id": pa.array(got[1]), "score": pa.array(got[2]), "row": pa.array(got[3])})
 
     found = (deal(coded_rows, "p", parts, "o", turns).groupBy("p", "o").cogroup(deal(asked, "o", turns, "p", parts).groupBy("p", "o"))
-             .applyInArrow(search, "query_id long, vec_id long, score double"))
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInArrow(search, "query_id long, vec_id long, score double, row long"))
+    ranks = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 

@@ -20,12 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse,
+    which they share too, or with a local master, where there is but one machine, a new temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_by.get() if set_by.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    if set_by.isDefined():
+        return set_by.get()
+    if spark.sparkContext.master.startswith(("local[", "local")) and not spark.sparkContext.master.startswith("local-cluster"):
+        return f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,14 +41,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back; columnar, so smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least as many partitions as cores, for Python work on inputs that Spark reads as a few large splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism

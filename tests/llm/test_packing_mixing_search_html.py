@@ -216,6 +216,44 @@ def test_search_of_few_and_none(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_search_with_repeated_ids(spark):
+    """Of two rows of one id each is a query and the other's candidate, also where their vectors are equal."""
+    rows = [(20, [1.0, 0.0]), (20, [0.9, 0.1]), (3, [0.5, 0.5]), (40, [0.0, 1.0]), (40, [0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    asked = {}
+    for r in got:
+        asked.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 6)))
+    assert sorted(asked[20]) == sorted([(1, 20, 0.9), (2, 3, 0.5), (3, 40, 0.0), (4, 40, 0.0), (1, 20, 0.9), (2, 3, 0.5), (3, 40, 0.1), (4, 40, 0.1)])
+    assert sorted(asked[40]) == sorted([(1, 40, 1.0), (2, 3, 0.5), (3, 20, 0.1), (4, 20, 0.0)] * 2)
+
+
+def route_cost(flow, capacity):
+    """Words by how often they were used before."""
+    cost = 0.0
+    for f, c in zip(flow, capacity):
+        used = sum(f.values())
+        level = 0
+        while used > 1e-9:
+            cost += level * min(used, c)
+            used -= c
+            level += 1
+    return cost
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_flow_is_the_cheapest(seed):
+    """Against all whole routings of small cases, word by word."""
+    rng = np.random.default_rng(seed)
+    member = [[0], [1], [0, 1]]
+    capacity = rng.integers(1, 4, 3).tolist()
+    quota = [int(rng.integers(0, 3 * capacity[0] + 1)), int(rng.integers(0, 3 * capacity[1] + 1))]
+    flow = mixing.route(capacity, member, quota, 3)
+    best = min(route_cost([{0: a}, {1: b}, {0: quota[0] - a, 1: quota[1] - b}], capacity)
+               for a in range(quota[0] + 1) for b in range(quota[1] + 1)
+               if a <= 3 * capacity[0] and b <= 3 * capacity[1] and quota[0] - a + quota[1] - b <= 3 * capacity[2])
+    assert [sum(f.get(s, 0) for f in flow) for s in (0, 1)] == pytest.approx(quota) and route_cost(flow, capacity) == pytest.approx(best)
+
+
 def test_search_meets_every_list(spark):
     """Rows in no clusters, and lists that far outnumber ten: the best rows lie in most lists."""
     x = np.random.default_rng(3).normal(size=(4000, 32))

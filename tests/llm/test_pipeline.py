@@ -81,3 +81,48 @@ def test_mix_and_pack(stages):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+LONG = "plain words that go on and on for a while, all of them clean\n" * 3_000
+ODD = [
+    (1, "A short clean text about the weather in the north and the south.", "en", "a", 10), (1, "A short clean text about the weather in the north and the south.", "en", "a", 10),
+    (2, None, None, None, None), (3, "", "en", "b", 0), (4, " \n\t\n ", "de", None, 5), (None, "A text that has no id at all, but words.", "en", "a", 1),
+    (None, None, None, None, None), (5, LONG, "en", "c", len(LONG)), (6, LONG + "one more", "en", "c", 1), (2, "another text under an id that has two", "fr", "b", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 7, "x", [1]) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, size int, key string, first array<int>")
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_odd_documents(spark, odd, at):
+    """Nulls in any column, empty and long texts, repeated rows and ids, further columns of names used inside; and no rows."""
+    name, stage = P.STAGES[at]
+    rows = stage(spark, odd, SF).collect()
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    if at < 4:
+        assert all(r.__fields__ == P.COLUMNS for r in rows)
+    known = {(r[0], r[1] or "") for r in ODD}
+    if name == "quality_classifier":
+        assert {(r["doc_id"], r["text"] or "") for r in rows} <= known and 1 in {r["doc_id"] for r in rows}
+    if name == "line_dedup":
+        assert len(rows) == len(ODD) and all(r["n_chars"] == len(r["text"]) for r in rows)
+        assert {(r["doc_id"], r["text"]) for r in rows} == known  # too few hold any line
+    if name == "simhash_near_dedup":
+        # empty texts are one group, of ids 2, 3 and 4, to which the other text of id 2 belongs; rows without an id stay
+        assert sorted((r["doc_id"] or -1 for r in rows)) == [-1, -1, 1, 1, 2, 2, 5]
+    if name == "source_mixing":
+        assert all(r["text"] and r["text"].strip() for r in rows) and {(r["doc_id"], r["text"]) for r in rows} <= known
+    if name == "best_fit_packing":
+        assert sum(r["piece"] == 0 for r in rows) == len(ODD) and all(0 < r["length"] <= 2048 for r in rows)
+        assert sum(r["length"] == 1 for r in rows) >= 3  # empty texts are their end alone
+
+
+def test_stage_tables_are_removed(spark, tmp_path, monkeypatch):
+    from quadrille.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert P.run(spark, SF).count() > 0
+    assert not list(tmp_path.glob("table-*"))
