@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _minima(least: DataFrame, split: bool) -> DataFrame:
+    """Minima by node, apart from the shuffle they came from if ``split``, so that Spark can deal out a hub's edges that meet them."""
+    return checkpointed(least) if split else least
+
+
+def _large_star(edges: DataFrame, split: bool) -> DataFrame:
     """Every larger neighbour of u moves to the smallest node among u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = _minima(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), split)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, split: bool) -> DataFrame:
     """With edges from larger u to smaller v: u and its smaller neighbours move to the smallest of them."""
-    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = _minima(edges.groupBy("u").agg(F.min("v").alias("m")), split)
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, split_edges: int = 1_000_000) -> DataFrame:
     """Rows ``(node, component)`` for every node that has an edge; component is its smallest reachable node.
 
     ``edges`` has long columns u and v, in either direction, loops and repeats allowed, none null.  A round is
-    two grouped minima joined back.  A hub's edges are combined before they are shuffled; the minima are
-    checkpointed, so that the join reads two plain shuffles and Spark can split a hub's edges over tasks.
-    Each round is checkpointed.  Only two numbers a round come to the driver.  The rounds end when every node
+    two grouped minima joined back.  A hub's edges are combined before they are shuffled.  Beyond ``split_edges`` edges,
+    which one task can join, the minima are checkpointed, so that the join reads two plain shuffles and Spark can split
+    a hub's edges over tasks.  Each round is checkpointed.  Only two numbers a round come to the driver.  The rounds end when every node
     points straight at its root; ``rounds`` only guards against a bug and raises.
     """
     now = checkpointed(
@@ -43,5 +48,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = tuple(seen)
-        now = checkpointed(_small_star(checkpointed(_large_star(now).distinct())))
+        split = seen["n"] > split_edges
+        now = checkpointed(_small_star(_large_star(now, split).distinct(), split))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -199,7 +199,8 @@ def test_empty_table(spark):
     assert simhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_a_path_and_a_hub(spark):
+@pytest.mark.parametrize("split", [0, 10**6])
+def test_components_of_a_path_and_a_hub(spark, split):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(7, 7)]
-    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long"), split_edges=split).collect())
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1301)}
