@@ -41,6 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find, by a collection of the driver's garbage, the shuffles and checkpoints that nothing holds
+    any more; between rounds of a loop, as their files would otherwise stay until the driver's memory is short."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 

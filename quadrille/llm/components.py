@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import checkpointed
+from quadrille.llm.common import checkpointed, swept
 
 
 def _minima(least: DataFrame, split: bool) -> DataFrame:
@@ -50,4 +50,5 @@ def connected_components(edges: DataFrame, rounds: int = 60, split_edges: int =
         before = tuple(seen)
         split = seen["n"] > split_edges
         now = checkpointed(_small_star(_large_star(now, split).distinct(), split))
+        swept(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

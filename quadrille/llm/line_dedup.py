@@ -57,7 +57,7 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     keyed = lines.filter(F.length("line") >= min_chars).withColumn("key", key).filter(F.length("key") >= min_chars)
     keyed = checkpointed(keyed.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("h"), "doc_id", "digest", "pos"))
     hot = checkpointed(keyed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > chunk_rows)
-                       .select("h", F.ceil(F.col("n") / chunk_rows).alias("chunks")))
+                       .select("h", F.ceil(F.col("n") / chunk_rows).alias("chunks")).coalesce(8))  # few rows
     known = hot.count()
     small = (lambda df: F.broadcast(df)) if known <= broadcast_rows else (lambda df: df)
     recurs = (F.col("holders") >= min_docs) & (F.col("doc_id") != F.col("owner"))
@@ -69,7 +69,7 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         marked = checkpointed(_stream(salted).filter((F.col("salt") > 0) | recurs))
         chunks = marked.filter("salt > 0").groupBy("h", "salt").agg(F.max("holders").alias("holders"), F.max("owner").alias("owner"))
         whole = chunks.groupBy("h").agg(F.sum("holders").alias("holders"), F.max("owner").alias("owner"))
-        parts = marked.filter("salt > 0").drop("holders", "owner").join(small(checkpointed(whole)), "h").filter(recurs)
+        parts = marked.filter("salt > 0").drop("holders", "owner").join(small(whole), "h").filter(recurs)
         lost = marked.filter("salt = 0").select("doc_id", "digest", "pos").unionByName(parts.select("doc_id", "digest", "pos"))
     at = lost.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     return at.select("doc_id", "digest", _runs(F.col("at")).alias("dropped"))
@@ -106,7 +106,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id"
 
     if bitmaps.count() > broadcast_rows:
         return applied(docs)
-    ids = F.broadcast(bitmaps.select(F.col("doc_id").alias("__id")).distinct())
+    ids = F.broadcast(bitmaps.select(F.col("doc_id").alias("__id")))
     whole = docs.join(ids, own, "left_anti").withColumns({
         text_column: _text(text_column), "n_lines": F.size(lines).cast("long"), "n_dropped": F.lit(0).cast("long")})
     return applied(docs.join(ids, own, "left_semi")).unionByName(whole)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import checkpointed
+from quadrille.llm.common import checkpointed, swept
 from quadrille.llm.components import connected_components
 
 SEED = 42
@@ -463,6 +463,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # one id under two fingerprints joins them: the fingerprints' own nodes are then linked
     twice = prints.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a <> b and doc_id is not null")
     extra = prints.join(twice.select("doc_id"), "doc_id").join(nodes.select("same", "node"), "same").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
+    swept(docs.sparkSession)
     found = connected_components(links.union(extra))
     comp = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     out = prints.select("doc_id", "fp", "same").join(comp, "same", "left")
