@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import HashIndex, checkpointed
 
 #: Words, and parts of words, whose ids a worker remembers at most, in each of two generations: some 170 bytes each.
-CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 400_000, 300_000
 #: Texts looked up together, in characters.
 BLOCK_CHARS = 4_000_000
 #: Normaliser and pre-tokenizer, as the tokenizer's file has them, under which words and their parts stand alone.
@@ -192,6 +192,11 @@ class WordIds:
         ends = np.cumsum(sizes)[sizes == 0].tolist()
         cache.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
+    def rest(self) -> None:
+        """Between tasks: lets the older generation go, as the worker stays and others need its memory."""
+        if self.split:
+            self.old, self.old_parts = {}, {}
+
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return [self._encoded(t) for t in texts]
@@ -254,6 +259,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         c.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        words.rest()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, kind)
