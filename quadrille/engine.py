@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 
 from quadrille.operators import relation as R
 from quadrille.operators.compiler import Compiler, Services
-from quadrille.operators.paging import Budget, Page, next_page
+from quadrille.operators.paging import Budget, Page, next_page, next_pages
 from quadrille.operators.relation import Relation
 from quadrille.plans import rewrite
 from quadrille.plans.parser import Query, parse
 from quadrille.sources.dataset import Dataset
 
+#: Solutions that a run through all pages has the driver hold ahead of the page it is at.
+AHEAD = 200_000
+
 
 @dataclass
 class Engine:
@@ -47,18 +50,26 @@ class Engine:
         """What the budget allows, and the query for exactly the rest (None when there is none)."""
         return next_page(self, self.plan(text), budget)
 
+    def pages(self, text: str, budget: Budget, most: int) -> list[Page]:
+        """Up to ``most`` pages in a row, as :meth:`page` gives them one by one, at about the cost of one."""
+        return next_pages(self, self.plan(text), budget, most)
+
     def run_to_completion(self, text: str, budget: Budget, most: int = 10_000) -> tuple[list[dict], int]:
-        """All solutions by pages, as canonical text, and the number of continuations it took."""
+        """All solutions by pages, as canonical text, and the number of continuations it took.
+
+        As all pages are wanted, they are asked for several at a time, of ``AHEAD`` solutions together at most.
+        """
         rows: list[dict] = []
-        for n in range(most):
-            page = self.page(text, budget)
-            rows += page.rows
-            if page.next is None:
-                return rows, n
-            text = page.next
+        n, ahead = 0, 1
+        while n < most:
+            for page in self.pages(text, budget, min(ahead, most - n)):
+                rows += page.rows
+                if page.next is None:
+                    return rows, n
+                text, n = page.next, n + 1
+            ahead = max(1, min(ahead * 64, AHEAD // (budget.max_results or AHEAD)))
         raise RuntimeError(f"not done after {most} pages")
 
-
     def terms(self, text: str) -> DataFrame:
         """All solutions, every cell as canonical text, which is how pages give them."""
         query = self.plan(text)

@@ -9,6 +9,7 @@ step's remaining matches (an OFFSET over the step alone), and the later steps un
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -158,19 +159,27 @@ def _key(i: int) -> str:
     return f"k:{i}"
 
 
-def _keyed(rel: Relation, shared: set[str], i: int, copies: bool) -> Relation:
-    """With the step's key: canonical text of the variables it adds, and which of several equal solutions this is."""
-    new = sorted(rel.vars - shared)
-    parts = [rel.canonical(n) for n in new]
-    if copies:
-        every = [rel.canonical(n) for n in sorted(rel.vars)]
-        same = F.row_number().over(Window.partitionBy(*every).orderBy(F.lit(1))) if every else (
-            F.row_number().over(Window.orderBy(F.lit(1))))
-        parts.append(F.lpad(same.cast("string"), 19, "0"))
-    key = F.array(*parts) if parts else F.array(F.lit(""))
+def _keyed(rel: Relation, shared: set[str], i: int) -> Relation:
+    """With the step's key: canonical text of the variables it adds."""
+    key = F.array(*[rel.canonical(n) for n in sorted(rel.vars - shared)]).cast("array<string>")
     return Relation(rel.df.withColumn(_key(i), key), rel.forms, rel.certain, rel.extra + [_key(i)])
 
 
+def _numbered(rel: Relation, i: int, copies: bool) -> Relation:
+    """With the step's key ended by which of several equal matches of one solution this is, where they may repeat.
+
+    Numbers are given to what the step before and tests have left, so nothing is moved for the rest of the step.
+    """
+    key = F.col(f"`{_key(i)}`")
+    if copies:
+        before = [F.col(f"`{x}`") for x in rel.extra if x != _key(i)]
+        same = F.row_number().over(Window.partitionBy(*before, key).orderBy(F.lit(1)))
+        key = F.when(key.isNotNull(), F.concat(key, F.array(F.lpad(same.cast("string"), 19, "0"))))
+    else:
+        key = F.when(F.size(key) == 0, F.array(F.lit(""))).otherwise(key)
+    return Relation(rel.df.withColumn(_key(i), key), rel.forms, rel.certain, rel.extra)
+
+
 def _array(key: list) -> Column:
     return F.array(*[F.lit(x).cast("string") for x in key])
 
@@ -187,7 +196,7 @@ def _copies(engine: Engine, op: Any) -> bool:
 def _prefixes(engine: Engine, b: Branch, mark: list | None = None) -> list[tuple[int, Relation]]:
     """For each step but bindings, its index and the solutions of all steps up to it and of bindings right after it.
 
-    With a ``mark``, only from the outermost step's matches up to that key.
+    With a ``mark``, only from the outermost step's matches up to those terms.
     """
     rel = R.unit(engine.dataset.spark)
     out: list[tuple[int, Relation]] = []
@@ -199,13 +208,13 @@ def _prefixes(engine: Engine, b: Branch, mark: list | None = None) -> list[tuple
             rel = extend(rel, s.var, s.op)
             out = out[:-1] + [(out[-1][0], rel)] if out else out
             continue
-        right = _keyed(engine.relation(s.op), A.visible(s.op) & rel.vars, i, _copies(engine, s.op))
+        right = _keyed(engine.relation(s.op), A.visible(s.op) & rel.vars, i)
         if mark is not None and not out:
             right = right.filter(F.col(f"`{_key(i)}`") <= _array(mark))
         if s.kind == "inner":
-            rel = R.join(rel, right)
+            rel = _numbered(R.join(rel, right), i, _copies(engine, s.op))
         else:
-            rel = R.left_join(rel, right, _condition(s.condition))
+            rel = _numbered(R.left_join(rel, right, _condition(s.condition)), i, _copies(engine, s.op))
             rel.df = rel.df.withColumn(_key(i), F.coalesce(F.col(f"`{_key(i)}`"), F.array().cast("array<string>")))
         out.append((i, rel))
     return out
@@ -227,12 +236,14 @@ def _passes(engine: Engine, rel: Relation, filters: tuple) -> Relation:
     return Compiler(engine.dataset, engine.services)._filter(filters, rel)
 
 
-def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, scans: bool) -> tuple[list[dict], _Node | None]:
-    """Solutions among the first ``limit`` nodes of the order; nodes are solutions, or with ``scans`` every step's matches.
+def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, scans: bool, pages: int = 1) -> list[tuple[list[dict], _Node | None]]:
+    """Solutions among the first ``limit`` nodes of the order, and among the ``limit`` after those, for ``pages`` at most.
 
-    Solutions come branch by branch, and in a branch from the first matches of its outermost step: no later one can
-    come before theirs.  If they give too few, eight times as many are tried.
+    Nodes are solutions, or with ``scans`` every step's matches.  Each page comes with the node that it ends at, or None
+    if there are no more.  Solutions come branch by branch, and in a branch from the first matches of its outermost step:
+    no later one can come before theirs.  If they give too few, eight times as many are tried.
     """
+    size, limit = limit, limit * pages
     steps = max([len(b.steps) for b in all_] + [1])
     if scans:
         got = _ordered(_nodes(engine, all_, names, steps, True), steps, limit + 1)
@@ -249,13 +260,16 @@ def _first(engine: Engine, all_: list[Branch], names: list[str], limit: int, sca
                 end += 1
             got += _ordered(_nodes(engine, all_[at:end], names, steps, False, at), steps, limit + 1 - len(got))
             at = end
-    more = len(got) > limit
-    rows = [{n: r["o:" + n] if "o:" + n in r.__fields__ else None for n in names} for r in got[:limit] if r["ok"]]
-    if not more:
-        return rows, None
-    r = got[limit - 1]
-    keys = {k: r[_key(k)] for k in range(steps)}
-    return rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)
+    out: list[tuple[list[dict], _Node | None]] = []
+    for at in range(0, max(1, min(len(got), limit)), size):
+        some = got[at : at + size]
+        rows = [{n: r["o:" + n] if "o:" + n in r.__fields__ else None for n in names} for r in some if r["ok"]]
+        if len(got) <= at + size:
+            return out + [(rows, None)]
+        r = some[-1]
+        keys = {k: r[_key(k)] for k in range(steps)}
+        out.append((rows, _Node(r["b"], r["i"], _terms(all_[r["b"]], keys) | dict(r["terms"] or {}), keys)))
+    return out
 
 
 def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int, limit: int, some: int) -> list:
@@ -263,7 +277,7 @@ def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int,
     i, s = next((i, s) for i, s in enumerate(b.steps) if s.kind != "bind")
     while True:
         bound = {x.var for x in b.steps[:i]}
-        outer = _keyed(engine.relation(s.op), A.visible(s.op) & bound, i, _copies(engine, s.op))
+        outer = _keyed(engine.relation(s.op), A.visible(s.op) & bound, i)
         key = F.col(f"`{_key(i)}`")
         own = [f for f in b.filters if A.expression_vars(f) <= outer.certain and _repeatable(f)]
         outer = _passes(engine, outer, tuple(own))  # only those can be solutions
@@ -295,12 +309,12 @@ def _outer_matches(engine: Engine, b: Branch, limit: int) -> int | None:
     """
     loops = [s for s in b.steps if s.kind != "bind"]
     patterns = [_pattern(s.op) for s in loops]
-    if len(loops) < 2 or loops[0].kind != "inner" or patterns[0] is None:
+    if not loops or loops[0].kind != "inner" or patterns[0] is None:
         return None
     sizes = engine.dataset.cardinalities([p for p in patterns if p is not None])
     if max(sizes) <= max(SMALL, SMALL_PAGES * limit):
         return None
-    return max(1, min(limit, -(-3 * limit * max(1, sizes[0]) // (2 * max(sizes)))))
+    return limit if len(loops) == 1 else max(1, min(limit, -(-3 * limit * max(1, sizes[0]) // (2 * max(sizes)))))
 
 
 def _pattern(op: Any) -> A.Pattern | None:
@@ -378,12 +392,32 @@ def _table(terms: dict[str, str | None], names: set[str]) -> Any:
     return A.Table(tuple(bound), (tuple(T.python_term(terms[n]) for n in bound),)) if bound else A.UNIT
 
 
-def _rest(engine: Engine, all_: list[Branch], node: _Node) -> tuple[list[Any], float | None]:
-    """Operators that together give what comes after ``node``, in order; and how far the outermost step is."""
+def _rests(engine: Engine, all_: list[Branch], nodes: list[_Node]) -> list[tuple[list[Any], float | None]]:
+    """For each node, operators that together give what comes after it, in order; and how far the outermost step is."""
+    places: list[list[_Place]] = []
+    for node in nodes:
+        b, here, seen = all_[node.branch], [], set()
+        before = {}
+        for i, s in enumerate(b.steps):
+            before[i] = set(seen)
+            seen |= {s.var} if s.kind == "bind" else A.visible(s.op)
+        for i in range(node.step, -1, -1):
+            s, key = b.steps[i], node.keys.get(i)
+            if s.kind == "bind" or not key:  # an optional step without a match has nothing left
+                continue
+            needed = (A.visible(s.op) | A.expression_vars(s.condition)) & before[i]
+            here.append(_Place(node.branch, i, s, _table(node.terms, needed), sorted(A.visible(s.op) - before[i]), key, _copies(engine, s.op)))
+        places.append(here)
+    counts = _positions(engine, [x for here in places for x in here])
+    return [_rest(engine, all_, node, here, counts, node is nodes[-1]) for node, here in zip(nodes, places)]
+
+
+def _rest(engine: Engine, all_: list[Branch], node: _Node, places: list[_Place], counts: dict, marked: bool) -> tuple[list[Any], float | None]:
+    """As :func:`_rests`, for one node.  ``marked``: where the offsets end is kept, so that going on need not look for it."""
     b = all_[node.branch]
     out: list[Any] = []
-    before: dict[int, set[str]] = {}
     seen: set[str] = set()
+    before: dict[int, set[str]] = {}
     for i, s in enumerate(b.steps):
         before[i] = set(seen)
         seen |= {s.var} if s.kind == "bind" else A.visible(s.op)
@@ -394,66 +428,168 @@ def _rest(engine: Engine, all_: list[Branch], node: _Node) -> tuple[list[Any], f
             at += 1
         tail = reduce(_attach, b.steps[at:], _table(node.terms, before[at]))
         out.append(_filtered(tail, b.filters))
-    counted = []
-    for i in range(node.step, -1, -1):
-        s, key = b.steps[i], node.keys.get(i)
-        if s.kind == "bind" or not key:  # an optional step without a match has nothing left
-            continue
-        needed = (A.visible(s.op) | A.expression_vars(s.condition)) & before[i]
-        inner = A.join_all([_table(node.terms, needed), s.op])
-        inner = inner if s.condition is None else A.Filter((s.condition,), inner)
-        counted.append((i, s, inner, key, A.visible(s.op) & before[i]))
-    counts = _positions(engine, counted)
-    for (i, s, inner, _, _), (done, size) in zip(counted, counts):
+    share = None
+    for x in places:
+        less, equal, size = counts[x.id]
+        done = less + x.copy
+        share = done / size if size else None
         if done >= size:
             continue
-        remaining = A.Slice(done, None, A.Project(tuple(sorted(A.visible(s.op))), inner))
-        start = A.join_all([_table(node.terms, before[i]), remaining])
-        out.append(_filtered(reduce(_attach, b.steps[i + 1 :], start), b.filters))
-    share = counts[-1][0] / counts[-1][1] if counts and counts[-1][1] else None
+        remaining = _sliced(done, x)
+        if marked and x.step.condition is None:
+            mark = [node.terms.get(n) for n in remaining.child.vars]
+            engine.dataset.marks[remaining.child, remaining.offset] = mark, equal - x.copy
+        start = A.join_all([_table(node.terms, before[x.i]), remaining])
+        out.append(_filtered(reduce(_attach, b.steps[x.i + 1 :], start), b.filters))
     return out + [x.op() for x in all_[node.branch + 1 :]], None if share is None else (node.branch + share) / len(all_)
 
 
-def _positions(engine: Engine, counted: list) -> list[tuple[int, int]]:
-    """For each step, how many of its matches the page has used, the last included, and how many there are; in one job."""
-    frames = []
-    for n, (i, s, inner, key, shared) in enumerate(counted):
-        rel = _keyed(engine.relation(inner).keep(A.visible(s.op)), shared, 0, _copies(engine, s.op))
-        mark = F.array(*[F.lit(x) if x is not None else F.lit(None).cast("string") for x in key])
-        frames.append(rel.df.agg(F.count_if(F.col(f"`{_key(0)}`") <= mark).alias("done"), F.count("*").alias("size")).withColumn("n", F.lit(n)))
-    if not frames:
-        return []
-    got = {r["n"]: (r["done"], r["size"]) for r in reduce(DataFrame.unionByName, frames).collect()}
-    return [got[n] for n in range(len(counted))]
+@dataclass
+class _Place:
+    """A match of a step: what of the steps before it the step sees, as inline data, and the names and terms it adds."""
+
+    branch: int
+    i: int
+    step: Step
+    table: Any
+    new: list[str]
+    key: list[str]
+    copies: bool
+
+    @property
+    def copy(self) -> int:
+        return int(self.key[-1]) if self.copies else 1
+
+    @property
+    def group(self) -> tuple:
+        return self.branch, self.i, self.table.vars
+
+    @property
+    def prefix(self) -> tuple:
+        return tuple(T.canonical_text(t) for t in self.table.rows[0])
+
+    @property
+    def terms(self) -> tuple:
+        return tuple(self.key[: len(self.new)])
+
+    @property
+    def id(self) -> tuple:
+        return self.group, self.prefix, self.terms
+
+
+def _sliced(done: int, x: _Place) -> A.Slice:
+    """The matches of a place's step after the first ``done``; of what is left of a step already, one longer offset."""
+    names, op = tuple(sorted(A.visible(x.step.op))), x.step.op
+    if x.step.condition is None and _bare(op) and op.child.vars == names:
+        inside = op.child.child
+        while isinstance(inside, A.Join):
+            inside = inside.left
+        if x.table in (A.UNIT, inside):  # what the steps before have bound is inside
+            return A.Slice(op.offset + done, None, op.child)
+    inner = A.join_all([x.table, op])
+    inner = inner if x.step.condition is None else A.Filter((x.step.condition,), inner)
+    return A.Slice(done, None, A.Project(names, inner))
+
+
+def _bare(op: Any) -> bool:
+    """An offset alone over named variables, in the order of all of them."""
+    if not (isinstance(op, A.Slice) and op.limit is None and isinstance(op.child, A.Project) and op.child.vars):
+        return False
+    inner = op.child
+    while isinstance(inner, (A.Project, A.Distinct)):
+        inner = inner.child
+    return not isinstance(inner, A.OrderBy)
+
+
+def _positions(engine: Engine, places: list[_Place]) -> dict[tuple, tuple[int, int, int]]:
+    """For each place, how many matches of its step come before it, are equal to it, and are there; in one job.
+
+    A match finds its place among the sorted ones of its step by halving; only counts between places leave the tasks.
+    """
+    groups: dict[tuple, list[_Place]] = {}
+    for x in places:
+        groups.setdefault(x.group, []).append(x)
+    frames, sorted_ = [], []
+    for n, (group, some) in enumerate(groups.items()):
+        s, bound = some[0].step, group[2]
+        rows = tuple(dict.fromkeys(x.table.rows[0] for x in some))
+        inner = A.join_all([A.Table(bound, rows) if bound else A.UNIT, s.op])
+        inner = inner if s.condition is None else A.Filter((s.condition,), inner)
+        rel = engine.relation(inner)
+        texts = lambda names: F.array(*[rel.canonical(v) for v in names]).cast("array<string>")  # noqa: E731, B023
+        marks = sorted({x.prefix + x.terms for x in some}, key=lambda k: [(t is not None, (t or "").encode()) for t in k])
+        sorted_.append(marks)
+        if len(marks) == 1:
+            literal = _array(list(marks[0])).cast("array<string>")
+            at = F.when(literal < F.col("k"), 1).otherwise(0)
+            equal = F.col("k").eqNullSafe(literal)
+        else:
+            all_ = F.from_json(F.lit(json.dumps(marks)), "array<array<string>>")
+            halves = [1 << j for j in range(len(marks).bit_length() - 1, -1, -1)]
+            at = F.aggregate(F.lit(halves), F.lit(0), lambda acc, h: F.when(F.get(all_, acc + h - 1) < F.col("k"), acc + h).otherwise(acc))  # noqa: B023
+            equal = F.col("k").eqNullSafe(F.get(all_, F.col("at")))
+        df = rel.df.select(texts(bound).alias("p"), texts([*bound, *some[0].new]).alias("k")).withColumn("at", at)
+        frames.append(df.groupBy("p", "at", equal.alias("e")).count().withColumn("n", F.lit(n)))
+    found: dict[tuple, list] = {}
+    for r in reduce(DataFrame.unionByName, frames).collect() if frames else []:
+        found.setdefault((r["n"], tuple(r["p"])), []).append((r["at"], r["e"], r["count"]))
+    out = {}
+    for n, (group, some) in enumerate(groups.items()):
+        number = {k: j for j, k in enumerate(sorted_[n])}
+        by_prefix: dict[tuple, list[_Place]] = {}
+        for x in some:
+            by_prefix.setdefault(x.prefix, []).append(x)
+        for prefix, here in by_prefix.items():
+            counts = sorted(found.get((n, prefix), []), reverse=True)  # the first at the end: what is before a place, then its equals
+            size, less = sum(c for *_, c in counts), 0
+            for x in sorted(here, key=lambda x: number[x.prefix + x.terms]):
+                j, equal = number[x.prefix + x.terms], 0
+                while counts and (counts[-1][0] < j or counts[-1][0] == j and not counts[-1][1]):
+                    less += counts.pop()[2]
+                if counts and counts[-1][0] == j:
+                    equal = counts[-1][2]
+                out[x.id] = less, equal, size
+    return out
 
 
 # -- pages
 
 
 def next_page(engine: Engine, query: Query, budget: Budget) -> Page:
+    return next_pages(engine, query, budget, 1)[0]
+
+
+def next_pages(engine: Engine, query: Query, budget: Budget, most: int) -> list[Page]:
+    """Up to ``most`` pages in a row, each within the budget and with its own continuation.
+
+    Pages bounded by their solutions alone are cut from one ordered list, and their continuations' offsets are counted
+    together; under other limits there is one page.
+    """
     if budget.timeout is not None:
-        return _timed(engine, query, budget)
+        return [_timed(engine, query, budget)]
     if budget.max_results is None and budget.max_scans is None:
         rows = [r.asDict() for r in _output(engine.relation(query.op), query.names).collect()]
-        return Page(rows, None, query.names)
+        return [Page(rows, None, query.names)]
     op, names = query.op, query.names
     if isinstance(op, A.Project) and budget.max_scans is not None and (count := _countable(op)):
-        return _counted(engine, query, budget.max_scans, *count)
+        return [_counted(engine, query, budget.max_scans, *count)]
     inner = op.child if isinstance(op, A.Project) else op
-    blocking = isinstance(inner, (A.OrderBy, A.Distinct, A.Slice, A.Group)) or _has_group(inner)
+    blocking = isinstance(inner, (A.OrderBy, A.Distinct, A.Slice, A.Group)) and not (isinstance(op, A.Project) and _bare(inner)) or _has_group(inner)
     all_ = None if blocking else branches(inner)
-    if all_ is None:
-        return _by_offset(engine, query, budget.max_results if budget.max_scans is None else min(budget.max_scans, budget.max_results or budget.max_scans))
     scans = budget.max_scans is not None
-    rows, node = _first(engine, all_, names, budget.max_scans if scans else budget.max_results, scans)
-    if scans and budget.max_results is not None and len(rows) > budget.max_results:
-        rows, node = _first(engine, all_, names, budget.max_results, False)
-    if node is None:
-        return Page(rows, None, names, 1.0)
-    rest, progress = _rest(engine, all_, node)
-    if not rest:
-        return Page(rows, None, names, 1.0)
-    return Page(rows, text_of(A.Project(tuple(names), A.union_all(rest))), names, progress)
+    if all_ is None:
+        limit = min(budget.max_scans, budget.max_results or budget.max_scans) if scans else budget.max_results
+        return _by_offset(engine, query, limit, 1 if scans else most)
+    pages = _first(engine, all_, names, budget.max_scans if scans else budget.max_results, scans, 1 if scans else most)
+    if scans and budget.max_results is not None and len(pages[0][0]) > budget.max_results:
+        pages = _first(engine, all_, names, budget.max_results, False)
+    rests = _rests(engine, all_, [node for _, node in pages if node is not None])
+    out = []
+    for (rows, node), (rest, progress) in zip(pages, [*rests, ([], None)]):
+        if node is None or not rest:
+            return out + [Page(rows, None, names, 1.0)]
+        out.append(Page(rows, text_of(A.Project(tuple(names), A.union_all(rest))), names, progress))
+    return out
 
 
 def _output(rel: Relation, names: list[str]) -> DataFrame:
@@ -461,15 +597,19 @@ def _output(rel: Relation, names: list[str]) -> DataFrame:
     return rel.df.select(*[rel.canonical(n).alias(n) for n in names])
 
 
-def _by_offset(engine: Engine, query: Query, limit: int) -> Page:
+def _by_offset(engine: Engine, query: Query, limit: int, most: int = 1) -> list[Page]:
     """For operators that need all their input: the answer's order is total, so the rest is an OFFSET."""
     op = query.op if isinstance(query.op, A.Slice) else A.Slice(0, None, query.op)
-    size = limit if op.limit is None else min(limit, op.limit)
-    got = [r.asDict() for r in _output(engine.relation(A.Slice(op.offset, size + 1 if size == limit and op.limit != size else size, op.child)), query.names).collect()]
-    if len(got) <= limit:
-        return Page(got, None, query.names)
-    left = None if op.limit is None else op.limit - limit
-    return Page(got[:limit], text_of(A.Slice(op.offset + limit, left, op.child)), query.names)
+    size = limit * most if op.limit is None else min(limit * most, op.limit)
+    got = [r.asDict() for r in _output(engine.relation(A.Slice(op.offset, size + 1 if size == limit * most and op.limit != size else size, op.child)), query.names).collect()]
+    out = []
+    for at in range(limit, limit * most + 1, limit):
+        rows = got[at - limit : at]
+        if len(got) <= at:
+            return out + [Page(rows, None, query.names)]
+        left = None if op.limit is None else op.limit - at
+        out.append(Page(rows, text_of(A.Slice(op.offset + at, left, op.child)), query.names))
+    return out
 
 
 def _countable(op: A.Project) -> tuple[list[tuple[str, Any]], A.Group] | None:
@@ -489,10 +629,10 @@ def _counted(engine: Engine, query: Query, scans: int, extends: list, group: A.G
     all_ = branches(group.child)
     if all_ is None:
         return Page([r.asDict() for r in _output(engine.relation(query.op), query.names).collect()], None, query.names)
-    rows, node = _first(engine, all_, needed, scans, True)
+    [(rows, node)] = _first(engine, all_, needed, scans, True)
     add = {name: sum(1 for r in rows if a.arg is None or r[a.arg.name] is not None) for name, a in group.aggregates}
     number = lambda n: A.Literal(str(n), A.XSD + "integer")
-    rest = [] if node is None else _rest(engine, all_, node)[0]
+    rest = [] if node is None else _rests(engine, all_, [node])[0][0]
     put = (lambda x: number(add[x.name]) if isinstance(x, A.Var) and x.name in add else x) if not rest else (
         lambda x: A.Call("+", (x, number(add[x.name]))) if isinstance(x, A.Var) and x.name in add else x)
     final = [(v, rewrite.fold_sums(A.rebuild(e, put))) for v, e in extends]

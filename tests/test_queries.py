@@ -199,6 +199,39 @@ def test_pages_of_repeated_statements(quads):
     assert canonical(rows) == want and len(rows) == len(want) > 6 and n >= 2
 
 
+@pytest.mark.parametrize("text", PAGED + [f"SELECT ?line ?stop {{ {{ SELECT ?line ?stop {{ {CALLS} }} OFFSET 1 }} }}"])
+def test_pages_in_a_row(spark, engine, text):
+    """Pages asked for together are those asked for one by one, and each one's continuation gives, on its own, all after it."""
+    pages = engine.pages(PREFIX + text, Budget(max_results=2), 50)
+    whole = [r.asDict() for r in engine.terms(PREFIX + text).collect()]
+    assert canonical(r for p in pages for r in p.rows) == canonical(whole) and len(pages) == max(1, -(-len(whole) // 2))
+    for n, p in enumerate(pages[:-1], 1):
+        other = Engine(rail(spark))  # which has seen no page yet
+        assert canonical(r.asDict() for r in other.terms(p.next).collect()) == canonical(r for q in pages[n:] for r in q.rows)
+    assert pages[-1].next is None
+
+
+def test_pages_in_a_row_of_repeated_statements(spark, quads):
+    text = PREFIX + "SELECT ?line ?area { ?line :calls ?stop . ?stop :region ?area }"
+    pages = quads.pages(text, Budget(max_results=1), 50)
+    whole = canonical(r.asDict() for r in quads.terms(text).collect())
+    assert canonical(r for p in pages for r in p.rows) == whole and len(pages) == len(whole)
+    for n, p in enumerate(pages[:-1], 1):
+        rest = [r.asDict() for r in Engine(rail_in_graphs(spark)).terms(p.next).collect()]
+        assert canonical(rest) == canonical(r for q in pages[n:] for r in q.rows)
+
+
+def test_a_run_asks_for_pages_together(engine, monkeypatch):
+    """And goes on by the last one's continuation, whose offset is one, however often it was cut."""
+    asked, given = [], []
+    inner = engine.pages
+    monkeypatch.setattr(engine, "pages", lambda text, *a: asked.append(text) or given.append(inner(text, *a)) or given[-1])
+    monkeypatch.setattr("quadrille.engine.AHEAD", 2)
+    rows, n = engine.run_to_completion(f"{PREFIX} SELECT ?line ?stop {{ {CALLS} }}", Budget(max_results=1))
+    assert n == 5 and len(rows) == 6 and len(asked) == 4 and all(text.count("OFFSET") == 1 for text in asked[1:])
+    assert all(len(p.rows) == 1 for some in given for p in some)
+
+
 def test_number_of_pages(engine):
     """One result a page: one continuation less than there are results."""
     assert engine.run_to_completion(f"{PREFIX} SELECT * {{ {OPERATED} }}", Budget(max_results=1))[1] == 3
