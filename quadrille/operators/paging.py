@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import TYPE_CHECKING, Any
@@ -96,29 +97,33 @@ def _filtered(op: Any, filters: tuple) -> Any:
     return A.Filter(tuple(dict.fromkeys(filters)), op) if filters else op
 
 
-def split_branches(op: Any) -> list[Branch]:
+def _singly(patterns: tuple) -> list[tuple]:
+    return [(p,) for p in patterns]
+
+
+def split_branches(op: Any, stars: Callable[[tuple], list[tuple]] = _singly) -> list[Branch]:
     match op:
         case A.Bgp(patterns):
-            return [Branch(tuple(Step("inner", A.Bgp((p,))) for p in patterns))]
+            return [Branch(tuple(Step("inner", A.Bgp(p)) for p in stars(patterns)))]
         case A.Table():
             return [Branch(() if op == A.UNIT else (Step("inner", op),))]
         case A.Union(a, b):
-            return split_branches(a) + split_branches(b)
+            return split_branches(a, stars) + split_branches(b, stars)
         case A.Filter(conditions, c):
-            return [replace(x, filters=x.filters + conditions) for x in split_branches(c)]
+            return [replace(x, filters=x.filters + conditions) for x in split_branches(c, stars)]
         case A.Extend(v, e, c) if not _has_group(c):
-            return [replace(x, steps=x.steps + (Step("bind", e, var=v),)) for x in split_branches(c)]
+            return [replace(x, steps=x.steps + (Step("bind", e, var=v),)) for x in split_branches(c, stars)]
         case A.Join(a, b):
-            right = split_branches(b)
+            right = split_branches(b, stars)
             # a filter may leave its group only if nothing outside changes what it sees
             for x in right:
                 inside = A.certain(Branch(x.steps).op())
                 if not all(A.expression_vars(f) <= inside for f in x.filters) or any(s.kind == "bind" for s in x.steps):
                     right = [Branch((Step("inner", b),))]
                     break
-            return [Branch(x.steps + y.steps, x.filters + y.filters) for x in split_branches(a) for y in right]
+            return [Branch(x.steps + y.steps, x.filters + y.filters) for x in split_branches(a, stars) for y in right]
         case A.LeftJoin(a, b, c):
-            left = split_branches(a)
+            left = split_branches(a, stars)
             if any(x.filters for x in left):
                 left = [Branch((Step("inner", a),))]
             return [replace(x, steps=x.steps + (Step("optional", b, c),)) for x in left]
@@ -131,9 +136,12 @@ def _has_group(op: Any) -> bool:
     return isinstance(op, A.Group)
 
 
-def branches(op: Any) -> list[Branch] | None:
-    """Branches of a query's pattern; None if a variable that steps share may be unbound, so that steps have no order."""
-    out = split_branches(op)
+def branches(op: Any, stars: Callable[[tuple], list[tuple]] = _singly) -> list[Branch] | None:
+    """Branches of a query's pattern; None if a variable that steps share may be unbound, so that steps have no order.
+
+    ``stars`` says which patterns of a basic graph pattern are one step; by itself each is one.
+    """
+    out = split_branches(op, stars)
     for b in out:
         sure: set[str] = set()
         seen: set[str] = set()
@@ -193,10 +201,11 @@ def _copies(engine: Engine, op: Any) -> bool:
     return not (isinstance(op, A.Bgp) and getattr(engine.dataset, "is_set", False))
 
 
-def _prefixes(engine: Engine, b: Branch, mark: list | None = None) -> list[tuple[int, Relation]]:
+def _prefixes(engine: Engine, b: Branch, mark: list | None = None, small: bool = False, tested: bool = False) -> list[tuple[int, Relation]]:
     """For each step but bindings, its index and the solutions of all steps up to it and of bindings right after it.
 
-    With a ``mark``, only from the outermost step's matches up to those terms.
+    With a ``mark``, only from the outermost step's matches up to those terms; they are ``small`` if every task may hold
+    them.  With ``tested``, only what passes those filters that can be told at the outermost step.
     """
     rel = R.unit(engine.dataset.spark)
     out: list[tuple[int, Relation]] = []
@@ -211,8 +220,12 @@ def _prefixes(engine: Engine, b: Branch, mark: list | None = None) -> list[tuple
         right = _keyed(engine.relation(s.op), A.visible(s.op) & rel.vars, i)
         if mark is not None and not out:
             right = right.filter(F.col(f"`{_key(i)}`") <= _array(mark))
+        if tested and not out and s.kind == "inner":
+            right = _passes(engine, right, _own(b, right))
         if s.kind == "inner":
             rel = _numbered(R.join(rel, right), i, _copies(engine, s.op))
+            if small and not out:
+                rel.df = F.broadcast(rel.df)
         else:
             rel = _numbered(R.left_join(rel, right, _condition(s.condition)), i, _copies(engine, s.op))
             rel.df = rel.df.withColumn(_key(i), F.coalesce(F.col(f"`{_key(i)}`"), F.array().cast("array<string>")))
@@ -279,16 +292,26 @@ def _first_of(engine: Engine, b: Branch, at: int, names: list[str], steps: int,
         bound = {x.var for x in b.steps[:i]}
         outer = _keyed(engine.relation(s.op), A.visible(s.op) & bound, i)
         key = F.col(f"`{_key(i)}`")
-        own = [f for f in b.filters if A.expression_vars(f) <= outer.certain and _repeatable(f)]
-        outer = _passes(engine, outer, tuple(own))  # only those can be solutions
+        outer = _passes(engine, outer, _own(b, outer))  # only those can be solutions
         last = outer.df.select(key.alias("k")).orderBy("k").limit(some).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
         if last["n"] < some:
             break
-        got = _ordered(_nodes(engine, [b], names, steps, False, at, last["k"]), steps, limit)
+        # where matches may be equal, there may be any number of the last one
+        held = some if len(b.steps) == 1 or not _copies(engine, s.op) else outer.df.filter(key <= _array(last["k"])).count()
+        got = _ordered(_nodes(engine, [b], names, steps, False, at, last["k"], held <= HELD), steps, limit)
         if len(got) >= limit:
             return got
         some *= 8
-    return _ordered(_nodes(engine, [b], names, steps, False, at), steps, limit)
+    return _ordered(_nodes(engine, [b], names, steps, False, at, None, last["n"] <= HELD), steps, limit)
+
+
+def _own(b: Branch, outer: Relation) -> tuple:
+    """The filters of a branch that its outermost step's matches alone decide."""
+    return tuple(f for f in b.filters if A.expression_vars(f) <= outer.certain and _repeatable(f))
+
+
+#: Outermost matches that every task may hold, to meet the later steps without moving those.
+HELD = 1_000_000
 
 
 def _repeatable(e: Any) -> bool:
@@ -318,10 +341,10 @@ def _outer_matches(engine: Engine, b: Branch, limit: int) -> int | None:
 
 
 def _pattern(op: Any) -> A.Pattern | None:
-    """The one pattern of a step, or of the rest of one."""
+    """The one pattern of a step, or of the rest of one; the first of a star."""
     while isinstance(op, (A.Slice, A.Project)):
         op = op.child
-    return op.patterns[0] if isinstance(op, A.Bgp) and len(op.patterns) == 1 else None
+    return op.patterns[0] if isinstance(op, A.Bgp) and len({p.s for p in op.patterns}) == 1 else None
 
 
 def _ordered(frames: list[DataFrame], steps: int, limit: int) -> list:
@@ -331,12 +354,12 @@ def _ordered(frames: list[DataFrame], steps: int, limit: int) -> list:
 
 
 def _nodes(engine: Engine, all_: list[Branch], names: list[str], steps: int, scans: bool, base: int = 0,
-           mark: list | None = None) -> list[DataFrame]:
+           mark: list | None = None, small: bool = False) -> list[DataFrame]:
     """Nodes of the branches, which are numbered from ``base`` on, as frames with their keys, bindings and outputs."""
     frames: list[DataFrame] = []
     built = []
     for at, b in enumerate(all_):
-        prefixes = _prefixes(engine, b, mark)
+        prefixes = _prefixes(engine, b, mark, small, not scans)
         for j, (i, rel) in enumerate(prefixes):
             last = j == len(prefixes) - 1
             if not last and not scans:
@@ -575,8 +598,8 @@ def next_pages(engine: Engine, query: Query, budget: Budget, most: int) -> list[
         return [_counted(engine, query, budget.max_scans, *count)]
     inner = op.child if isinstance(op, A.Project) else op
     blocking = isinstance(inner, (A.OrderBy, A.Distinct, A.Slice, A.Group)) and not (isinstance(op, A.Project) and _bare(inner)) or _has_group(inner)
-    all_ = None if blocking else branches(inner)
     scans = budget.max_scans is not None
+    all_ = None if blocking else branches(inner, _singly if scans else engine.dataset.stars)
     if all_ is None:
         limit = min(budget.max_scans, budget.max_results or budget.max_scans) if scans else budget.max_results
         return _by_offset(engine, query, limit, 1 if scans else most)

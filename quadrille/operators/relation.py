@@ -80,6 +80,9 @@ def unit(spark: SparkSession) -> Relation:
 #: Up to so many different values of inline data become a test that reaches the scans.
 PUSHED_VALUES = 1_000
 
+#: Up to so many rows of inline data are held by every task of a join, whose size Spark could not tell.
+HELD_VALUES = 100_000
+
 
 def inlined(spark: SparkSession, names: tuple[str, ...], rows: tuple, forms: dict[str, T.Form], certain: set[str]) -> Relation:
     """Inline data with each variable in its form; a row with a term that a form cannot spell is left out."""
@@ -89,7 +92,8 @@ def inlined(spark: SparkSession, names: tuple[str, ...], rows: tuple, forms: dic
         if all(t is None or v is not None for t, v in zip(r, values)):
             data.append(tuple(values))
     schema = ", ".join(f"`{physical(n)}` {T.sql_type(forms[n])}" for n in names)
-    return Relation(spark.createDataFrame(data, schema), forms, certain, [], (names, rows))
+    df = spark.createDataFrame(data, schema)
+    return Relation(F.broadcast(df) if len(data) <= HELD_VALUES else df, forms, certain, [], (names, rows))
 
 
 def met(a: Relation, b: Relation) -> Relation:

@@ -36,6 +36,10 @@ class Dataset:
         """One row with the number of matches, n, where that is known without building them."""
         return None
 
+    def stars(self, patterns: tuple[A.Pattern, ...]) -> list[tuple[A.Pattern, ...]]:
+        """The patterns in groups, each of which one scan answers."""
+        return [(p,) for p in patterns]
+
     def bgp(self, patterns: tuple[A.Pattern, ...]) -> Relation:
         scans = [self.scan(p) for p in patterns]
         return reduce(R.join, scans) if scans else R.unit(self.spark)

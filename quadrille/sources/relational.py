@@ -120,17 +120,21 @@ class RelationalDataset(Dataset):
 
     def bgp(self, patterns: tuple[A.Pattern, ...]) -> Relation:
         """Stars first: a maximal run of patterns on one subject variable whose predicates fix one table is one scan."""
+        parts = [self._star(k[1], ps) if len(k) == 3 else self.scan(ps[0]) for k, ps in self._stars(patterns).items()]
+        return reduce(R.join, parts) if parts else R.unit(self.spark)
+
+    def stars(self, patterns: tuple[A.Pattern, ...]) -> list[tuple[A.Pattern, ...]]:
+        return [tuple(ps) for ps in self._stars(patterns).values()]
+
+    def _stars(self, patterns: tuple[A.Pattern, ...]) -> dict[tuple, list[A.Pattern]]:
+        """By subject, table and graph, or by the place of a pattern that is no part of a star; in the order of the first."""
         stars: dict[tuple, list[A.Pattern]] = {}
-        order: list[tuple] = []
         for i, p in enumerate(patterns):
             names = self._candidates(p)
             fixed = isinstance(p.p, A.Iri) and isinstance(p.s, A.Var) and len(names) == 1
             key = (p.s.name, names[0], p.g) if fixed else (i,)
-            if key not in stars:
-                order.append(key)
             stars.setdefault(key, []).append(p)
-        parts = [self._star(k[1], stars[k]) if len(k) == 3 else self.scan(stars[k][0]) for k in order]
-        return reduce(R.join, parts) if parts else R.unit(self.spark)
+        return stars
 
     def scan(self, pattern: A.Pattern) -> Relation:
         parts = []

@@ -3,10 +3,12 @@
 import pytest
 
 from quadrille.engine import Engine
+from quadrille.operators import paging
 from quadrille.operators.compiler import ServiceError, Services
 from quadrille.operators.paging import Budget
 from quadrille.plans.algebra import UnsupportedQuery
 from quadrille.plans.parser import parse
+from quadrille.sources.relational import Mapped, RelationalDataset
 from tests.fixtures import GRAPHS, LINES, LITERALS, RAIL, ROOT, bag, canonical, rail, rail_in_graphs, rail_with_literals, short, solve, term
 
 PREFIX = f"PREFIX : <{ROOT}> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
@@ -281,3 +283,47 @@ def test_unsupported(engine, text):
 
 def test_terms_are_canonical(engine):
     assert {r["line"] for r in engine.terms(f"{PREFIX} SELECT ?line {{ ?line :operator :East }}").collect()} == {term("L4")}
+
+
+ORDERS = [(1, 5.0), (2, 20.0), (3, 30.0), (3, 30.0), (4, 40.0), (5, 50.0)]
+ITEMS = [(1, 1, 7), (2, 1, 7), (2, 2, 7), (2, 2, 7), (2, 2, 8), (3, 1, 7), (3, 2, 7), (5, 1, 7), (5, 1, 7), (5, 2, 9)]
+BOUGHT = """PREFIX orders: <http://data.local/orders#> PREFIX lineitem: <http://data.local/lineitem#>
+    SELECT ?o ?k { ?o orders:o_totalprice ?p FILTER(?p > 10) ?l lineitem:ref_l_orderkey ?o ; lineitem:l_linenumber ?k }"""
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """Orders and their items, some rows twice."""
+    path = str(tmp_path_factory.mktemp("shop"))
+    spark.createDataFrame(ORDERS, "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(ITEMS, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    tables = {"orders": Mapped(("o_orderkey",)), "lineitem": Mapped(("l_orderkey", "l_linenumber"), {"l_orderkey": "orders"}, True)}
+    return lambda: Engine(RelationalDataset(spark, path, tables))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_pages_of_tables_with_rows_twice(shop, monkeypatch, small):
+    """As many solutions as the tables' rows have, by one page after the other and by what each continuation gives alone."""
+    if not small:
+        monkeypatch.setattr(paging, "SMALL", 0)
+        monkeypatch.setattr(paging, "SMALL_PAGES", 0)
+    want = canonical({"o": f"<http://data.local/orders/{o}>", "k": f'"{k}"^^<http://www.w3.org/2001/XMLSchema#integer>'}
+                     for o, p in ORDERS if p > 10 for x, k, _ in ITEMS if x == o)
+    rows, _ = shop().run_to_completion(BOUGHT, Budget(max_results=2))
+    assert canonical(rows) == want
+    pages = shop().pages(BOUGHT, Budget(max_results=1), 50)
+    assert len(pages) == len(want)
+    for n in (1, 3, 5, 8):
+        rest = [r.asDict() for r in shop().terms(pages[n - 1].next).collect()]
+        assert canonical(rest) == canonical(r for p in pages[n:] for r in p.rows)
+
+
+def test_pages_read_a_table_once(shop, monkeypatch):
+    """Patterns on one row are one step, and the outermost matches go to the later steps' scans, not these to them."""
+    monkeypatch.setattr(paging, "SMALL", 0)
+    monkeypatch.setattr(paging, "SMALL_PAGES", 0)
+    plans, ordered = [], paging._ordered
+    monkeypatch.setattr(paging, "_ordered", lambda frames, *a: plans.extend(map(exchanges, frames)) or ordered(frames, *a))
+    assert len(shop().page(BOUGHT, Budget(max_results=2)).rows) == 2
+    for plan in plans:
+        assert plan.count("lineitem.parquet") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
