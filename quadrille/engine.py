@@ -16,7 +16,7 @@ from quadrille.plans.parser import Query, parse
 from quadrille.sources.dataset import Dataset
 
 #: Solutions that a run through all pages has the driver hold ahead of the page it is at.
-AHEAD = 200_000
+AHEAD = 50_000
 
 
 @dataclass
